@@ -131,4 +131,27 @@ SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(q.n)::BIG
 FROM q LEFT JOIN tm ON tm.src = q.src AND tm.blk = q.blk GROUP BY rid
 """
 
-ORACLES = {"op6_line_rules": OP6, "op8_url_filter": OP8, "op9_pii": OP9, "op10_mixing": OP10}
+_CLEAN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id AS id, regexp_extract_all({_ASCII_LOWER}, '{_CLEAN}') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS rid, item_id AS id, regexp_extract_all({_ASCII_LOWER}, '{_CLEAN}') AS w FROM benchmark),
+ds AS (SELECT DISTINCT rid, id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM d)),
+bs AS (SELECT DISTINCT rid, id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM b)),
+n AS (SELECT rid, count(*) AS n FROM bs GROUP BY rid)
+SELECT ds.id AS doc_id, bs.id AS item_id, n.n AS n_shingles, count(*) AS n_shared, count(*) / n.n AS containment
+FROM ds JOIN bs USING (s) JOIN n ON n.rid = bs.rid GROUP BY ds.rid, ds.id, bs.rid, bs.id, n.n HAVING count(*) >= 0.8 * n.n
+"""
+
+OP3 = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS hex, coalesce(html, '') AS body FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (5 * (3 - i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op3_warc": OP3, "op6_line_rules": OP6, "op8_url_filter": OP8, "op9_pii": OP9, "op10_mixing": OP10}
