@@ -55,9 +55,14 @@ class Block:
         self.ends = np.cumsum(self.sizes)
         self.words = np.concatenate(each)
         self.pairs = np.concatenate([pairs(t) for t in each])
-        self.grams = np.unique(np.concatenate([self.words, self.pairs]))
-        self.held = held
-        self.at_words, self.at_pairs = np.searchsorted(self.grams, self.words), np.searchsorted(self.grams, self.pairs)
+        every = np.concatenate([self.words, self.pairs])
+        order = np.argsort(every)
+        every = every[order]
+        first = np.diff(every, prepend=~every[:1]) != 0
+        self.grams, self.held = every[first], held
+        at = np.empty(len(every), np.int64)
+        at[order] = np.cumsum(first) - 1
+        self.at_words, self.at_pairs = np.split(at, 2)
 
     def counts(self) -> np.ndarray:
         """Of each distinct n-gram, how often training documents have it."""
