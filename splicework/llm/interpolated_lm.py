@@ -53,9 +53,8 @@ class Block:
         each = [tokens(t or b"") for t in texts]
         self.sizes = np.array([len(t) for t in each], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.words = np.concatenate(each)
-        self.pairs = np.concatenate([pairs(t) for t in each])
-        every = np.concatenate([self.words, self.pairs])
+        every = np.concatenate([*each, *(pairs(t) for t in each)])
+        del each
         order = np.argsort(every)
         every = every[order]
         first = np.diff(every, prepend=~every[:1]) != 0
