@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from splicework.functions import rational
 from splicework.operators import intervals as iv
-from splicework.operators import ordered
-from splicework.plans.queries import ORACLES, QUERIES
+from splicework.operators import edits, ordered, signals, transcripts
+from splicework.plans.catalog import ORACLES, QUERIES
 from splicework.sources import captions
 from splicework.streaming import power
 
@@ -109,3 +109,61 @@ def test_streaming_power_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = events.groupBy("user_id", F.window("ts", "10 minutes")).count().count()
     assert spark.table("power").count() == batch
+
+
+def test_shots_need_twice_their_neighbours_and_room(spark):
+    d = [0, 1, 9, 1, 1, 9, 5, 1, 9, 9, 1, 1, 30, 1, 8]
+    rows = spark.createDataFrame([("t", i, float(x)) for i, x in enumerate(d)], "track string, k long, d double")
+
+    def brute(apart):
+        kept = [0]
+        for i in range(1, len(d)):
+            near = max([d[m] for m in (i - 2, i - 1, i + 1, i + 2) if 1 <= m < len(d)], default=0)
+            if d[i] >= 8 and d[i] >= 2 * near and i - kept[-1] >= apart:
+                kept.append(i)
+        return kept
+
+    for apart in (1, 3, 5):
+        assert [k for (k,) in found(signals.shot_cuts(rows, ["track"], "k", "d", 8.0, apart), "k")] == brute(apart)
+
+
+def test_cues_break_at_pauses_sentences_length_and_lines(spark):
+    said = [("one", 0, 10), ("two.", 10, 20), ("three", 20, 30), ("four", 90, 100), ("abcdefgh", 100, 110), ("ij", 110, 120), ("klmno", 120, 130), ("p", 130, 140)]
+    rows = spark.createDataFrame([("a", i, *w) for i, w in enumerate(said)], "asset string, pos long, word string, start long, stop long")
+    texts = [t for _, t in found(transcripts.cues(rows, ["asset"], 30, 1_000, 8, 2), "cue", "text")]
+    assert texts == ["one two.", "three", "four abcdefgh", "ij klmno p"]
+    assert [t for _, t in found(transcripts.cues(rows, ["asset"], 30, 25, 80, 2), "cue", "text")] == ["one two.", "three", "four abcdefgh", "ij klmno", "p"]
+
+
+def test_admission_waits_for_claims_speech_and_room(spark):
+    jobs = [(1, 2, False, ["a/b"]), (2, 1, False, ["a"]), (3, 1, True, ["c"]), (4, 1, True, ["d"]), (5, 1, False, ["a/b/c"]), (6, 1, False, ["ab"]), (7, 9, False, []), (8, 1, False, ["z"])]
+    rows = spark.createDataFrame([("p", *j) for j in jobs], "pool string, job long, weight long, speech boolean, claims array<string>")
+    assert found(signals.admitted(rows, ["pool"], "job", 5), "job") == [(1,), (3,), (6,)]
+    assert found(signals.admitted(rows.where("job = 7"), ["pool"], "job", 5), "job") == [(7,)]
+
+
+def test_curve_against_fractions(spark):
+    keys = [(0, 10, "linear"), (3, -5, "ease_in"), (7, 8, "ease_out"), (12, 1, "ease_in_out"), (19, 90, "hold"), (21, 4, "linear")]
+    curve = spark.createDataFrame([("t", *k) for k in keys], "track string, at long, value long, mode string")
+    points = spark.createDataFrame([("t", i) for i in range(-2, 25)], "track string, at long")
+
+    def brute(t):
+        if t <= 0 or t >= 21:
+            return 10 if t <= 0 else 4
+        (a, u, mode), (b, v, _) = next((x, y) for x, y in zip(keys, keys[1:], strict=False) if x[0] <= t < y[0])
+        x = Fraction(t - a, b - a)
+        x = {"hold": 0, "linear": x, "ease_in": x * x, "ease_out": 1 - (1 - x) ** 2, "ease_in_out": 2 * x * x if x <= Fraction(1, 2) else 1 - 2 * (1 - x) ** 2}[mode]
+        y = u + (v - u) * x
+        return int(abs(y) + Fraction(1, 2)) * (1 if y >= 0 else -1)
+
+    assert found(edits.sampled(points, curve, ["track"]), "at", "value") == [(t, brute(t)) for t in range(-2, 25)]
+
+
+@pytest.mark.parametrize("text, so", [("um", True), ("UHM", True), ("hmm", True), ("m", True), ("a", True), ("ummmm", False), ("h", False), ("the", False), ("", False)])
+def test_hesitations(spark, text, so):
+    assert spark.range(1).select(transcripts.filler_like(F.lit(text))).first()[0] is so
+
+
+def test_a_slip_before_the_source_fails(clips):
+    with pytest.raises(Exception, match="slip before"):
+        edits.slipped(clips, F.lit(True), -6).collect()
