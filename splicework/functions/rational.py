@@ -15,11 +15,11 @@ def _wide(c: Column) -> Column:
     return c.cast("decimal(17,0)")
 
 
-def gcd(a: Column, b: Column) -> Column:
+def gcd(a: Column, b: Column, steps: int = 80) -> Column:
     """Euclid's fold; 80 steps suffice below 2^53."""
     start = F.struct(a.cast("decimal(38,0)").alias("a"), b.cast("decimal(38,0)").alias("b"))
     step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(F.try_mod(s["a"], s["b"]).cast("decimal(38,0)")).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step)["a"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["a"]
 
 
 def make(num: Column, den: Column) -> Column:
