@@ -150,3 +150,66 @@ def lint(clips: DataFrame, assets: DataFrame, keys: list[str], source: str, shor
     used = clips.groupBy(F.col(source).alias("subject")).agg(F.count("*").alias("n")).join(assets.select(F.col(source).alias("_asset")).distinct(), F.col("subject") == F.col("_asset"), "full_outer")
     other = used.where("_asset is null or subject is null").select(F.when(F.col("_asset").isNull(), "missing_media").otherwise("unused_asset").alias("issue"), F.coalesce("subject", "_asset").alias("subject"), F.coalesce("n", F.lit(0)).alias("n"))
     return gap.unionByName(short).unionByName(other)
+
+
+def transitions(effects: DataFrame, clips: DataFrame, assets: DataFrame, keys: list[str], source: str) -> DataFrame:
+    """Transitions (keys, left_id, right_id, before, after) with start, stop and issue (null: none).
+
+    A transition lasts from `before` ahead of the cut to `after` behind it. Issues: clips (one is missing), apart (they do
+    not touch), short (it is longer than a clip), head (the right source does not begin early enough), tail (the left one
+    ends too early; assets have source and length)."""
+    shape = ["start", "stop", "source_in"]
+    left = clips.select(*keys, F.col("id").alias("left_id"), F.struct(*shape, source).alias("_l"))
+    right = clips.select(*keys, F.col("id").alias("right_id"), F.struct(*shape).alias("_r"))
+    ends = assets.select(F.col(source).alias("_asset"), F.col("length").alias("_length"))
+    own = effects.join(left, [*keys, "left_id"], "left").join(right, [*keys, "right_id"], "left").join(ends, F.col(f"_l.{source}") == F.col("_asset"), "left")
+    length = lambda c: F.col(f"{c}.stop") - F.col(f"{c}.start")
+    issue = (
+        F.when(F.col("_l").isNull() | F.col("_r").isNull(), "clips")
+        .when(F.col("_l.stop") != F.col("_r.start"), "apart")
+        .when((F.col("before") > length("_l")) | (F.col("after") > length("_r")), "short")
+        .when(F.col("_r.source_in") < F.col("before"), "head")
+        .when(F.col("_l.source_in") + length("_l") + F.col("after") > F.col("_length"), "tail")
+    )
+    at = F.col("_r.start")
+    return own.select(*effects.columns, (at - F.col("before")).alias("start"), (at + F.col("after")).alias("stop"), issue.alias("issue"))
+
+
+def crossing(clips: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """Clips that reach beyond both ends of [start, stop): a cut there leaves two parts, and the second needs an id."""
+    return clips.where((F.col("start") < start) & (F.col("stop") > stop))
+
+
+def fresh_ids(rows: DataFrame, used: DataFrame, keys: list[str], order: str, base: Column, most: int) -> DataFrame:
+    """rows with a column fresh: base-j1, base-j2 and so on in order, leaving out those that used (keys, id) has.
+
+    At most `most` of a key's used ids may start like that; candidates are numbered, and the free ones dealt out in order."""
+    w = _by(keys, order)
+    own = rows.withColumns({"_n": F.row_number().over(w), "_base": base})
+    counts = own.groupBy(*keys, "_base").agg(F.max("_n").alias("_need"))
+    names = counts.withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_need") + most)))
+    names = names.select(*keys, "_j", F.concat("_base", F.lit("-j"), F.col("_j").cast("string")).alias("fresh"))
+    free = names.join(used.select(*keys, F.col("id").alias("fresh")), [*keys, "fresh"], "left_anti")
+    free = free.withColumn("_n", F.row_number().over(_by(keys, "_j"))).drop("_j")
+    return own.join(free, [*keys, "_n"]).drop("_n", "_base")
+
+
+def load(windows: DataFrame, clips: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """How many clips each window (keys, start, stop) meets: keys, start, stop, clips; windows without any have 0."""
+    own = windows.select(*keys, "start", "stop")
+    met = iv.overlap_join(own, clips.select(*keys, "start", "stop"), keys, width).groupBy(*keys, "start", "stop").agg(F.count("*").alias("_n"))
+    return own.distinct().join(met, [*keys, "start", "stop"], "left").select(*keys, "start", "stop", F.coalesce("_n", F.lit(0)).alias("clips"))
+
+
+def applied(clips: DataFrame, steps: list, violations) -> DataFrame:
+    """All steps (DataFrame to DataFrame), one behind another, or none: raises ValueError if violations of the result has a row.
+
+    1 to 1000 steps. Nothing is written before the check; each step only adds to one plan."""
+    if not 1 <= len(steps) <= 1000:
+        raise ValueError("1 to 1000 edits")
+    out = clips
+    for step in steps:
+        out = step(out)
+    if wrong := violations(out).limit(1).collect():
+        raise ValueError(f"the edits leave {wrong[0]}")
+    return out

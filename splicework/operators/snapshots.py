@@ -56,3 +56,16 @@ def descendants(edges: DataFrame, deepest: int) -> DataFrame:
         level = level.join(step, "child").select("parent", F.col("_next").alias("child")).distinct()
         every = every.unionByName(level.withColumn("depth", F.lit(depth)))
     return every.groupBy("parent", "child").agg(F.min("depth").alias("depth"))
+
+
+def levels(edges: DataFrame, deepest: int) -> DataFrame:
+    """node, level: the longest way (steps) from a node without parents; evaluating by level is a topological order.
+
+    Nodes of level `deepest` may lie deeper, or on or behind a cycle. Nodes on a cycle that none reaches are left out."""
+    own = edges.select("parent", "child").distinct()
+    level = own.select(F.col("parent").alias("node")).distinct().join(own.select(F.col("child").alias("node")), "node", "left_anti")
+    every = level.withColumn("level", F.lit(0))
+    for depth in range(1, deepest + 1):
+        level = own.join(level, own["parent"] == level["node"]).select(F.col("child").alias("node")).distinct()
+        every = every.unionByName(level.withColumn("level", F.lit(depth)))
+    return every.groupBy("node").agg(F.max("level").alias("level"))

@@ -1,5 +1,5 @@
 """All queries of the library and their SQL."""
 
-from splicework.plans import clock_queries, edit_queries, media_queries, queries, sound_queries  # noqa: F401
+from splicework.plans import clock_queries, edit_queries, media_queries, queries, reading_queries, sound_queries  # noqa: F401
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES

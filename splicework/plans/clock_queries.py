@@ -66,14 +66,14 @@ def jn21_angle_cuts(spark, sf_dir):
 
 
 @query(f"""WITH {CLIPS}, p AS (SELECT * FROM clips WHERE id % 2 = 0), s AS (SELECT * FROM clips WHERE id % 2 = 1)
-  SELECT p.asset, p.id AS picture, s.id AS sound, CASE WHEN s.start - s.source_in > p.start - p.source_in THEN 'sound' ELSE 'picture' END AS late, abs((s.start - s.source_in) - (p.start - p.source_in)) AS off
-  FROM p JOIN s ON s.asset = p.asset AND p.start < s.stop AND s.start < p.stop AND s.start - s.source_in <> p.start - p.source_in WHERE NOT (p.id + 199 = s.id AND p.id % 3 = 0)""")
+  SELECT p.track, p.id AS picture, s.id AS sound, CASE WHEN s.start - s.source_in > p.start - p.source_in THEN 'sound' ELSE 'picture' END AS late, abs((s.start - s.source_in) - (p.start - p.source_in)) AS off
+  FROM p JOIN s ON s.track = p.track AND p.start < s.stop AND s.start < p.stop AND s.start - s.source_in <> p.start - p.source_in WHERE NOT (p.id % 3 = 0 AND s.id // 500 = p.id // 500)""")
 def jn3_out_of_sync(spark, sf_dir):
-    """Pictures and sounds of one source that play out of step and are not linked."""
-    c = clips(spark, sf_dir)
+    """Pictures and sounds of one source (here a track's) that play out of step and are not linked."""
+    c = clips(spark, sf_dir).withColumn("take", F.floor(F.col("id") / 500))
     even, odd = c.where("id % 2 = 0"), c.where("id % 2 = 1")
-    links = even.where("id % 3 = 0").select(F.col("id").alias("picture"), (F.col("id") + 199).alias("sound"))
-    return clocks.out_of_sync(even, odd, links, [], "asset", WIDTH).select("asset", "picture", "sound", "late", "off")
+    links = even.where("id % 3 = 0").select(F.col("id").alias("picture"), "take", "track").join(odd.select(F.col("id").alias("sound"), "take", "track"), ["take", "track"])
+    return clocks.out_of_sync(even, odd, links, [], "track", WIDTH).select("track", "picture", "sound", "late", "off")
 
 
 @query(f"WITH {CLIPS}, x AS (SELECT DISTINCT id // 3 AS link FROM clips WHERE layer = 3 AND id % 5 <> 0) SELECT track, id FROM clips WHERE (layer = 3) OR (id % 5 <> 0 AND id // 3 IN (SELECT link FROM x))")
