@@ -112,3 +112,52 @@ def crop_path(targets: DataFrame, keys: list[str], index: str, low: str, high: s
 def fade(value: Column, gain_milli: Column) -> Column:
     """A sample at a gain, halves away from zero."""
     return half_away(value * gain_milli, F.lit(1000))
+
+
+def hsl(r: Column, g: Column, b: Column) -> Column:
+    """STRUCT of hue (thousandths of a degree; null for grey), saturation and lightness (thousandths), halves away from zero."""
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    delta, light = high - low, half_away((high + low) * 1000, F.lit(510))
+    turn = F.when(high == r, (g - b) * 60_000).when(high == g, (b - r) * 60_000 + delta * 120_000).otherwise((r - g) * 60_000 + delta * 240_000)
+    grey = delta == 0
+    hue = F.when(~grey, half_away(F.pmod(turn, F.greatest(delta, F.lit(1)) * 360_000), F.greatest(delta, F.lit(1))) % 360_000)
+    full = F.when(grey, 1).otherwise(F.lit(255) - F.abs(high + low - 255))
+    return F.struct(hue.alias("hue"), F.when(grey, 0).otherwise(half_away(delta * 1000, full)).cast("long").alias("saturation"), light.alias("lightness"))
+
+
+def qualified(colour: Column, hue: tuple[int, int, int] | None, saturation: tuple[int, int, int] | None, lightness: tuple[int, int, int] | None, inverted: bool = False) -> Column:
+    """How far a colour (of hsl) is selected, 0 to 1: the product of its bands. hue is (centre, inner, outer), round the
+    circle; the others are (low, high, soft). Grey has no hue and no weight in a hue band."""
+    weight = F.lit(1.0)
+    if hue:
+        centre, inner, outer = hue
+        off = F.abs(colour["hue"] - centre)
+        off = F.least(off, F.lit(360_000) - off)
+        weight = F.when(off.isNull(), 0.0).when(off <= inner, 1.0).when(off >= outer, 0.0).otherwise((F.lit(outer) - off) / max(outer - inner, 1))
+    for name, limits in (("saturation", saturation), ("lightness", lightness)):
+        if limits:
+            low, high, soft = limits
+            off = F.greatest(F.lit(low) - colour[name], colour[name] - high, F.lit(0))
+            weight = weight * F.when(off == 0, 1.0).when(off >= soft, 0.0).otherwise((F.lit(soft) - off) / max(soft, 1))
+    return F.lit(1.0) - weight if inverted else weight
+
+
+def through_cube(pixels: DataFrame, cube: DataFrame, size: int) -> DataFrame:
+    """Pixels through a table of size ** 3 colours (index, r, g, b from 0 to 1; red runs fastest), trilinear, halves up.
+
+    Each different colour is looked up once, by an equality join with its eight neighbours: 16.7 million colours at most."""
+    colours = pixels.select(*RGB).distinct()
+    at = {c: F.least(F.floor(F.col(c) * (size - 1) / 255), F.lit(size - 2)).cast("long") for c in RGB}
+    rest = {c: F.col(c) * (size - 1) / 255 - at[c] for c in RGB}
+    corners = []
+    for k in range(8):
+        bits = {c: k >> i & 1 for i, c in enumerate(RGB)}
+        share = F.lit(1.0)
+        for c in RGB:
+            share = share * (rest[c] if bits[c] else F.lit(1.0) - rest[c])
+        corners.append(F.struct((at["r"] + bits["r"] + (at["g"] + bits["g"]) * size + (at["b"] + bits["b"]) * size * size).alias("index"), share.alias("share")))
+    near = colours.select(*RGB, F.explode(F.array(*corners)).alias("_c")).select(*RGB, "_c.*").where("share > 0")
+    table = cube.select("index", *(F.col(c).alias(f"_{c}") for c in RGB))
+    out = near.join(table, "index").groupBy(*RGB).agg(*(F.floor(F.sum(F.col("share") * F.col(f"_{c}")) * 255 + 0.5 + 1e-9).cast("long").alias(f"_{c}") for c in RGB))
+    own = pixels.join(out, list(RGB))
+    return own.select(*(F.col(f"_{c}").alias(c) if c in RGB else F.col(c) for c in pixels.columns))

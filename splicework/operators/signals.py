@@ -126,3 +126,26 @@ def admitted(jobs: DataFrame, keys: list[str], order: str, room: int) -> DataFra
 
     own = jobs.select(*names, "weight", "speech", "claims")
     return own.groupBy(*keys).applyInPandas(fold, own.select(*names).schema)
+
+
+def steady_line(points: DataFrame, keys: list[str], run: str, within: float = 1.5, least: int = 4) -> DataFrame:
+    """A weighted least-squares slope that all runs of a key share, and an intercept: keys, slope, intercept.
+
+    points have run, x, y and w. Twice, points more than `within` off their run's line are dropped, unless fewer than `least`
+    would be left. The intercept is that of the heaviest run of two points or more, the least run on ties; keys without
+    one, or with a single x in every run, have no row. Three passes of aggregates, nothing comes to the driver."""
+    per_key, per_run = W.Window.partitionBy(*keys), W.Window.partitionBy(*keys, "_run")
+    kept = lambda c: F.when(F.col("_in"), c)
+    own = points.select(*keys, F.col(run).alias("_run"), "x", "y", "w", F.lit(True).alias("_in"))
+    for again in range(3):
+        total = F.sum(kept(F.col("w"))).over(per_run)
+        own = own.withColumns({"_w": total, "_mx": F.sum(kept(F.col("w") * F.col("x"))).over(per_run) / total, "_my": F.sum(kept(F.col("w") * F.col("y"))).over(per_run) / total, "_n": F.count(kept(F.col("w"))).over(per_run)})
+        dx, dy = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
+        spread = F.sum(kept(F.col("w") * dx * dx)).over(per_key)
+        own = own.withColumn("_slope", F.when(spread > 0, F.sum(kept(F.col("w") * dx * dy)).over(per_key) / spread))
+        if again < 2:
+            own = own.withColumn("_near", F.col("_in") & F.coalesce(F.abs(dy - F.col("_slope") * dx) <= within, F.lit(True)))
+            own = own.withColumn("_in", F.when(F.count(F.when(F.col("_near"), 1)).over(per_key) >= least, F.col("_near")).otherwise(F.col("_in"))).drop("_near")
+    line = own.where((F.col("_n") >= 2) & F.col("_in") & F.col("_slope").isNotNull())
+    best = line.groupBy(*keys).agg(F.max_by(F.struct("_slope", "_mx", "_my"), F.struct("_w", -F.col("_run"))).alias("_b"))
+    return best.select(*keys, F.col("_b._slope").alias("slope"), (F.col("_b._my") - F.col("_b._slope") * F.col("_b._mx")).alias("intercept"))

@@ -126,3 +126,33 @@ def cues(words: DataFrame, keys: list[str], pause: int, longest: int, line_chars
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **c, "text": " ".join(c["text"])} for c in made])
 
     return shape.groupBy(*keys).applyInPandas(fold, out)
+
+
+def stitched(windows: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """Which words of overlapping windows stay: keys, window, pos.
+
+    windows have window, start and stop, in order of start; words have window, pos, start and stop. Where two neighbours
+    overlap, the earlier keeps the words whose middle is before the middle of what they share; the later those that begin at
+    the seam or behind it: that middle, or the end of the last word kept, whichever is later. A window's words are thinned by
+    its earlier neighbour first, so a key is folded in order."""
+    out = f"{', '.join(f'{k} {words.schema[k].dataType.simpleString()}' for k in keys)}, window long, pos long"
+    shape = ["window", "start", "stop"]
+
+    def fold(spans: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        if spans.empty or said.empty:
+            return pd.DataFrame(columns=[*keys, "window", "pos"])
+        parts, left, left_stop = [], None, None
+        for w in spans.sort_values("start")[shape].itertuples(index=False):
+            own = said[said["window"] == w.window].sort_values("pos")
+            if left is not None:
+                if w.start < left_stop:
+                    middle = (w.start + left_stop) // 2
+                    left = left[left["start"] + left["stop"] < 2 * middle]
+                    own = own[own["start"] >= max(middle, left["stop"].iloc[-1] if len(left) else middle)]
+                parts.append(left)
+            left, left_stop = own, w.stop
+        return pd.concat([*parts, left])[[*keys, "window", "pos"]]
+
+    a = windows.select(*keys, F.col("window").cast("long").alias("window"), "start", "stop")
+    b = words.select(*keys, F.col("window").cast("long").alias("window"), F.col("pos").cast("long").alias("pos"), "start", "stop")
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fold, out)

@@ -143,3 +143,12 @@ def jn26_levels(spark, sf_dir):
     """Nodes of a routing graph by level, in which they can be evaluated."""
     s = F.col("s_suppkey")
     return snapshots.levels(read(spark, sf_dir, "supplier").select((s % 50).alias("parent"), (s % 50 + 3 + s % 7 * 4).alias("child")), 8)
+
+
+@query()
+def int35_stitch(spark, sf_dir):
+    """Words of overlapping windows of 900 ticks, 300 apart, stitched at their seams."""
+    w = words(spark, sf_dir)
+    heard = w.withColumn("window", F.explode(F.filter(F.sequence(F.floor(F.col("start") / 600) - 1, F.floor(F.col("start") / 600)), lambda n: n >= 0))).where("stop <= window * 600 + 900")
+    spans = heard.select("asset", "window").distinct().select("asset", "window", (F.col("window") * 600).alias("start"), (F.col("window") * 600 + 900).alias("stop"))
+    return transcripts.stitched(spans, heard, ASSET)

@@ -11,6 +11,7 @@ from splicework.operators import pixels, signals, sound
 from splicework.plans.adapters import CLIPS, WIDTH, clips, read
 from splicework.plans.media_queries import _RGB, _rgb
 from splicework.plans.queries import _LEVEL, _MERGED, HOUR, TRACK, _levels, query
+from splicework.sources import media
 
 #: A sample is a level; samples of a track follow each other by event.
 _SAMPLES = f"{_LEVEL}, sm AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY id) - 1 AS k, db AS v FROM lv)"
@@ -135,14 +136,14 @@ def k10_transitions(spark, sf_dir):
     return _rgb(spark, sf_dir).select("vec_id", "i", at("dissolve").alias("dissolve"), at("dip_black").alias("dip"), at("wipe_left").alias("wipe_left"), at("wipe_right").alias("wipe_right"))
 
 
-@query(f"WITH {_RGB} SELECT vec_id // 30 AS frame, vec_id % 30 // 3 AS x, i // 3 AS y, sum(r) // count(*) AS r, sum(g) // count(*) AS g, sum(b) // count(*) AS b FROM rgb GROUP BY ALL")
+@query(f"WITH {_RGB} SELECT vec_id // 30 AS frame, vec_id % 30 // 3 AS x, i // 3 AS y, (sum(r) // count(*))::BIGINT AS r, (sum(g) // count(*))::BIGINT AS g, (sum(b) // count(*))::BIGINT AS b FROM rgb GROUP BY ALL")
 def agg18_shrink(spark, sf_dir):
     """Pictures shrunk to a third."""
     own = _rgb(spark, sf_dir).select(F.floor(F.col("vec_id") / 30).alias("frame"), (F.col("vec_id") % 30).alias("x"), F.col("i").alias("y"), "r", "g", "b")
     return pixels.shrunk(own, ["frame"], "x", "y", 3)
 
 
-@query(f"WITH {_RGB} SELECT vec_id // 5 AS frame, i, (2 * sum(r) + count(*)) // (2 * count(*)) AS r, (2 * sum(g) + count(*)) // (2 * count(*)) AS g, (2 * sum(b) + count(*)) // (2 * count(*)) AS b FROM rgb GROUP BY ALL")
+@query(f"WITH {_RGB} SELECT vec_id // 5 AS frame, i, ((2 * sum(r) + count(*)) // (2 * count(*)))::BIGINT AS r, ((2 * sum(g) + count(*)) // (2 * count(*)))::BIGINT AS g, ((2 * sum(b) + count(*)) // (2 * count(*)))::BIGINT AS b FROM rgb GROUP BY ALL")
 def agg16_average(spark, sf_dir):
     """Five pictures averaged into one."""
     own = _rgb(spark, sf_dir).select(F.floor(F.col("vec_id") / 5).alias("frame"), "i", "r", "g", "b")
@@ -174,3 +175,43 @@ def win7_crop_path(spark, sf_dir):
     """A path near the samples that moves at most 20 a step."""
     own = _samples(spark, sf_dir).withColumns({"low": F.lit(0).cast("long"), "high": F.col("k") % 7 * 5 + 400})
     return pixels.crop_path(own, TRACK, "k", "low", "high", "v", 20)
+
+
+_HSL = f"""{_RGB}, x AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo, greatest(r, g, b) - least(r, g, b) AS d FROM rgb),
+t AS (SELECT *, CASE WHEN hi = r THEN (g - b) * 60000 WHEN hi = g THEN (b - r) * 60000 + 120000 * d ELSE (r - g) * 60000 + 240000 * d END AS t FROM x),
+h AS (SELECT vec_id, i, CASE WHEN d > 0 THEN ((2 * ((t % (360000 * d) + 360000 * d) % (360000 * d)) + d) // (2 * d)) % 360000 END AS hue, CASE WHEN d > 0 THEN (2000 * d + 255 - abs(hi + lo - 255)) // (2 * (255 - abs(hi + lo - 255))) ELSE 0 END AS saturation, (2000 * (hi + lo) + 510) // 1020 AS lightness FROM t)"""
+
+
+@query(f"""WITH {_HSL}, o AS (SELECT *, least(abs(hue - 350000), 360000 - abs(hue - 350000)) AS o, greatest(200 - saturation, saturation - 800, 0) AS p FROM h)
+  SELECT vec_id, i, hue, saturation, lightness, round(CASE WHEN o IS NULL OR o >= 90000 THEN 0.0 WHEN o <= 40000 THEN 1.0 ELSE (90000 - o) / 50000 END * CASE WHEN p = 0 THEN 1.0 WHEN p >= 150 THEN 0.0 ELSE (150 - p) / 150 END, 9)::DOUBLE AS weight FROM o""")
+def flt15_qualifier(spark, sf_dir):
+    """Hue, saturation and lightness, and how far reds of some saturation are selected."""
+    own = _rgb(spark, sf_dir).withColumn("c", pixels.hsl(F.col("r"), F.col("g"), F.col("b")))
+    weight = pixels.qualified(F.col("c"), (350_000, 40_000, 90_000), (200, 800, 150), None)
+    return own.select("vec_id", "i", "c.hue", "c.saturation", "c.lightness", F.round(weight, 9).alias("weight"))
+
+
+@query(f"WITH {_RGB} SELECT vec_id, i, 255 - r AS r, g, b FROM rgb")
+def k4_cube(spark, sf_dir):
+    """Pixels through a colour table of 5 ** 3 values that turns red round, read from a .cube text."""
+    rows = "\n".join(f"{1 - r / 4} {g / 4} {b / 4}" for b in range(5) for g in range(5) for r in range(5))
+    cube = media.parse_cube(spark.createDataFrame([(1, f'TITLE "x"\nLUT_3D_SIZE 5\n{rows}\n')], "id long, text string"), "id", "text")
+    return pixels.through_cube(_rgb(spark, sf_dir), cube, 5)
+
+
+@query(f"WITH {_SAMPLES} SELECT track, k % 2 AS channel, k // 2 AS frame, v AS value FROM sm UNION ALL SELECT track, 1, max(k) // 2, 0 FROM sm GROUP BY track HAVING max(k) % 2 = 0")
+def src10_wav(spark, sf_dir):
+    """Samples written as stereo WAV files and read again."""
+    s = _samples(spark, sf_dir).select("track", (F.col("k") % 2).alias("channel"), F.floor(F.col("k") / 2).alias("frame"), F.col("v").alias("value"))
+    pad = s.groupBy("track").agg((F.count_if(F.col("channel") == 0) > F.count_if(F.col("channel") == 1)).alias("odd"), F.max("frame").alias("frame"))
+    both = s.unionByName(pad.where("odd").select("track", F.lit(1).alias("channel"), "frame", F.lit(0).alias("value")))
+    files = media.encode_wav(both, TRACK, 48_000)
+    return media.sound_samples(media.sound_blocks(files, "track", "content"), "track").select("track", F.col("channel").cast("long").alias("channel"), "frame", "value")
+
+
+@query()
+def win10_steady_line(spark, sf_dir):
+    """The steady period of each track's events in runs of twenty, outliers dropped."""
+    s = _samples(spark, sf_dir)
+    points = s.select("track", F.floor(F.col("k") / 20).alias("run"), F.col("k").cast("double").alias("x"), (F.col("k") * 12.5 + F.col("v") % 3).cast("double").alias("y"), (F.col("v") % 5 + 1).cast("double").alias("w"))
+    return signals.steady_line(points, TRACK, "run").select("track", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))

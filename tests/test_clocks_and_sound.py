@@ -9,8 +9,8 @@ from math import log
 import pytest
 from pyspark.sql import functions as F
 
-from splicework.operators import checks, clocks, pixels, sound
-from splicework.sources import captions, otio
+from splicework.operators import checks, clocks, pixels, signals, sound, transcripts
+from splicework.sources import captions, media, otio
 
 
 def found(df, *columns):
@@ -164,3 +164,44 @@ def test_new_operators_on_empty_tables(spark):
         checks.transcript(none.withColumns({"pos": F.col("k"), "word": F.lit("x")}), ["track"]), otio.exported(none.withColumns({"kind": F.lit("Video"), "name": F.lit("x"), "url": F.lit("y")}), ["track"], "k", 25),
     ):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("rgb, want", [
+    ((255, 0, 0), (0, 1000, 500)), ((255, 255, 0), (60_000, 1000, 500)), ((0, 255, 0), (120_000, 1000, 500)), ((0, 255, 255), (180_000, 1000, 500)), ((0, 0, 255), (240_000, 1000, 500)),
+    ((255, 0, 255), (300_000, 1000, 500)), ((7, 7, 7), (None, 0, 27)), ((0, 0, 0), (None, 0, 0)), ((255, 255, 255), (None, 0, 1000)), ((255, 0, 1), (359_765, 1000, 500)),
+])
+def test_colours(spark, rgb, want):
+    own = spark.range(1).select(pixels.hsl(*(F.lit(c).cast("long") for c in rgb)).alias("c"))
+    assert tuple(own.first()["c"]) == want
+    near = want[0] is not None and min(want[0], 360_000 - want[0]) <= 1000
+    assert own.select(pixels.qualified(F.col("c"), (0, 1000, 1000), None, None), pixels.qualified(F.col("c"), (0, 1000, 1000), None, None, True)).first() == (float(near), float(not near))
+
+
+def test_windows_are_stitched_at_their_seams(spark):
+    windows = spark.createDataFrame([("t", 1, 0, 100), ("t", 2, 60, 160), ("t", 3, 200, 300), ("u", 1, 0, 9)], "track string, window long, start long, stop long")
+    rows = [(1, 0, 10, 20), (1, 1, 70, 85), (1, 2, 78, 90), (2, 0, 61, 70), (2, 1, 80, 84), (2, 2, 85, 95), (2, 3, 150, 160), (3, 0, 200, 210)]
+    words = spark.createDataFrame([("t", *r) for r in rows] + [("v", 1, 0, 1, 2)], "track string, window long, pos long, start long, stop long")
+    # the first window keeps what has its middle before 80; its last word ends at 85, where the second begins
+    assert found(transcripts.stitched(windows, words, ["track"]), "track", "window", "pos") == [("t", 1, 0), ("t", 1, 1), ("t", 2, 2), ("t", 2, 3), ("t", 3, 0)]
+
+
+def test_steady_line_drops_outliers(spark):
+    rng = random.Random(6)
+    good = [(r, float(x), 7.5 * x + 100 * r + rng.uniform(-0.2, 0.2), 1.0 + (r == 1)) for r in range(3) for x in range(r * 10, r * 10 + 8)]
+    bad = [(0, 3.0, 60.0, 0.3), (2, 25.0, 500.0, 0.3)]
+    df = spark.createDataFrame([("t", *p) for p in good + bad] + [("one", 0, 1.0, 2.0, 1.0)], "track string, run long, x double, y double, w double")
+    ((key, slope, intercept),) = found(signals.steady_line(df, ["track"], "run"), "track", "slope", "intercept")
+    assert key == "t" and slope == pytest.approx(7.5, abs=0.05) and intercept == pytest.approx(100, abs=1)
+
+
+def test_cubes_and_sounds_that_are_none(spark):
+    rows = "\n".join(f"{r} {g} .5" for b in range(2) for g in range(2) for r in range(2))
+    texts = [(1, f"# x\r\nLUT_3D_SIZE 2\r\nDOMAIN_MIN 0 0 0\r\n\n{rows}\n"), (2, f"LUT_3D_SIZE 3\n{rows}"), (3, rows), (4, None), (5, "")]
+    got = media.parse_cube(spark.createDataFrame(texts, "id long, t string"), "id", "t")
+    assert found(got.where("index = 1"), "id", "size", "r", "g", "b") == [(1, 2, 1.0, 0.0, 0.5)] and got.count() == 8
+    samples = spark.createDataFrame([("a", 0, 0, 5), ("a", 1, 0, -7), ("a", 0, 2, 99_999), ("b", 0, 0, 1)], "f string, channel int, frame long, value long")
+    files = media.encode_wav(samples, ["f"], 8_000)
+    odd = spark.createDataFrame([("c", bytearray(b"RIFF")), ("d", None), ("e", bytearray(b"RIFF\0\0\0\0WAVEdata\4\0\0\0abcd"))], "f string, content binary")
+    back = media.sound_samples(media.sound_blocks(files.unionByName(odd), "f", "content"), "f")
+    assert found(back.where("value <> 0"), "f", "rate", "channel", "frame", "value") == [("a", 8000, 0, 0, 5), ("a", 8000, 0, 2, 32_767), ("a", 8000, 1, 0, -7), ("b", 8000, 0, 0, 1)]
+    assert back.count() == 7
