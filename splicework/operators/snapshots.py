@@ -69,3 +69,36 @@ def levels(edges: DataFrame, deepest: int) -> DataFrame:
         level = own.join(level, own["parent"] == level["node"]).select(F.col("child").alias("node")).distinct()
         every = every.unionByName(level.withColumn("level", F.lit(depth)))
     return every.groupBy("node").agg(F.max("level").alias("level"))
+
+
+def edited(rows: DataFrame, edits: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """rows (keys, values) after edits (keys, op: add, replace or remove; values): one edit a key.
+
+    An edit that does not fit (adding what is there; replacing or removing what is not) changes nothing: see misfits()."""
+    there, op = F.col("_old").isNotNull(), F.col("op")
+    both = rows.select(*keys, F.struct(*values).alias("_old")).join(edits.select(*keys, "op", F.struct(*values).alias("_new")), keys, "full_outer")
+    after = F.when(there & (op == "replace"), F.col("_new")).when(there & F.coalesce(op != "remove", F.lit(True)), F.col("_old")).when(~there & (op == "add"), F.col("_new"))
+    return both.select(*keys, after.alias("_row")).where("_row is not null").select(*keys, "_row.*")
+
+
+def misfits(rows: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """Edits that cannot be made: keys, issue (exists, missing, or repeated: several edits of one key)."""
+    n = F.count("*").over(W.Window.partitionBy(*keys))
+    own = edits.select(*keys, "op", n.alias("_n")).join(rows.select(*keys, F.lit(True).alias("_there")).distinct(), keys, "left")
+    issue = F.when(F.col("_n") > 1, "repeated").when((F.col("op") == "add") & F.col("_there"), "exists").when((F.col("op") != "add") & F.col("_there").isNull(), "missing")
+    return own.select(*keys, issue.alias("issue")).where("issue is not null")
+
+
+def reached(members: DataFrame, start: DataFrame, node: str, group: str, rounds: int) -> DataFrame:
+    """Nodes that share a group with a start node, directly or over others, within `rounds` rounds: node, round (the first).
+
+    members are pairs (node, group), such as tracks and the links on them; each round goes from the nodes just found to their
+    groups and on to all members of those. Start nodes are of round 0; null groups tie nothing."""
+    own = members.select(node, group).where(F.col(group).isNotNull()).distinct()
+    new = start.select(node).distinct()
+    every = new.withColumn("round", F.lit(0))
+    for n in range(1, rounds + 1):
+        groups = own.join(new, node, "left_semi").select(group).distinct()
+        new = own.join(groups, group, "left_semi").select(node).distinct()
+        every = every.unionByName(new.withColumn("round", F.lit(n)))
+    return every.groupBy(node).agg(F.min("round").alias("round"))

@@ -152,3 +152,36 @@ def int35_stitch(spark, sf_dir):
     heard = w.withColumn("window", F.explode(F.filter(F.sequence(F.floor(F.col("start") / 600) - 1, F.floor(F.col("start") / 600)), lambda n: n >= 0))).where("stop <= window * 600 + 900")
     spans = heard.select("asset", "window").distinct().select("asset", "window", (F.col("window") * 600).alias("start"), (F.col("window") * 600 + 900).alias("stop"))
     return transcripts.stitched(spans, heard, ASSET)
+
+
+_TURNS = """c AS (SELECT conv_id, turn, turn * 2500 AS start, role AS text FROM conversations), e AS (SELECT conv_id, turn + CASE WHEN turn % 4 = 0 THEN 100 ELSE 0 END AS turn, ['add', 'replace', 'remove'][(turn % 3 + 1)::INT] AS op, turn * 2500 + 40 AS start, 'new ' || role AS text FROM conversations WHERE turn % 5 < 3)"""
+
+
+def _turns(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 2500).alias("start"), F.col("role").alias("text"))
+    op = F.element_at(F.array(F.lit("add"), F.lit("replace"), F.lit("remove")), (F.col("turn") % 3 + 1).cast("int"))
+    e = c.where("turn % 5 < 3").select("conv_id", (F.col("turn") + F.when(F.col("turn") % 4 == 0, 100).otherwise(0)).alias("turn"), op.alias("op"), (F.col("start") + 40).alias("start"), F.concat(F.lit("new "), "text").alias("text"))
+    return c, e
+
+
+@query(f"""WITH {_TURNS} SELECT coalesce(c.conv_id, e.conv_id) AS conv_id, coalesce(c.turn, e.turn) AS turn, CASE WHEN c.turn IS NULL OR op = 'replace' THEN e.start ELSE c.start END AS start, CASE WHEN c.turn IS NULL OR op = 'replace' THEN e.text ELSE c.text END AS text
+  FROM c FULL JOIN e ON e.conv_id = c.conv_id AND e.turn = c.turn WHERE CASE WHEN c.turn IS NULL THEN op = 'add' ELSE coalesce(op <> 'remove', true) END""")
+def int38_edited(spark, sf_dir):
+    """Cues after a batch of additions, replacements and removals."""
+    c, e = _turns(spark, sf_dir)
+    return snapshots.edited(c, e, ["conv_id", "turn"], ["start", "text"])
+
+
+@query(f"""WITH {_TURNS} SELECT e.conv_id, e.turn, CASE WHEN op = 'add' THEN 'exists' ELSE 'missing' END AS issue FROM e LEFT JOIN c ON c.conv_id = e.conv_id AND c.turn = e.turn WHERE (op = 'add') = (c.turn IS NOT NULL)""")
+def int37_misfits(spark, sf_dir):
+    """Edits that do not fit the cues they name."""
+    c, e = _turns(spark, sf_dir)
+    return snapshots.misfits(c, e, ["conv_id", "turn"])
+
+
+@query(f"""WITH RECURSIVE {CLIPS}, m AS (SELECT DISTINCT track, id // 2 AS link FROM clips WHERE layer < 2), t AS (SELECT 1::BIGINT AS track, 0 AS round UNION SELECT b.track, round + 1 FROM t JOIN m a ON a.track = t.track JOIN m b ON b.link = a.link WHERE round < 2)
+  SELECT track, min(round)::INTEGER AS round FROM t GROUP BY track""")
+def jn14_reached(spark, sf_dir):
+    """Tracks that links tie to the first one, over two others at most."""
+    c = clips(spark, sf_dir).where("layer < 2").withColumn("link", F.floor(F.col("id") / 2))
+    return snapshots.reached(c, spark.range(1, 2).select(F.col("id").alias("track")), "track", "link", 2)

@@ -117,3 +117,19 @@ def test_documents_without_assets_stay(spark):
     d = spark.createDataFrame([(1, "a\\b", "s1"), (2, "c", "s2"), (3, None, None)], "id long, path string, sha256 string")
     a = spark.createDataFrame([(10, "a/b", None), (11, "z", "s2"), (12, "y", "s2")], "id long, path string, sha256 string")
     assert sorted(map(tuple, reading.bound(d, a).collect()), key=str) == [(1, 10), (2, 11), (2, 12), (3, None)]
+
+
+def test_links_are_followed_by_rounds(spark):
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 2), ("c", 3), ("d", 3), ("e", None), ("a", None)], "track string, link long")
+    start = members.where("track = 'a'")
+    assert found(snapshots.reached(members, start, "track", "link", 2), "track", "round") == [("a", 0), ("b", 1), ("c", 2)]
+    assert found(snapshots.reached(members, start, "track", "link", 3), "track", "round") == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+
+
+def test_edits_that_do_not_fit_change_nothing(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, text string")
+    fits = spark.createDataFrame([(1, "remove", None), (2, "replace", "c"), (4, "add", "d")], "id long, op string, text string")
+    assert found(snapshots.edited(rows, fits, ["id"], ["text"]), "id", "text") == [(2, "c"), (3, None), (4, "d")]
+    bad = spark.createDataFrame([(1, "add", "x"), (5, "remove", None), (6, "replace", "y"), (2, "remove", None), (2, "remove", None)], "id long, op string, text string")
+    assert found(snapshots.edited(rows, bad.where("id <> 2"), ["id"], ["text"]), "id", "text") == [(1, "a"), (2, "b"), (3, None)]
+    assert found(snapshots.misfits(rows, bad, ["id"]), "id", "issue") == [(1, "exists"), (2, "repeated"), (2, "repeated"), (5, "missing"), (6, "missing")]
