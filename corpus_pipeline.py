@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicework.llm import decontaminate, mixing, pii, quality, simhash
+from splicework.llm import decontaminate, mixing, near_copies, pii, quality
 from splicework.llm.common import table, written
 
 
@@ -21,7 +21,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

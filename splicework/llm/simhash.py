@@ -208,10 +208,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the least id; rows of equal ids and all components without ids stay."""
-    own = near_duplicates(docs, id_col, text_col)
-    drop = own.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(drop, docs[id_col] == drop["doc_id"], "left_anti")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from splicework.llm import decontaminate, interpolated_lm, line_rules, mixing, pii, quality, simhash, textarrays, token_counts, url_filter, warc
+from splicework.llm import decontaminate, interpolated_lm, line_rules, mixing, near_copies, pii, quality, simhash, textarrays, token_counts, url_filter, warc
 from splicework.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -115,6 +115,45 @@ def test_simhash_against_brute_force(spark, awkward):
     assert sorted(((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got), key=key) == sorted(want, key=key)
 
 
+def brute_near(texts):
+    """Component (its least place) of each text, by five-word shingles of which 0.8 or more are common."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    comp = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
+    return comp
+
+
+def near_texts():
+    """Copies with some words changed, around a similarity of 0.8, and a chain whose ends are unlike."""
+    rng = random.Random(21)
+    texts = [None, "", "a b", "a b", "a b c", *(" ".join(sentence(rng, 60).split()) for _ in range(5))]
+    for base in texts[5:]:
+        for k in (0, 1, 1, 2, 2, 3, 3, 4):
+            words = base.split()
+            for _ in range(k):
+                words[rng.randrange(len(words))] = f"changed{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    words = sentence(rng, 100).split()
+    for i in range(20):
+        words[5 * i] = f"step{i}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_near_copies_against_brute_force(spark):
+    texts = near_texts()
+    comp = brute_near(texts)
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = corpus_pipeline.deduplicate(spark, rows.repartition(5), SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(comp)) and got.columns == rows.columns
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
