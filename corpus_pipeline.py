@@ -36,7 +36,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's size and how many of its words the mix takes."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, to_target=True)
 
 
 STAGES = [

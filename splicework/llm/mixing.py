@@ -6,6 +6,9 @@ number r of a source takes the block r mod (its blocks). Blocks are runs of equa
 source's documents, which are shuffled by a digest of their ids. A slot whose rank is beyond MOST_COPIES
 rounds stays unfilled, so no document is taken more than MOST_COPIES times.
 
+With to_target, no schedule is shared out: each source's stream is taken in whole rounds and then from its start, cut to
+the word, so that a source of any size gets its target rounded to a whole word.
+
 Scale. Sources are a small dimension: their totals come to the driver, MAX_SOURCES at most (more raise an
 error). A hot source's documents are dealt out to SPANS spans by their digest; totals of spans give each
 span's place, and order is needed within a span only. Slots are as many as SLOTS, or 64 a source; their
@@ -69,15 +72,15 @@ def with_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _taken(sized, docs.columns, id_col, text_col, source_col)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row per document: id, size, source_size, target, taken."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", to_target: bool = False) -> DataFrame:
+    """A row per document: id, size, source_size, target, taken; with to_target, each source's taken words are its target, rounded."""
     sized = docs.select(F.col(id_col), F.col(source_col), n_words(F.col(text_col)).alias("mix_size"), F.xxhash64(text_col).alias("_tie"))
     sized = written(sized, "mix-sizes")
-    out = _taken(sized, [id_col], id_col, None, source_col)
+    out = _taken(sized, [id_col], id_col, None, source_col, to_target)
     return out.select(id_col, F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
-def _taken(sized: DataFrame, keep: list[str], id_col: str, text_col: str | None, source_col: str) -> DataFrame:
+def _taken(sized: DataFrame, keep: list[str], id_col: str, text_col: str | None, source_col: str, to_target: bool = False) -> DataFrame:
     spark = sized.sparkSession
     rows = sized.groupBy(source_col).agg(F.sum("mix_size").alias("n")).orderBy(F.col(source_col).asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -87,7 +90,7 @@ def _taken(sized: DataFrame, keep: list[str], id_col: str, text_col: str | None,
     n_slots = max(SLOTS, 64 * len(rows))
     block = max(1, -(-int(sum(want)) // n_slots))
     n_slots = -(-int(sum(want)) // block)
-    sources = spark.createDataFrame([(r[source_col], i, n, float(t)) for i, (r, n, t) in enumerate(zip(rows, sizes, want, strict=True))], "_name string, _source int, mix_source_size long, mix_target double")
+    sources = spark.createDataFrame([(r[source_col], i, n, float(t), round(t)) for i, (r, n, t) in enumerate(zip(rows, sizes, want, strict=True))], "_name string, _source int, mix_source_size long, mix_target double, _goal long")
     tie = F.xxhash64(text_col) if text_col else F.col("_tie")
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     own = sized.join(F.broadcast(sources), sized[source_col].eqNullSafe(sources["_name"])).withColumns({"_digest": digest, "_tie_": tie})
@@ -99,6 +102,10 @@ def _taken(sized: DataFrame, keep: list[str], id_col: str, text_col: str | None,
     own = own.withColumn("_from", F.col("_from") + F.col("_base")).withColumn("_to", F.col("_from") + F.col("mix_size"))
     if n_slots == 0:
         return own.select(*keep, "mix_size", "mix_source_size", "mix_target", F.lit(0).cast("long").alias("mix_taken"))
+    if to_target:
+        left = F.greatest(F.lit(0), F.least("mix_size", F.expr("_goal % mix_source_size") - F.col("_from")))
+        taken = F.when(F.col("mix_size") > 0, F.expr("_goal div mix_source_size") * F.col("mix_size") + left).otherwise(0)
+        return own.select(*keep, "mix_size", "mix_source_size", "mix_target", taken.cast("long").alias("mix_taken"))
     # the blocks, SLOTS and MAX_SOURCES of them at most; how often each is taken, and tokens taken before it
     n_blocks = F.ceil(F.col("mix_source_size") / block)
     slots = schedule(spark, want, n_slots).join(F.broadcast(sources), F.col("source") == F.col("_source")).where(F.col("rank") < MOST_COPIES * n_blocks)

@@ -348,6 +348,21 @@ def test_mixing(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_meets_small_targets(spark):
+    """One hot source and a tail of small ones; each gets its target, rounded."""
+    rng = random.Random(22)
+    rows = [(i, "w " * 2000, None, "hot", None) for i in range(3000)]
+    rows += [(10_000 + 100 * s + k, "w " * rng.choice([1, 5, 10 ** (s % 4)]), None, f"tail{s:03}", None) for s in range(120) for k in range(1 + s % 10)]
+    sizes = {i: (s, len(t.split())) for i, t, _, s, _ in rows}
+    taken, target = collections.Counter(), {}
+    for r in corpus_pipeline.mix(spark, spark.createDataFrame(rows, DOCS), SF).collect():
+        source, size = sizes[r["doc_id"]]
+        assert r["size"] == size and 0 <= r["taken"] <= 2 * size
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+    assert len(target) == 121 and all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100]) == [Fraction(200), Fraction(250, 3), Fraction(500, 3)]
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
