@@ -37,6 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column of numbered(): a name that tables are not expected to have.
+ROW = "_splicework_row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder with a key of each row in ROW; ids may be null or repeat."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splicework.llm.common import ROW, numbered
 from splicework.llm.textarrays import ALNUM, LOWER, mix, shingle_hashes, word_hashes
 
 SHINGLE, CONTAINED, SPREAD, SMALL, BLOCK = 5, 0.8, 4, 16, 1_000_000
@@ -133,6 +134,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text") -> DataFrame:
-    """The documents that contain no item, with all their columns; those with a null id stay unless their like is found."""
-    bad = search(docs, items, id_col, text_col, item_id_col, item_col).select("doc_id").distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows that contain no item, with all their columns; each row is judged by its own text, whatever its id."""
+    rows = numbered(docs, "decontaminate-rows")
+    bad = search(rows, items, ROW, text_col, item_id_col, item_col).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)

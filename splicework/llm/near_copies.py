@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splicework.llm.common import written
+from splicework.llm.common import ROW, numbered, written
 from splicework.llm.simhash import components
 
 WORDS, SHARED, SEED = 5, (4, 5), 42
@@ -168,9 +168,11 @@ def grouped(rows: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the least id; rows of equal ids and all components without ids stay."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    own = written(rows.select("_row", F.col(id_col).alias("id")).join(grouped(rows, text_col), "_row"), "near-groups")
-    first = own.groupBy("root").agg(F.min("id").alias("first"))
-    drop = own.join(first, "root").where("id != first").select("id").distinct()
-    return rows.join(drop, rows[id_col] == drop["id"], "left_anti").select(*docs.columns)
+    """One row of each component: that of the least id, rows without ids last; then by digest of the text."""
+    rows = numbered(docs, "near-rows")
+    own = rows.select(F.col(ROW).alias("_row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"))
+    own = own.join(grouped(rows.select(F.col(ROW).alias("_row"), text_col), text_col), "_row")
+    own = written(own.select("_row", "root", F.struct(F.col("id").isNull().alias("none"), "id", "tie", "_row").alias("place")), "near-groups")
+    first = own.groupBy("root").agg(F.min("place").alias("first"))
+    drop = own.join(first, "root").where("_row != first._row").select(F.col("_row").alias(ROW))
+    return rows.join(drop, ROW, "left_anti").select(*docs.columns)

@@ -154,6 +154,20 @@ def test_near_copies_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(comp)) and got.columns == rows.columns
 
 
+def test_filters_judge_rows_and_not_ids(spark):
+    """Null and repeated ids: one row of each group stays, and a row with an item takes no other with it."""
+    rng = random.Random(23)
+    a, b, c, item = (sentence(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " more"), (7, b), (7, b), (7, c), (1, c), (None, "x " + item), (5, item + " y"), (5, sentence(rng, 50)), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.deduplicate(spark, docs, SF).collect()]
+    assert len(left) == 6 and {t for _, t in left if t.startswith(a)} < {a, a + " more"}
+    assert [i for i, t in left if t == b] == [7] and [i for i, t in left if t == c] == [1] and (None, "") in left
+    tests = spark.createDataFrame([(0, item)], "item_id long, text string")
+    left = decontaminate.without_items(docs, tests)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted((i or 0, t) for i, t in rows if item not in t) and left.columns == docs.columns
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
