@@ -1,15 +1,27 @@
-"""Near copies by five-word shingles: two texts are linked if SHARED (0.8) or more of their shingles are common.
-
-A text's shingles are the distinct runs of WORDS (5) words, as 64-bit digests; a shorter text is one shingle, and
-null and blank texts have none. Texts of equal shingle sets are one node throughout (64-bit digest of the set).
-
-Candidates: MinHash, BANDS keys of ROWS minima each; texts that share a key meet. A pair of similarity s meets
-with probability 1 - (1 - s^5)^24: 1 - 7e-5 at 0.8, more above. That is the only thing that can be missed. All
-candidates are verified on their exact shingle sets, so no pair below SHARED links.
-
-Scale. First, each node is held against the least node of each of its keys; that is linear in keys and joins tight
-groups of any size. What is left of a key (nodes of different components besides its least) is compared in one task,
-only between components; keys with the same nodes are compared once. Texts are sent only for candidates.
+"""SimHash near-dedup at a similarity: Golay-code fuzzy hashing of five-word shingles, verified exactly.
+
+Two texts are linked if SHARED (0.8) or more of their shingles are common: Jaccard similarity of the sets of runs of
+WORDS (5) words, lower-cased; a shorter text is one shingle. Texts of equal shingle sets are one node throughout, so
+all null and blank texts are copies of each other.
+
+Fingerprint: BITS (256) sums, over the set, of +1 or -1 by a bit of each shingle's hash; the bits are the sums' signs. At a
+similarity of 0.8 some 39 of 256 bits differ, far beyond what a search by few errors reaches. So segments are decoded
+softly: each of SEGMENTS (5) segments of 23 sums goes to the NEAR (4) codewords of the (23, 12) Golay code with the
+greatest inner products, as bits that differ are mostly those whose sums were small. Two texts of similarity 0.8 have a
+codeword of a segment in common with probability 0.848 (simulated; 0.92 at 0.85, 0.97 at 0.9). By pigeonhole over
+segments, texts that agree in two segments or more share one of the 160 keys (two segments, a codeword of each):
+0.998 at 0.8 and 0.9998 at 0.85. That, and the limits below (1e-5), is all that can be missed.
+
+Candidates are pairs that share a key, differ in FIRST (40) or fewer of the first 128 bits, and in FAR (66) or fewer of all;
+unrelated texts that share a key differ in about 117. Clusters are the components of the candidates. Within a cluster all
+links are found on exact shingle sets, so no pair below SHARED links, and no link is lost to a cap.
+
+Scale. Keys have 24 bits and a choice of 10, so unrelated texts share one at 1.5e-4 of all pairs, a comparison of two
+words each; key rows hold the first 128 bits, 20 bytes in all. Those of one key meet in one task: 24 bytes each, and a
+dense key costs little more than a comparison each. A cluster is searched breadth first by an inverted index of its
+shingles; one of more than BLOCK bytes of text is dealt to blocks at random, twice, which joins what is dense; what then
+lies outside its cluster's largest component is compared with all blocks. So a task holds two blocks at most (or a
+longer text), and a cluster of any size is split.
 """
 
 from __future__ import annotations
@@ -23,118 +35,183 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicework.llm.common import ROW, numbered, written
-from splicework.llm.simhash import components
+from splicework.llm.simhash import GENERATOR, components
+from splicework.llm.textarrays import mix, shingle_hashes, word_hashes
 
 WORDS, SHARED, SEED = 5, (4, 5), 42
-BANDS, ROWS = 24, 5
-_FACTORS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_STARTS = np.random.default_rng(SEED + 1).integers(0, 2**64, BANDS, dtype=np.uint64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+BITS, SEGMENTS, NEAR, FIRST, FAR, BLOCK = 256, 5, 4, 40, 66, 4 << 20
+CHOICES = [(i, j) for i in range(SEGMENTS) for j in range(i)]
+KEYS = len(CHOICES) * NEAR * NEAR
+#: Keys of up to so many fingerprints are compared pair by pair, all keys of a batch at once.
+SMALL = 16
+_SALTS = np.random.default_rng(SEED).integers(0, 2**64, BITS // 64, dtype=np.uint64)
+
+
+def _codewords() -> np.ndarray:
+    """Those of the code's 4096 words that have their highest bit clear, as rows of +1 and -1; the others are their complements."""
+    words = np.arange(2048) << 11
+    low = words.copy()
+    for bit in range(22, 10, -1):
+        low = np.where(low >> bit & 1, low ^ (GENERATOR << (bit - 11)), low)
+    return ((words ^ low)[:, None] >> np.arange(23) & 1) * 2.0 - 1.0
+
+
+_CODE = _codewords()
 
 
 def shingles(text: bytes) -> np.ndarray:
     """Digests of the text's distinct shingles, in order."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    n = min(WORDS, len(words))
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=False)], dtype=np.uint64))
-
-
-def alike(shared: np.ndarray | int, a: np.ndarray | int, b: int) -> np.ndarray | bool:
+    return np.unique(shingle_hashes(word_hashes(text)[0], WORDS))
+
+
+def sums(hashes: np.ndarray) -> np.ndarray:
+    """The BITS sums of +1 and -1."""
+    total = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        part = hashes[i : i + (1 << 14), None] ^ _SALTS
+        total += np.unpackbits(mix(part).view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * total - len(hashes)
+
+
+def fingerprints(totals: np.ndarray) -> np.ndarray:
+    """Of rows of sums, rows of BITS / 64 words."""
+    return np.packbits(totals > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1, BITS // 64)
+
+
+def keys(totals: np.ndarray) -> np.ndarray:
+    """KEYS keys of each row of sums: a choice of two segments, and the index of one of the NEAR codewords of each."""
+    near = np.empty((len(totals), SEGMENTS, NEAR), np.int64)
+    for at in range(0, len(totals), 128):
+        fit = totals[at : at + 128, : SEGMENTS * 23].reshape(-1, 23).astype(np.float64) @ _CODE.T
+        best = np.sort(np.argpartition(np.abs(fit), -NEAR, axis=1)[:, -NEAR:], axis=1)
+        near[at : at + 128] = (best | (np.take_along_axis(fit, best, axis=1) < 0) << 11).reshape(-1, SEGMENTS, NEAR)
+    out = [(c << 24 | near[:, i, :, None] << 12 | near[:, j, None, :]).reshape(-1, NEAR * NEAR) for c, (i, j) in enumerate(CHOICES)]
+    return np.concatenate(out, axis=1).reshape(-1, KEYS)
+
+
+def alike(shared: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
     """Whether sets of a and b shingles with so many in common have a similarity of SHARED or more."""
     return shared * SHARED[1] >= SHARED[0] * (a + b - shared)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), 2048):
-        out = np.minimum(out, (hashes[i : i + 2048, None] * _FACTORS).min(axis=0))
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def candidates(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of FIRST bits or fewer within each run of equal keys: all of small runs, a spanning forest of each larger one."""
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    size = np.diff(start, append=len(key))
+    group, small = np.repeat(np.arange(len(start)), size), np.repeat(size <= SMALL, size)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for d in range(1, min(SMALL, int(size.max(initial=0)))):
+        i = np.flatnonzero((group[:-d] == group[d:]) & small[:-d])
+        i = i[_distance(fp[i], fp[i + d]) <= FIRST]
+        left.append(i)
+        right.append(i + d)
+    for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
+        rest = np.arange(s, s + n)
+        while len(rest):
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                x = queue.pop()
+                near = _distance(fp[rest], fp[x]) <= FIRST
+                if near.any():
+                    found, rest = rest[near], rest[~near]
+                    left.append(np.full(len(found), x))
+                    right.append(found)
+                    queue.extend(found)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def links(sets: list[np.ndarray], group: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of alike sets that connect all groups with alike members; what is in one group counts as connected."""
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    by_group = np.argsort(group, kind="stable")
+    first = np.searchsorted(group[by_group], group, "left")
+    last = np.searchsorted(group[by_group], group, "right")
+    open_, out = np.ones(len(sets), bool), []
+
+    def reach(i: int) -> list[int]:
+        """All of i's group that are open; they are not open any more."""
+        found = [j for j in by_group[first[i] : last[i]].tolist() if open_[j]]
+        open_[found] = False
+        return found
+
+    for root in range(len(sets)):
+        if not open_[root]:
+            continue
+        queue = reach(root)
+        while queue and open_.any():
+            x = queue.pop()
+            lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+            n = hi - lo
+            places = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else lo
+            shared = np.bincount(owner[places], minlength=len(sets))
+            for j in np.flatnonzero(open_ & alike(shared, sizes, len(sets[x]))).tolist():
+                if open_[j]:
+                    out.append((x, j))
+                    queue.extend(reach(j))
     return out
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """BANDS keys of each row of minima."""
-    own = least.reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(_STARTS, own.shape[:2])
-    for r in range(ROWS):
-        key = (key ^ own[:, :, r]) * _MIX
-        key = key ^ (key >> np.uint64(29))
-    return key
+def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            sets = [shingles(t.as_py() or b"") for t in part.column(1)]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            totals = np.array([sums(s) for s in sets], dtype=np.int64).reshape(-1, BITS)
+            fp = fingerprints(totals).view(np.int64)
+            found = pa.ListArray.from_arrays(np.arange(0, len(sets) * KEYS + 1, KEYS, dtype=np.int32), pa.array(keys(totals).astype(np.int32).reshape(-1)))
+            columns = [part.column(0), node, print_id(fp.view(np.uint64)), *(fp[:, i].copy() for i in range(4)), found]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["_row", "node", "fp", "f0", "f1", "f2", "f3", "keys"])
 
 
-def _node(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+def print_id(fp: np.ndarray) -> np.ndarray:
+    """A number for the first 128 bits of fingerprints."""
+    return mix(mix(fp[:, 0]) + fp[:, 1]).view(np.int64)
 
 
-def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingles(t.as_py() or b"") for t in b.column(1)]
-        node = np.array([_node(s) for s in sets], dtype=np.uint64)
-        found = band_keys(np.array([minima(s) for s in sets], dtype=np.uint64).reshape(-1, BANDS * ROWS))
-        keys = pa.ListArray.from_arrays(np.arange(0, len(sets) * BANDS + 1, BANDS, dtype=np.int32), pa.array(found.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.view(np.int64)), keys], names=["_row", "node", "keys"])
+def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows key, f0, f1 in order of their keys, candidates a, b; the last key's rows of a batch wait for the next."""
+    held = np.empty((0, 3), np.int64)
 
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        fp = rows[:, 1:].view(np.uint64)
+        i, j = candidates(rows[:, 0], fp)
+        a, b = print_id(fp[i]), print_id(fp[j])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-def _alike_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b and their texts), those that are alike."""
-    last, own = None, np.empty(0, np.uint64)
     for batch in batches:
-        keep = []
-        for i, (b, ta, tb) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-            if b != last:
-                last, own = b, shingles(tb.as_py() or b"")
-            other = shingles(ta.as_py() or b"")
-            if alike(len(np.intersect1d(own, other, assume_unique=True)), len(other), len(own)):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
-
-
-def links(node: list[int], root: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of alike nodes that connect all components (by root) with alike nodes; pairs within a component are not compared."""
-    parent = {r: r for r in root}
-
-    def find(r: int) -> int:
-        while parent[r] != r:
-            parent[r] = parent[parent[r]]
-            r = parent[r]
-        return r
-
-    size, out = np.array([len(s) for s in sets]), []
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, comp = np.unique(root, return_inverse=True)
-    for i in range(len(sets) - 1):
-        if (comp == comp[0]).all():
-            break
-        near = np.bincount(owner[np.isin(flat, sets[i])], minlength=len(sets))
-        for j in np.flatnonzero(alike(near, size, len(sets[i])) & (np.arange(len(sets)) > i) & (comp != comp[i])):
-            a, b = find(root[i]), find(root[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                comp[comp == comp[j]] = comp[i]
-                out.append((node[i], node[j]))
-    return out
+        held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)])
+        if len(held) and held[0, 0] != held[-1, 0]:
+            cut = np.searchsorted(held[:, 0], held[-1, 0])
+            yield out(np.ascontiguousarray(held[:cut]))
+            held = held[cut:]
+    if len(held):
+        yield out(held)
 
 
-def _rest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows key, node, root, text in order of their keys."""
-    key, node, root, sets = None, [], [], []
+def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links a, b of rows part, node, root, text in order of their parts."""
+    now, node, root, sets = None, [], [], []
 
     def out() -> pa.RecordBatch:
-        found = links(node, root, sets)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        _, group = np.unique(np.array(root, dtype=np.int64), return_inverse=True)
+        found = links(sets, group)
+        return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for k, n, r, t in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
-            if k != key:
+        for part, n, r, t in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+            if part != now:
                 if len(node) > 1:
                     yield out()
-                key, node, root, sets = k, [], [], []
+                now, node, root, sets = part, [], [], []
             node.append(n)
             root.append(r)
             sets.append(shingles(t.as_py() or b""))
@@ -142,33 +219,74 @@ def _rest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _linked(rows: DataFrame, parts: list[str], name: str) -> DataFrame:
+    """Links within each part (the columns parts) of rows with node, root and text."""
+    part = F.concat_ws(" ", *parts).alias("part")
+    dealt = rows.select(part, "node", "root", "text").repartition("part").sortWithinPartitions("part", "node")
+    return written(dealt.mapInArrow(_link_rows, "a long, b long"), name)
+
+
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with root: the component of node by edges."""
+    roots = components(edges)
+    return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def grouped(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """_row, root (equal for all rows of a component) of rows with a stable key _row."""
     own = rows.select("_row", F.col(text_col).cast("binary").alias("text"))
-    prints = written(own.mapInArrow(_print_rows, "_row long, node long, keys array<long>"), "near-prints")
-    nodes = prints.groupBy("node").agg(F.min_by("keys", "_row").alias("keys"), F.min("_row").alias("_row"))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    met = written(keyed.join(least, "key"), "near-keys")
-    # the texts of all nodes that meet another
-    some = met.select("node").distinct().join(nodes.select("node", "_row"), "node")
-    texts = written(own.join(some, "_row").select("node", "text"), "near-texts")
-    pairs = met.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    first = written(both.select("a", "b", "ta", "tb").mapInArrow(_alike_rows, "a long, b long"), "near-links")
-    roots = components(first)
-    # keys with nodes of several components besides the least
-    left = met.join(roots, "node", "left").select("key", "node", "least", F.coalesce("root", "node").alias("root")).where("node != least")
-    open_ = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("lo < hi")
-    open_ = open_.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key")
-    rest = left.join(open_, "key").join(texts, "node").select("key", "node", "root", "text")
-    more = written(rest.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_rest_rows, "a long, b long"), "near-links")
-    roots = components(first.unionByName(more))
-    return prints.select("_row", "node").join(roots, "node", "left").select("_row", F.coalesce("root", "node").alias("root"))
+    columns = "_row long, node long, fp long, f0 long, f1 long, f2 long, f3 long, keys array<int>"
+    prints = written(own.mapInArrow(_print_rows, columns), "near-prints")
+    each = prints.groupBy("fp").agg(F.min_by(F.struct("f0", "f1", "f2", "f3", "keys"), "_row").alias("p"))
+    keyed = each.select(F.explode("p.keys").alias("key"), "p.f0", "p.f1")
+    first = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidate_rows, "a long, b long").distinct()
+    bits = prints.groupBy("fp").agg(*(F.min_by(c, "_row").alias(c) for c in ("f0", "f1", "f2", "f3")))
+    sides = [bits.select(F.col("fp").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("f0", "f1", "f2", "f3"))) for s in "ab"]
+    far = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in ("f0", "f1", "f2", "f3"))
+    near = first.join(sides[0], "a").join(sides[1], "b").where(far <= FAR).select("a", "b")
+    clusters = components(near)
+    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
+    # nodes of a cluster, or of one fingerprint; their texts, and the number of blocks of their cluster
+    nodes = prints.groupBy("node").agg(F.min("_row").alias("_row"), F.min("fp").alias("fp")).join(clusters, "fp", "left")
+    nodes = nodes.select("node", "_row", F.coalesce("cluster", "fp").alias("cluster"))
+    some = nodes.join(nodes.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster")
+    texts = written(own.join(some, "_row").select("node", "cluster", F.col("node").alias("root"), "text"), "near-texts")
+    blocks = texts.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text") + 64) / BLOCK).alias("blocks"))
+    texts = texts.join(blocks, "cluster")
+
+    def block(turn: int):
+        return F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("blocks"))
+
+    found = _linked(texts.withColumn("block", block(1)), ["cluster", "block"], "near-links")
+    large = texts.where("blocks > 1")
+    if large.isEmpty():
+        return _final(prints, found)
+    found = found.unionByName(_linked(_rooted(large, found).withColumn("block", block(2)), ["cluster", "block"], "near-links"))
+    # what is outside its cluster's largest component meets all blocks
+    placed = written(_rooted(large, found), "near-rooted")
+    size = placed.groupBy("cluster", "root").count()
+    most = size.groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("n")).where("n > 1").select("cluster", F.col("most.root").alias("largest"))
+    left = placed.join(most, "cluster").withColumn("outside", F.col("root") != F.col("largest"))
+    n_left = left.where("outside").groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text") + 64) / BLOCK).alias("lefts"))
+    left = left.join(n_left, "cluster").withColumns({"block": block(3), "mine": F.pmod(F.xxhash64(F.lit(4), "node"), F.col("lefts"))})
+    each = left.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)))
+    inside = each.where("not outside").select("cluster", "block", "with", "node", "root", "text")
+    outside = left.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cluster", "block", F.col("mine").alias("with"), "node", "root", "text")
+    # of those outside, also one another's: each as a guest in its own block
+    guests = each.where("outside and mine != with").select("cluster", "block", "with", "node", "root", "text")
+    found = found.unionByName(_linked(inside.unionByName(outside).unionByName(guests), ["cluster", "block", "with"], "near-links"))
+    return _final(prints, found)
+
+
+def _final(prints: DataFrame, found: DataFrame) -> DataFrame:
+    return _rooted(prints.select("_row", "node"), found).select("_row", "root")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that of the least id, rows without ids last; then by digest of the text."""
+    """One row of each component: that of the least id, rows without ids last; then by digest of the text.
+
+    Rows are judged by a key of their own, so null and repeated ids do no harm; an empty table gives no rows; other
+    columns, of any name, are kept."""
     rows = numbered(docs, "near-rows")
     own = rows.select(F.col(ROW).alias("_row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"))
     own = own.join(grouped(rows.select(F.col(ROW).alias("_row"), text_col), text_col), "_row")
