@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,26 +65,24 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(n), F.lit(-1)).cast("int")
 
 
-def running_total(lengths: Column, size: int = 256) -> Column:
-    """Inclusive running totals of an array<int>, in chunks, so that long arrays cost n * size and not n * n."""
+def running_total(values: Column, size: int = 256, merge: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Inclusive running totals (or merges, from 0) of an array<int>, in chunks, so that long arrays cost n * size and not n * n."""
     empty = F.array().cast("array<int>")
-    n_chunks = F.ceil(F.size(lengths) / F.lit(size)).cast("int")
+    n_chunks = F.ceil(F.size(values) / F.lit(size)).cast("int")
 
     def chunk(c: Column) -> Column:
-        return F.slice(lengths, c * F.lit(size) + F.lit(1), F.lit(size))
+        return F.slice(values, c * F.lit(size) + F.lit(1), F.lit(size))
 
-    def totals(values: Column, start: Column) -> Column:
+    def totals(some: Column, start: Column) -> Column:
         return F.aggregate(
-            values,
+            some,
             F.struct(start.alias("t"), empty.alias("a")),
-            lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["a"], F.array(s["t"] + x)).alias("a")),
+            lambda s, x: F.struct(merge(s["t"], x).alias("t"), F.concat(s["a"], F.array(merge(s["t"], x))).alias("a")),
             lambda s: s["a"],
         )
 
-    sums = F.transform(
-        F.sequence(F.lit(0), n_chunks - F.lit(1)),
-        lambda c: F.aggregate(chunk(c), F.lit(0), lambda a, x: a + x),
-    )
-    ends = totals(sums, F.lit(0))
-    many = F.flatten(F.transform(F.arrays_zip(ends.alias("e"), sums.alias("s"), F.sequence(F.lit(0), n_chunks - F.lit(1)).alias("c")), lambda z: totals(chunk(z["c"]), z["e"] - z["s"])))
-    return F.when(F.size(lengths) == 0, empty).when(F.size(lengths) <= size, totals(lengths, F.lit(0))).otherwise(many)
+    chunks = F.sequence(F.lit(0), n_chunks - F.lit(1))
+    ends = totals(F.transform(chunks, lambda c: F.aggregate(chunk(c), F.lit(0), merge)), F.lit(0))
+    starts = F.slice(F.concat(F.array(F.lit(0)), ends), 1, n_chunks)
+    many = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), chunks.alias("c")), lambda z: totals(chunk(z["c"]), z["s"])))
+    return F.when(F.size(values) == 0, empty).when(F.size(values) <= size, totals(values, F.lit(0))).otherwise(many)

@@ -1,8 +1,13 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
-Kinds: email, ip, card (Luhn), phone, iban (mod 97), secret (a long token right after a word such as
-"token" or "password"). Offsets are code points, the end is exclusive. Within a kind, spans are the
-leftmost non-overlapping matches; a match that its validator refuses is dropped without a retry.
+Kinds: email, ip, card (Luhn), phone, iban (mod 97), secret (a run of 20 or more letters, digits and _/+- with both
+letters and digits). Offsets are code points, the end is exclusive. Within a kind, spans are the leftmost
+non-overlapping matches; a match that its validator refuses is dropped without a retry.
+
+A span's score is its kind's own, more if a word of CONTEXT_WORDS stands in the CONTEXT characters before it (behind
+the span before), less if one of DOUBT_WORDS does. Spans of the base kinds stay whatever their score; the added kinds
+need LEAST_SCORE: a secret needs a word such as "token" near it, and is dropped behind "example token" or "commit"; an
+IBAN is dropped behind "example", unless "account" or the like stands there too.
 
 Every pattern starts at the end of the last match (\\G) and uses possessive loops, so that a text costs
 time in proportion to its length and long runs cannot overflow the stack.
@@ -25,23 +30,24 @@ PATTERNS = {
     "card": (r"(?:\G|(?<![0-9]))", r"[0-9](?:[\x20-]?[0-9])++", r"(?:[0-9][\x20-]?){12}[0-9]"),
     "phone": ("", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
     "iban": (r"(?:^|[^A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[0-9]{1,3})?)", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
-    "secret": (r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?[\x20\x09]*[=:][\x20\x09]*[\"']?", r"[A-Za-z0-9_/+-]{20,}", r"(?i)token|secret|passw|key"),
+    "secret": (r"(?:\G|(?<![A-Za-z0-9_/+-]))", r"[A-Za-z0-9_/+-]{20,}+", r"[A-Za-z0-9_/+-]{20}"),
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 
-#: Words that, in the CONTEXT characters before a span, raise its score.
+#: Words that, in the CONTEXT characters before a span, raise its score; and words that lower it.
 CONTEXT_WORDS = {
     "email": r"mail|contact|write to",
     "ip": r"\bip\b|address|host|server",
     "card": r"card|visa|payment|credit",
     "phone": r"phone|tel|call|mobile|fax",
-    "iban": r"iban|account|bank",
-    "secret": r"token|secret|passw|key",
+    "iban": r"iban|account|bank|konto|cuenta|compte",
+    "secret": r"token|secret|passw|\bkey\b|api[_-]?key|access[_-]?key|credential|bearer|authorization",
 }
+DOUBT_WORDS = r"example|sample|dummy|placeholder|\bcommit\b|checksum|\bsha-?[0-9]|\bmd5\b|digest"
 CONTEXT = 40
-#: Score in percent: of the pattern alone, and what a context word adds.
-SCORES = {"email": (80, 15), "ip": (60, 30), "card": (80, 15), "phone": (60, 30), "iban": (80, 15), "secret": (20, 70)}
+#: Score in percent: of the pattern alone, what a context word adds, and what a word of doubt takes.
+SCORES = {"email": (80, 15, 20), "ip": (60, 30, 20), "card": (80, 15, 20), "phone": (60, 30, 20), "iban": (60, 30, 20), "secret": (30, 40, 30)}
 #: Added kinds need this score.
 LEAST_SCORE = 50
 
@@ -75,6 +81,8 @@ def _valid(kind: str, hit: Column) -> Column:
     if kind == "iban":
         bare = F.replace(hit, F.lit(" "), F.lit(""))
         return F.length(bare).between(15, 34) & mod97(bare)
+    if kind == "secret":
+        return hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -98,8 +106,9 @@ def _found(text: Column, kind: str, group: int, none: Column) -> Column:
 
 
 def _score(kind: str, gap: Column) -> Column:
-    alone, more = SCORES[kind]
-    return F.when(F.lower(F.right(gap, F.lit(CONTEXT))).rlike(CONTEXT_WORDS[kind]), alone + more).otherwise(alone)
+    alone, more, less = SCORES[kind]
+    near = F.lower(F.right(gap, F.lit(CONTEXT)))
+    return alone + F.when(near.rlike(CONTEXT_WORDS[kind]), more).otherwise(0) - F.when(near.rlike(DOUBT_WORDS), less).otherwise(0)
 
 
 def _spans(kind: str) -> Column:
@@ -124,22 +133,34 @@ def scored(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*(F.transform(f"pii_{k}", lambda s: s["score"].cast("string")) for k in kinds)), ",")
 
 
-def redact(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = ("email", "secret", "iban", "ip", "phone", "card")) -> DataFrame:
-    """The same rows and columns, each confirmed span replaced by its kind in brackets, one kind after the other."""
-    none = F.array().cast("array<string>")
-    own = df
-    for kind in kinds:
-        own = own.withColumn("_gaps_", _found(F.col(text_col), kind, 1, none)).withColumn("_hits_", _found(F.col(text_col), kind, 2, none))
-        pieces = _redacted(kind)
-        done = F.aggregate(F.zip_with("_gaps_", "_hits_", lambda g, h: F.length(g) + F.length(h)), F.lit(0), lambda a, x: a + x)
-        rest = F.substring(F.col(text_col), done + 1, F.length(text_col))
-        own = own.withColumn(text_col, F.when(F.size("_hits_") == 0, F.col(text_col)).otherwise(F.concat(F.array_join(pieces, ""), rest))).drop("_gaps_", "_hits_")
-    return own.select(*df.columns)
+#: Code points of the pieces that redact() cuts a text into, so that no cut walks the whole text.
+PIECE = 4096
 
 
-def _redacted(kind: str) -> Column:
-    least = F.lit(0 if kind in BASE_KINDS else LEAST_SCORE)
-    return F.zip_with("_gaps_", "_hits_", lambda g, h: F.concat(g, F.when(_valid(kind, h) & (_score(kind, g) >= least), f"[{kind.upper()}]").otherwise(h)))
+def redact(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The same rows and columns; in the text, each span that detect() finds is replaced by its kind in brackets.
+
+    All spans are those of the text as it came in; spans that overlap are replaced together, by the kind of the first
+    (the longest of those, then by kind). Texts without a span stay as they are; null stays null."""
+    own = with_spans(df.select(F.struct(*df.columns).alias("row"), F.col(text_col).alias("text")), "text", kinds)
+
+    def spans(kind: str) -> Column:
+        return F.transform(f"pii_{kind}", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(kind.upper()).alias("kind")))
+
+    own = own.select("row", "text", F.array_sort(F.concat(*map(spans, kinds))).alias("spans"))
+    own = own.withColumn("reach", running_total(F.transform("spans", lambda s: -s["back"]), merge=lambda a, b: F.greatest(a, b)))
+    own = own.withColumn("before", F.slice(F.concat(F.array(F.lit(0)), "reach"), 1, F.size("spans")))
+    some = F.size("spans") > 0
+    own = own.withColumn("pieces", F.when(some, F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % PIECE), F.lit(0))))
+
+    def cut(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        return F.when(b > a, F.substring(F.array_join(F.slice("pieces", first + 1, last - first + 1), ""), a - first * PIECE + 1, b - a)).otherwise("")
+
+    replaced = F.zip_with("spans", "before", lambda s, at: F.when(s["start"] >= at, F.concat(cut(at, s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
+    done = F.element_at("reach", -1)
+    clean = F.when(some, F.concat(F.array_join(replaced, ""), cut(done, F.length("text")))).otherwise(F.col("text"))
+    return own.select("row", clean.alias("clean")).select(*(F.col("clean").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
