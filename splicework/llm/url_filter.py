@@ -4,27 +4,32 @@ The method: two smoothed variable-order Markov models, one of accepted and one o
 that the rules decide), over normalised characters of host and path: lower case, each digit 0, anything
 but a-z 0 . / _ - written ~. Orders two, one and none are mixed by Witten-Bell smoothing, from a uniform
 floor. A URL's score is the sum of its characters' log-likelihood differences (accepted less rejected)
-by its length; the threshold is calibrated on all the URLs that rules decide, to the best mean of the
-two classes' accuracies.
+by its length. A quarter of the URLs that rules decide, by a digest of the URL, is held out of the models: the
+threshold is calibrated on them, to the best mean of the two classes' accuracies, which accuracy() tells.
 
-The table of scores has a row for each trigram over an alphabet of ALPHABET signs, ALPHABET ** 3 rows at
-most (39,304), so it may be broadcast whatever the number of URLs. Each URL's trigrams are summed in the
-task that reads it.
+The table of scores is an array with a place for each trigram over an alphabet of ALPHABET signs, ALPHABET ** 3
+numbers (39,304) whatever the number of URLs, and stands in the plan as one constant. Each URL is scored in place, by a
+fold over its signs: no row is dealt out, joined or grouped.
 
 Null URLs and those without "://" have an empty host and path, match no rule, and are scored by their end
-sign alone. Without examples of both classes, the verdict is allow. Repeated rows and null ids get a
-result each.
+sign alone. Without examples of both classes (held out too), the verdict is allow. Repeated rows and null ids get a
+result each; of rules of equal length that fit, the one listed last wins. An empty table gives no rows, and other
+columns of the table are not touched.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
-ALPHABET = 26 + 1 + 5 + 2  # letters, 0, "./_-~", start, end
+SIGNS = "^$~0./_-abcdefghijklmnopqrstuvwxyz"  # start, end, any other, any digit
+ALPHABET = len(SIGNS)
+#: First hexadecimal digits of the digests of held-out URLs: a quarter.
+HELD_OUT = "0123"
 MILLION = 1_000_000
 #: Scores are floored to bins of BIN millionths for calibration, from -BINS to BINS.
 BIN, BINS = 10_000, 2_000
@@ -49,7 +54,7 @@ def matched_rule(rules: list[Rule]) -> tuple[Column, Column]:
 
 def signs(host_path: Column) -> Column:
     """^^, the normalised characters, $."""
-    known = F.regexp_replace(F.regexp_replace(F.lower(host_path), F.lit("[0-9]"), F.lit("0")), F.lit(r"[^a-z0./_-]"), F.lit("~"))
+    known = F.regexp_replace(F.regexp_replace(F.lower(host_path), F.lit("[0-9]"), F.lit("0")), F.lit(r"[^a-z0./_-]"), F.lit("~"))  # lower() may lengthen a text
     return F.concat(F.lit("^^"), known, F.lit("$"))
 
 
@@ -79,37 +84,69 @@ def model(grams: DataFrame) -> DataFrame:
     return g.select("gram", F.round((F.log(mixed("allow")) - F.log(mixed("block"))) * MILLION).cast("long").alias("score"))
 
 
-def threshold(scored: DataFrame) -> int | None:
-    """The calibrated score in bins, from all rows with a rule's verdict. Reads BINS * 2 + 1 rows at most."""
+def score_array(table: DataFrame) -> np.ndarray:
+    """The scores by place of the trigram, read in base ALPHABET; those that no training URL has are not asked for."""
+    out = np.zeros(ALPHABET**3, np.int64)
+    for r in table.collect():  # ALPHABET ** 3 rows at most
+        a, b, c = (SIGNS.index(x) for x in r["gram"])
+        out[(a * ALPHABET + b) * ALPHABET + c] = r["score"]
+    return out
+
+
+def place_sum(text: Column, scores: np.ndarray) -> Column:
+    """The sum of the scores of the text's trigrams."""
+    places = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(SIGNS), c) - 1)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["at"] % ALPHABET**2 * ALPHABET + x
+        more = F.when(s["n"] >= 2, F.get(F.lit(scores), at)).otherwise(0)
+        return F.struct(at.alias("at"), (s["n"] + 1).alias("n"), (s["sum"] + more).cast("long").alias("sum"))
+
+    return F.aggregate(places, start, step, lambda s: s["sum"])
+
+
+def calibrated(scored: DataFrame) -> tuple[int, float] | None:
+    """The threshold in bins from rows with a rule's verdict, and the mean of the classes' accuracies there. Reads BINS * 2 + 1 rows at most."""
     bins = scored.where("by_rule is not null").groupBy("bin").agg(*(F.count_if(F.col("by_rule") == c).alias(c) for c in ("allow", "block")))
     rows = sorted(bins.collect())
     allow, block = sum(r["allow"] for r in rows), sum(r["block"] for r in rows)
     if not allow or not block:
         return None
-    best, at, above, below = -1, 0, allow, 0
-    for r in rows:  # the threshold stands at the lower edge of this bin
+    best, at, above, below, last = -1, 0, allow, 0, rows[0]["bin"] - 1
+    for r in rows:  # the threshold stands halfway between the bin before and this one
         if (value := above * block + below * allow) > best:
-            best, at = value, r["bin"]
+            best, at = value, (last + r["bin"] + 1) // 2
+        last = r["bin"]
         above, below = above - r["allow"], below + r["block"]
-    return at
+    return at, best / (2 * allow * block)
 
 
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """A row per URL: id, host, path, rule, verdict, score (millionths a character)."""
-    own = pages.select(F.col(id_col).alias("_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+def _scored(pages: DataFrame, rules: list[Rule], id_col: str, url_col: str) -> tuple[DataFrame, tuple[int, float] | None]:
+    """id, host, path, rule, by_rule, score, bin; and what is calibrated on the held-out URLs."""
+    url = F.col(url_col)
+    own = pages.select(F.col(id_col).alias("id"), host(url).alias("host"), path(url).alias("path"), F.substring(F.md5(F.coalesce(url, F.lit(""))), 1, 1).alias("digit"))
     name, verdict = matched_rule(rules)
-    own = own.withColumns({"rule": name, "by_rule": verdict, "_signs": signs(F.concat("host", "path"))})
-    counted = own.select("by_rule", trigrams(F.col("_signs")).alias("gram"))
-    grams = counted.groupBy("gram").agg(*(F.count_if(F.col("by_rule") == c).alias(c) for c in ("allow", "block")))
-    table = model(grams)
-    # sums per URL: rows are read, exploded and summed in one task before anything is dealt out again
-    keyed = own.withColumn("_row", F.struct("_id", "host", "path", "rule", "by_rule"))
-    sums = keyed.select("_row", trigrams(F.col("_signs")).alias("gram")).join(F.broadcast(table), "gram").groupBy("_row").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
-    # copies of a row met in one sum: each gets its row again
-    copies = F.col("n") / (F.length(F.concat("_row.host", "_row.path")) + 1)
-    sums = sums.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    scored = sums.select("_row.*", F.floor(F.col("total") / F.col("n")).cast("long").alias("score"))
+    own = own.withColumns({"rule": name, "by_rule": verdict, "signs": signs(F.concat("host", "path"))})
+    held = F.instr(F.lit(HELD_OUT), F.col("digit")) > 0
+    learned = own.where(~held & F.col("by_rule").isNotNull()).select("by_rule", trigrams(F.col("signs")).alias("gram"))
+    counted = learned.groupBy("gram").agg(*(F.count_if(F.col("by_rule") == c).alias(c) for c in ("allow", "block")))
+    every = pages.sparkSession.createDataFrame([(a + b + c,) for a in SIGNS[0] + SIGNS[2:] for b in SIGNS[0] + SIGNS[2:] for c in SIGNS[1:]], "gram string")
+    grams = every.join(counted, "gram", "left").select("gram", F.coalesce("allow", F.lit(0)).alias("allow"), F.coalesce("block", F.lit(0)).alias("block"))
+    total = place_sum(F.col("signs"), score_array(model(grams)))
+    scored = own.withColumn("score", F.floor(total / (F.length("signs") - 2)).cast("long"))
     scored = scored.withColumn("bin", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") / BIN))).cast("int"))
-    at = threshold(scored)
-    by_model = F.lit("allow") if at is None else F.when(F.col("bin") >= at, "allow").otherwise("block")
-    return scored.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score")
+    return scored, calibrated(scored.where(held))
+
+
+def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """A row per URL: id, host, path, rule, verdict, score (millionths a character)."""
+    scored, found = _scored(pages, rules, id_col, url_col)
+    by_model = F.lit("allow") if found is None else F.when(F.col("bin") >= found[0], "allow").otherwise("block")
+    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score")
+
+
+def accuracy(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> float | None:
+    """The mean of the two classes' accuracies on held-out URLs, at the threshold; None without both classes."""
+    found = _scored(pages, rules, id_col, url_col)[1]
+    return found and found[1]
