@@ -1,37 +1,35 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot i of the schedule has the point frac(i * golden ratio), in integers: (i * GOLDEN) mod 2^31. The point
-falls into a source's share of the cumulative targets; the source's slots are ranked in order, and slot
-number r of a source takes the block r mod (its blocks). Blocks are runs of equal numbers of tokens in the
-source's documents, which are shuffled by a digest of their ids. A slot whose rank is beyond MOST_COPIES
-rounds stays unfilled, so no document is taken more than MOST_COPIES times.
-
-With to_target, no schedule is shared out: each source's stream is taken in whole rounds and then from its start, cut to
-the word, so that a source of any size gets its target rounded to a whole word.
+Slot i of the schedule has the point frac(i * golden ratio), in integers: (i * GOLDEN) mod 2^31. The point falls into a
+source's share of the cumulative weights; the source's slots are ranked in order, and the slot of rank r takes block
+r mod (its blocks) of the source. A source's weight in the schedule is half its share of the targets and half an even
+share, so that the smallest source has slots too. Its blocks are the runs of equal numbers of tokens in its shuffled
+documents (by a digest of their ids), as many as let its slots reach its target; the slot that reaches the target is
+cut there, to the word. So each source takes its target, rounded to a whole word, whatever its size, and its blocks
+lie evenly over the schedule. Targets are at most MOST_COPIES times a source's size, so no document is taken more often.
 
 Scale. Sources are a small dimension: their totals come to the driver, MAX_SOURCES at most (more raise an
-error). A hot source's documents are dealt out to SPANS spans by their digest; totals of spans give each
-span's place, and order is needed within a span only. Slots are as many as SLOTS, or 64 a source; their
-ranks are counted per stretch of slots first. A block has as many tokens as the schedule's total over its
-slots, so error by source is a few slots of SLOTS at any size.
+error). A source's documents are ordered in spans of about SPAN documents each, by their digests; totals of spans give
+each span's place. The schedule has SLOTS slots, or EACH a source if that is more; ranks are counted per stretch of
+slots first. Documents meet the blocks that their ends fall into by joins on source and block.
 
 Null texts have size 0, as have those without a word; they take 0. A null source is a source of its own,
 the last. Repeated rows and null ids are documents of their own. Equal digests are ordered by size and
-text digest. Empty tables give no rows. Other columns are kept by with_taken().
+text digest. Empty tables give no rows. Other columns, of any name, are kept by with_taken().
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from splicework.llm.common import n_words, written
 
 GOLDEN, MODULUS = 1_327_217_885, 2**31
-SLOTS, MAX_SOURCES, SPANS, STRETCH, BINS = 65_536, 100_000, 256, 1_024, 4_096
+SLOTS, EACH, MAX_SOURCES, SPAN, STRETCH, BINS = 65_536, 128, 100_000, 20_000, 1_024, 4_096
 WEIGHTS, SHARE, MOST_COPIES = (3, 1, 2), Fraction(3, 2), 2
 
 
@@ -48,75 +46,93 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: Fractio
     return out
 
 
+def edges(shares: list[Fraction]) -> list[tuple[int, int, int]]:
+    """(source index, first point, point after the last) by weights of half the share of the targets and half an even share."""
+    total, n, at, before, out = sum(shares), len(shares), 0, Fraction(0), []
+    for i, x in enumerate(shares):
+        before += x
+        end = int(before * MODULUS / (2 * total)) + (i + 1) * MODULUS // (2 * n)
+        out.append((i, at, end))
+        at = end
+    return out
+
+
+def ranked(df: DataFrame, key: str, order: Column, value: Column | None = None) -> DataFrame:
+    """Adds _before: the running number of rows (or sum of value) before each row of a key in order, summed per stretch first."""
+    value = F.lit(1).cast("long") if value is None else value
+    own = df.withColumns({"_order": order, "_value": value, "_stretch": F.floor(order / STRETCH)})
+    before = lambda w: F.coalesce(F.sum("_value").over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    sums = own.groupBy(key, "_stretch").agg(F.sum("_value").alias("_value")).withColumn("_base", before(W.Window.partitionBy(key).orderBy("_stretch"))).drop("_value")
+    own = own.withColumn("_within", before(W.Window.partitionBy(key, "_stretch").orderBy("_order"))).join(sums, [key, "_stretch"])
+    return own.withColumn("_before", F.col("_base") + F.col("_within")).drop("_order", "_value", "_stretch", "_base", "_within")
+
+
 def schedule(spark, shares: list[Fraction], n_slots: int) -> DataFrame:
     """slot, source index, rank of the slot among the source's slots (from 0)."""
-    total, edges, at = sum(shares), [], Fraction(0)
-    for i, x in enumerate(shares):
-        lo, at = at, at + x
-        edges.append((i, int(lo / total * MODULUS), int(at / total * MODULUS)))
     width = MODULUS // BINS
-    ranges = spark.createDataFrame([e for e in edges if e[1] < e[2]], "source int, lo long, hi long")
-    ranges = ranges.withColumn("bin", F.explode(F.sequence((F.col("lo") / width).cast("long"), ((F.col("hi") - 1) / width).cast("long"))))
+    ranges = spark.createDataFrame([e for e in edges(shares) if e[1] < e[2]], "source int, lo long, hi long")
+    ranges = ranges.withColumn("bin", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % MODULUS).alias("point"))
-    slots = slots.withColumn("bin", (F.col("point") / width).cast("long")).join(ranges, "bin").where("point >= lo and point < hi")
-    slots = slots.select("slot", "source", (F.col("slot") / STRETCH).cast("long").alias("stretch"))
-    before = W.Window.partitionBy("source").orderBy("stretch").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = slots.groupBy("source", "stretch").count().select("source", "stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = W.Window.partitionBy("source", "stretch").orderBy("slot")
-    return slots.withColumn("r", F.row_number().over(within)).join(starts, ["source", "stretch"]).select("slot", "source", (F.col("start") + F.col("r") - 1).alias("rank"))
+    slots = slots.withColumn("bin", F.expr(f"point div {width}")).join(ranges, "bin").where("point >= lo and point < hi").select("slot", "source")
+    return ranked(slots, "source", F.col("slot")).withColumnRenamed("_before", "rank")
 
 
 def with_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs and mix_size, mix_source_size, mix_target, mix_taken."""
-    sized = docs.withColumn("mix_size", n_words(F.col(text_col)))
-    return _taken(sized, docs.columns, id_col, text_col, source_col)
+    """docs and mix_size, mix_source_size, mix_target, mix_taken (in place of columns of these names)."""
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("name"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
+    added = {c: f"mix_{c}" for c in ("size", "source_size", "target", "taken")}
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in added.values()]
+    return _taken(written(own, "mix-rows")).select(*kept, *(F.col(c).alias(a) for c, a in added.items()))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A row per document: id, size, source_size, target, taken."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("name"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
+    return _taken(written(own, "mix-sizes")).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", to_target: bool = False) -> DataFrame:
-    """A row per document: id, size, source_size, target, taken; with to_target, each source's taken words are its target, rounded."""
-    sized = docs.select(F.col(id_col), F.col(source_col), n_words(F.col(text_col)).alias("mix_size"), F.xxhash64(text_col).alias("_tie"))
-    sized = written(sized, "mix-sizes")
-    out = _taken(sized, [id_col], id_col, None, source_col, to_target)
-    return out.select(id_col, F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+def slots_of(n_sources: int) -> int:
+    return max(SLOTS, EACH * n_sources)
 
 
-def _taken(sized: DataFrame, keep: list[str], id_col: str, text_col: str | None, source_col: str, to_target: bool = False) -> DataFrame:
+def _taken(sized: DataFrame) -> DataFrame:
+    """Rows of id, name, size, tie and others, with source_size, target, taken."""
     spark = sized.sparkSession
-    rows = sized.groupBy(source_col).agg(F.sum("mix_size").alias("n")).orderBy(F.col(source_col).asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
+    rows = sized.groupBy("name").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).orderBy(F.col("name").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = [int(r["n"]) for r in rows]
     want = targets(sizes)
-    n_slots = max(SLOTS, 64 * len(rows))
-    block = max(1, -(-int(sum(want)) // n_slots))
-    n_slots = -(-int(sum(want)) // block)
-    sources = spark.createDataFrame([(r[source_col], i, n, float(t), round(t)) for i, (r, n, t) in enumerate(zip(rows, sizes, want, strict=True))], "_name string, _source int, mix_source_size long, mix_target double, _goal long")
-    tie = F.xxhash64(text_col) if text_col else F.col("_tie")
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    own = sized.join(F.broadcast(sources), sized[source_col].eqNullSafe(sources["_name"])).withColumns({"_digest": digest, "_tie_": tie})
-    own = own.withColumn("_span", F.conv(F.substring("_digest", 1, 4), 16, 10).cast("long") % SPANS)
-    before = W.Window.partitionBy("_source").orderBy("_span").rowsBetween(W.Window.unboundedPreceding, -1)
-    spans = own.groupBy("_source", "_span").agg(F.sum("mix_size").alias("n")).select("_source", "_span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = W.Window.partitionBy("_source", "_span").orderBy("_digest", "mix_size", "_tie_").rowsBetween(W.Window.unboundedPreceding, -1)
-    own = own.withColumn("_from", F.coalesce(F.sum("mix_size").over(within), F.lit(0))).join(spans, ["_source", "_span"])
-    own = own.withColumn("_from", F.col("_from") + F.col("_base")).withColumn("_to", F.col("_from") + F.col("mix_size"))
-    if n_slots == 0:
-        return own.select(*keep, "mix_size", "mix_source_size", "mix_target", F.lit(0).cast("long").alias("mix_taken"))
-    if to_target:
-        left = F.greatest(F.lit(0), F.least("mix_size", F.expr("_goal % mix_source_size") - F.col("_from")))
-        taken = F.when(F.col("mix_size") > 0, F.expr("_goal div mix_source_size") * F.col("mix_size") + left).otherwise(0)
-        return own.select(*keep, "mix_size", "mix_source_size", "mix_target", taken.cast("long").alias("mix_taken"))
-    # the blocks, SLOTS and MAX_SOURCES of them at most; how often each is taken, and tokens taken before it
-    n_blocks = F.ceil(F.col("mix_source_size") / block)
-    slots = schedule(spark, want, n_slots).join(F.broadcast(sources), F.col("source") == F.col("_source")).where(F.col("rank") < MOST_COPIES * n_blocks)
-    times = slots.groupBy("_source", (F.col("rank") % n_blocks).alias("_block")).agg(F.count("*").alias("_times"))
-    blocks = sources.where("mix_source_size > 0").select("_source", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("_block"))
-    blocks = blocks.join(times, ["_source", "_block"], "left").select("_source", "_block", F.coalesce("_times", F.lit(0)).alias("_times"))
-    before = W.Window.partitionBy("_source").orderBy("_block").rowsBetween(W.Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_times").over(before), F.lit(0)) * block)
+    fields = "_name string, _source int, source_size long, target double, _goal long, _spans long"
+    sources = spark.createDataFrame([(r["name"], i, n, float(t), int(t + Fraction(1, 2)), -(-r["rows"] // SPAN)) for i, (r, n, t) in enumerate(zip(rows, sizes, want, strict=True))], fields)
+    sources = F.broadcast(sources)  # MAX_SOURCES rows at most, as are counts
+    own = sized.join(sources, sized["name"].eqNullSafe(sources["_name"])).drop("_name")
+    if not sum(sizes):
+        return own.withColumn("taken", F.lit(0).cast("long"))
+    # a document's place in its source's stream: spans are ranges of digests
+    own = own.withColumn("_digest", F.md5(F.coalesce(F.col("id").cast("string"), F.col("tie").cast("string"))))
+    own = own.withColumn("_span", F.floor(F.conv(F.substring("_digest", 1, 7), 16, 10).cast("long") * F.col("_spans") / 2**28))
+    spans = own.groupBy("_source", "_span").agg(F.sum("size").alias("n"))
+    spans = ranked(spans, "_source", F.col("_span"), F.col("n")).select("_source", "_span", F.col("_before").alias("_base"))
+    within = W.Window.partitionBy("_source", "_span").orderBy("_digest", "size", "tie").rowsBetween(W.Window.unboundedPreceding, -1)
+    own = own.withColumn("_from", F.coalesce(F.sum("size").over(within), F.lit(0))).join(spans, ["_source", "_span"])
+    own = own.withColumn("_from", F.col("_from") + F.col("_base")).withColumn("_to", F.col("_from") + F.col("size"))
+    # slots: block k of n holds tokens k * size div n up to (k + 1) * size div n of the stream
+    slots = schedule(spark, want, slots_of(len(rows)))
+    counts = slots.groupBy(F.col("source").alias("_source")).count().join(sources.where("_goal > 0"), "_source")
+    counts = F.broadcast(counts.select("_source", "source_size", "_goal", F.expr("greatest(1, `count` * source_size div _goal)").alias("_n")))
+    slots = slots.join(counts, F.col("source") == F.col("_source")).withColumns({"_block": F.expr("rank % _n"), "_round": F.expr("rank div _n")})
+    slots = slots.withColumns({"_start": F.expr("_block * source_size div _n"), "_len": F.expr("(_block + 1) * source_size div _n - _block * source_size div _n")})
+    slots = slots.withColumn("_take", F.greatest(F.lit(0), F.least("_len", F.col("_goal") - F.col("_round") * F.col("source_size") - F.col("_start"))))
+    # of each block: how often it is taken whole, the length of the part that is taken once more, and tokens taken before it
+    times = slots.groupBy("_source", "_block", "_start").agg(F.count_if(F.col("_take") == F.col("_len")).alias("_times"), F.max(F.when(F.col("_take") < F.col("_len"), F.col("_take"))).alias("_part"), F.sum("_take").alias("_sum"))
+    times = ranked(times, "_source", F.col("_block"), F.col("_sum")).drop("_sum")
+    own = own.join(F.broadcast(counts.select("_source", "_n")), "_source", "left")
     # tokens taken of the source's stream up to a document's start and up to its end
     for end, at, of in (("_a", F.col("_from"), F.col("_from")), ("_b", F.col("_to"), F.col("_to") - 1)):
-        own = own.withColumn("_block", F.floor(of / block)).join(F.broadcast(blocks), ["_source", "_block"], "left")
-        own = own.withColumn(end, F.col("_before") + F.col("_times") * (at - F.col("_block") * block)).drop("_block", "_before", "_times")
-    taken = F.when(F.col("mix_size") > 0, F.col("_b") - F.col("_a")).otherwise(0)
-    return own.select(*keep, "mix_size", "mix_source_size", "mix_target", taken.cast("long").alias("mix_taken"))
+        own = own.withColumn("_at", of).withColumn("_block", F.expr("if(size > 0, ((_at + 1) * _n - 1) div source_size, -1 - pmod(tie, 1024))")).join(times, ["_source", "_block"], "left")
+        inside = at - F.col("_start")
+        reached = F.col("_before") + F.col("_times") * inside + F.least(inside, F.coalesce("_part", F.lit(0)))
+        own = own.withColumn(end, F.coalesce(reached, F.col("_goal"))).drop("_at", "_block", "_start", "_times", "_part", "_before")
+    taken = F.when((F.col("size") > 0) & F.col("_n").isNotNull(), F.col("_b") - F.col("_a")).otherwise(0)
+    return own.withColumn("taken", taken.cast("long"))

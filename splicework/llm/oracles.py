@@ -37,7 +37,7 @@ FROM counts
 
 OP8 = r"""
 WITH u AS (
-  SELECT row_number() OVER () AS rid, page_id,
+  SELECT row_number() OVER () AS rid, page_id, md5(coalesce(url, ''))[1] IN ('0', '1', '2', '3') AS held,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), r AS (
@@ -50,8 +50,11 @@ WITH u AS (
 ), s AS (
   SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
     '^^' || regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '[^a-z0./_-]', '~', 'g') || '$' AS signs FROM r
-), g AS (SELECT rid, said, substring(signs, i, 3) AS gram FROM (SELECT rid, said, signs, unnest(range(1, length(signs) - 1)) AS i FROM s)),
-grams AS (SELECT gram, cls, count(*) FILTER (said = cls) AS n FROM g, (VALUES ('allow'), ('block')) c(cls) GROUP BY ALL),
+), g AS (SELECT rid, held, said, substring(signs, i, 3) AS gram FROM (SELECT rid, held, said, signs, unnest(range(1, length(signs) - 1)) AS i FROM s)),
+ch AS (SELECT unnest(string_split('^$~0./_-abcdefghijklmnopqrstuvwxyz', '')) AS c),
+every AS (SELECT a.c || b.c || x.c AS gram FROM ch a, ch b, ch x WHERE a.c <> '$' AND b.c <> '$' AND x.c <> '^'),
+seen AS (SELECT gram, count(*) FILTER (said = 'allow') AS allow, count(*) FILTER (said = 'block') AS block FROM g WHERE NOT held AND said IS NOT NULL GROUP BY gram),
+grams AS (SELECT gram, cls, coalesce(CASE cls WHEN 'allow' THEN allow ELSE block END, 0) AS n FROM every LEFT JOIN seen USING (gram), (VALUES ('allow'), ('block')) c(cls)),
 o2 AS (SELECT cls, gram[1:2] AS c, sum(n) AS total, count(*) FILTER (n > 0) AS kinds FROM grams GROUP BY ALL),
 bi AS (SELECT cls, gram[2:3] AS b, sum(n) AS n FROM grams GROUP BY ALL),
 o1 AS (SELECT cls, b[1:1] AS c, sum(n) AS total, count(*) FILTER (n > 0) AS kinds FROM bi GROUP BY ALL),
@@ -64,11 +67,11 @@ p2 AS (SELECT grams.cls, gram, CASE WHEN total > 0 THEN (grams.n + kinds * p) /
   FROM grams JOIN o2 ON o2.cls = grams.cls AND o2.c = gram[1:2] JOIN p1 ON p1.cls = grams.cls AND b = gram[2:3]),
 m AS (SELECT gram, round((ln(max(p) FILTER (cls = 'allow')) - ln(max(p) FILTER (cls = 'block'))) * 1000000)::BIGINT AS d FROM p2 GROUP BY gram),
 t AS (SELECT rid, sum(d) AS total, count(*) AS n FROM g JOIN m USING (gram) GROUP BY rid),
-sc AS (SELECT s.*, greatest(-2000, least(2000, floor(floor(total / n) / 10000)))::INTEGER AS bin FROM s JOIN t USING (rid)),
-h AS (SELECT bin, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b FROM sc WHERE said IS NOT NULL GROUP BY bin),
+sc AS (SELECT s.*, floor(total / n)::BIGINT AS score, greatest(-2000, least(2000, floor(floor(total / n) / 10000)))::INTEGER AS bin FROM s JOIN t USING (rid)),
+h AS (SELECT bin, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b FROM sc WHERE said IS NOT NULL AND held GROUP BY bin),
 v AS (SELECT bin, sum(a) OVER () AS sa, sum(b) OVER () AS sb,
   sum(a) OVER (ORDER BY bin DESC) * sum(b) OVER () + coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(a) OVER () AS value FROM h),
-cut AS (SELECT bin AS edge FROM v WHERE sa > 0 AND sb > 0 ORDER BY value DESC, bin LIMIT 1)
+cut AS (SELECT floor((coalesce(lag(bin) OVER (ORDER BY bin), bin - 1) + bin + 1) / 2)::INTEGER AS edge FROM v WHERE sa > 0 AND sb > 0 ORDER BY value DESC, bin LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bin >= coalesce((SELECT edge FROM cut), -2000) THEN 'allow' ELSE 'block' END) AS verdict FROM sc
 """
 
@@ -80,24 +83,27 @@ k(kind, ord, before, rx) AS (VALUES
   ('card', 3, '', '[0-9](?:[\x20-]?[0-9])+'),
   ('phone', 4, '', '\+[0-9][\x20().0-9-]+[0-9]'),
   ('iban', 5, '(?:^|[^A-Za-z0-9])', '[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[0-9]{1,3})?)'),
-  ('secret', 6, '(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["'']?[\x20\x09]*[=:][\x20\x09]*["'']?', '[A-Za-z0-9_/+-]{20,}')),
-c(kind, words, alone, more) AS (VALUES
-  ('email', 'mail|contact|write to', 80, 15), ('ip', '\bip\b|address|host|server', 60, 30), ('card', 'card|visa|payment|credit', 80, 15),
-  ('phone', 'phone|tel|call|mobile|fax', 60, 30), ('iban', 'iban|account|bank', 80, 15), ('secret', 'token|secret|passw|key', 20, 70)),
+  ('secret', 6, '', '[A-Za-z0-9_/+-]{20,}')),
+c(kind, words, alone, more, less) AS (VALUES
+  ('email', 'mail|contact|write to', 80, 15, 20), ('ip', '\bip\b|address|host|server', 60, 30, 20), ('card', 'card|visa|payment|credit', 80, 15, 20),
+  ('phone', 'phone|tel|call|mobile|fax', 60, 30, 20), ('iban', 'iban|account|bank|konto|cuenta|compte', 60, 30, 20),
+  ('secret', 'token|secret|passw|\bkey\b|api[_-]?key|access[_-]?key|credential|bearer|authorization', 30, 40, 30)),
 m AS (SELECT rid, kind, ord, regexp_extract_all(t, '(?s)(.*?' || before || ')(' || rx || ')', 1) AS g,
   regexp_extract_all(t, '(?s)(.*?' || before || ')(' || rx || ')', 2) AS h FROM t, k),
 e AS (SELECT rid, kind, ord, g[i] AS gap, h[i] AS hit, i FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m)),
 s AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i)::BIGINT AS stop FROM e),
 d AS (SELECT *, stop - length(hit) AS start, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, replace(hit, ' ', '') AS bare,
-  CASE WHEN regexp_matches(lower(right(gap, 40)), words) THEN alone + more ELSE alone END AS score FROM s JOIN c USING (kind)),
+  alone + CASE WHEN regexp_matches(lower(right(gap, 40)), words) THEN more ELSE 0 END
+    - CASE WHEN regexp_matches(lower(right(gap, 40)), 'example|sample|dummy|placeholder|\bcommit\b|checksum|\bsha-?[0-9]|\bmd5\b|digest') THEN less ELSE 0 END AS score FROM s JOIN c USING (kind)),
 ok AS (SELECT rid, kind, ord, start, stop, score FROM d WHERE CASE kind
   WHEN 'ip' THEN list_bool_and(list_transform(string_split(hit, '.'), lambda p: coalesce(try_cast(p AS HUGEINT) <= 255, false)))
   WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda p:
     CASE WHEN (length(digits) - p) % 2 = 0 THEN digits[p]::INT WHEN digits[p]::INT > 4 THEN digits[p]::INT * 2 - 9 ELSE digits[p]::INT * 2 END)) % 10 = 0
   WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
   WHEN 'iban' THEN length(bare) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(bare[5:] || bare[:4], ''), lambda x: ascii(x)::BIGINT), lambda a, x:
-    CASE WHEN x < 65 THEN (a * 10 + x - 48) % 97 ELSE (a * 100 + x - 55) % 97 END, 0::BIGINT) = 1
-  ELSE score >= 50 END)
+    CASE WHEN x < 65 THEN (a * 10 + x - 48) % 97 ELSE (a * 100 + x - 55) % 97 END, 0::BIGINT) = 1 AND score >= 50
+  WHEN 'secret' THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND score >= 50
+  ELSE true END)
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
   count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
   sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start) FILTER (ord <= 4), '')) AS base_sha256,
@@ -115,19 +121,21 @@ v AS (SELECT *, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDIN
   sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w, sum(n) OVER () AS total FROM o),
 first AS (SELECT full_before, open_w, k FROM v WHERE (3 * total - 4 * full_before) * w <= 2 * n * 2 * open_w ORDER BY k LIMIT 1),
 g AS (SELECT v.source, v.src, v.n, v.total, CASE WHEN v.k < f.k THEN 2.0::DOUBLE * v.n ELSE ((3 * total - 4 * f.full_before) * w)::DOUBLE / (2 * f.open_w)::DOUBLE END AS target FROM v, first f),
-par AS (SELECT total, (3 * total // 2)::BIGINT AS want, greatest(65536, 64 * count(*)) AS most FROM g GROUP BY total),
-par2 AS (SELECT want, greatest(1, (want + most - 1) // most)::BIGINT AS b FROM par),
-par3 AS (SELECT b, (want + b - 1) // b AS n_slots FROM par2),
-edge AS (SELECT *, floor(coalesce(sum(target) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (1.5 * total) * 2147483648)::BIGINT AS lo,
-  floor(sum(target) OVER (ORDER BY src) / (1.5 * total) * 2147483648)::BIGINT AS hi FROM g),
-sl AS (SELECT i, (i * 1327217885) % 2147483648 AS x FROM (SELECT unnest(range(n_slots)) AS i FROM par3)),
-rk AS (SELECT src, n, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS r FROM sl JOIN edge ON x >= lo AND x < hi),
-tm AS (SELECT src, r % ((n + b - 1) // b) AS blk, count(*) AS times FROM rk, par3 WHERE r < 2 * ((n + b - 1) // b) GROUP BY ALL),
-p AS (SELECT d.rid, d.doc_id, d.size, g.src, g.n, g.target, coalesce(sum(size) OVER (PARTITION BY g.src ORDER BY substr(md5(coalesce(doc_id::VARCHAR, '')), 3, 2), md5(coalesce(doc_id::VARCHAR, '')), size
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-q AS (SELECT p.*, b, unnest(CASE WHEN size > 0 THEN range((a // b)::BIGINT, ((a + size - 1) // b)::BIGINT + 1) ELSE [NULL] END) AS blk FROM p, par3)
+h AS (SELECT *, floor(target + 0.5)::BIGINT AS goal, count(*) OVER () AS n_sources FROM g),
+e AS (SELECT *, floor(coalesce(sum(target) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (3.0 * total) * 2147483648)::BIGINT + src * 2147483648 // (2 * n_sources) AS lo,
+  floor(sum(target) OVER (ORDER BY src) / (3.0 * total) * 2147483648)::BIGINT + (src + 1) * 2147483648 // (2 * n_sources) AS hi FROM h WHERE total > 0),
+sl AS (SELECT i, (i * 1327217885) % 2147483648 AS x FROM (SELECT unnest(range((SELECT greatest(65536, 128 * count(*)) FROM s))) AS i)),
+rk AS (SELECT src, n, goal, count(*) OVER (PARTITION BY src) AS slots, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS r FROM sl JOIN e ON x >= lo AND x < hi WHERE goal > 0),
+bl AS (SELECT *, greatest(1, slots::HUGEINT * n // goal)::BIGINT AS nb FROM rk),
+pos AS (SELECT *, r % nb AS blk, (r % nb)::HUGEINT * n // nb AS st, (r % nb + 1)::HUGEINT * n // nb AS en FROM bl),
+tk AS (SELECT src, blk, st, en - st AS len, greatest(0, least(en - st, goal - (r // nb) * n - st)) AS take FROM pos),
+tm AS (SELECT src, blk, any_value(st) AS st, any_value(len) AS len, list(take) AS takes FROM tk GROUP BY src, blk),
+nb AS (SELECT src, any_value(nb) AS nb FROM bl GROUP BY src),
+p AS (SELECT d.rid, d.doc_id, d.size, h.src, h.n, h.target, nb.nb, coalesce(sum(size) OVER (PARTITION BY h.src ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source LEFT JOIN nb ON nb.src = h.src),
+q AS (SELECT p.*, unnest(CASE WHEN size > 0 AND nb > 0 THEN range((((a + 1)::HUGEINT * nb - 1) // n)::BIGINT, (((a + size)::HUGEINT * nb - 1) // n)::BIGINT + 1) ELSE [NULL] END) AS blk FROM p)
 SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(q.n)::BIGINT AS source_size, any_value(target) AS target,
-  coalesce(sum(times * (least(a + size, (q.blk + 1) * b) - greatest(a, q.blk * b))), 0)::BIGINT AS taken
+  coalesce(sum(list_sum(list_transform(takes, lambda t: greatest(0, least(a + size - st, t) - greatest(a - st, 0))))), 0)::BIGINT AS taken
 FROM q LEFT JOIN tm ON tm.src = q.src AND tm.blk = q.blk GROUP BY rid
 """
 

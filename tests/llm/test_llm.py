@@ -316,16 +316,29 @@ def test_token_counts_against_brute_force(spark, awkward, empty):
 
 
 def test_url_filter(spark):
-    rows = [(1, "https://WWW.Example.com/en/1?x"), (2, "http://a.example.com/en/2"), (3, "http://x.com/"), (4, "http://x.com"), (5, None), (6, "no url"), (7, "http://b.net/es/x"), (8, "http://b.net/de/x#y"), (8, "http://b.net/de/x#y"), (None, "http://x.org/ü😀")]
-    got = sorted(((r["page_id"] or 0, r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("score", F.lit(1)), URL_RULES).collect()))
+    rows = [(1, "https://WWW.Example.com/en/1?x"), (2, "http://a.example.com/en/2"), (3, "http://x.com/"), (4, "http://x.com"), (5, None), (6, "no url"), (7, "http://b.net/es/x"), (8, "http://b.net/de/x#y"), (8, "http://b.net/de/x#y"), (None, "http://x.org/ü😀"), (9, "http://İİİİİİ.org/İİ"), (9, "http://İİİİİİ.org/İİ"), (10, "http://" + "a-1/" * 50_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({n: F.lit(1) for n in ("score", "id", "host", "path", "bin", "signs", "digit")})
+    got = sorted(((r["page_id"] or 0, r["host"], r["path"][:9], r["rule"], r["verdict"]) for r in url_filter.judge(pages, URL_RULES).collect()))
     assert [r[:4] for r in got] == [
         (0, "x.org", "/ü😀", None), (1, "www.example.com", "/en/1", "www.example.com/en/"), (2, "a.example.com", "/en/2", "example.com/en/"), (3, "x.com", "/", "com/"), (4, "x.com", "", None),
-        (5, "", "", None), (6, "", "", None), (7, "b.net", "/es/x", "net/es/"), (8, "b.net", "/de/x", None), (8, "b.net", "/de/x", None),
+        (5, "", "", None), (6, "", "", None), (7, "b.net", "/es/x", "net/es/"), (8, "b.net", "/de/x", None), (8, "b.net", "/de/x", None), (9, "İİİİİİ.org", "/İİ", None), (9, "İİİİİİ.org", "/İİ", None), (10, "a-1", "/a-1/a-1/", None),
     ]
-    assert {r[4] for r in got} <= {"allow", "block"} and got[8][4] == got[9][4] == "block"
+    assert {r[4] for r in got} <= {"allow", "block"}
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
 
+def test_url_filter_on_held_out_urls(spark):
+    rng = random.Random(32)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    urls = [f"http://{word('abcde')}.com/{word('abcde')}" for _ in range(300)] + [f"http://{word('vwxyz')}.net/es/{word('vwxyz')}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert url_filter.accuracy(pages, URL_RULES) > 0.95
+    new = spark.createDataFrame([(0, "http://abcab.org/deabc"), (1, "http://zyxwv.org/vwxyz")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages.unionByName(new.withColumn("page_id", F.col("page_id") + 1000)), URL_RULES).collect()}
+    assert (got[1000], got[1001]) == ("allow", "block")
+    assert url_filter.accuracy(pages.limit(0), URL_RULES) is None
+
+
 def test_pii(spark, awkward, empty):
     text = "write to a.b+c@mail.example.com, host 10.0.0.255 and 1.2.3.256, card 4111 1111 1111 1111 or 4111 1111 1111 1112; ☎ +49 (0)30 1234567. IBAN DE89 3704 0044 0532 0130 00 or DE88370400440532013000, token = \"abcdefghij0123456789xyz\""
     docs = spark.createDataFrame([(1, text), (2, "a@b" + ".c" * 50_000), (3, "1" * 200_000 + " " + "1 " * 50_000), (4, "x@y.zz " * 3_000)], "doc_id long, text string")
@@ -335,10 +348,39 @@ def test_pii(spark, awkward, empty):
         ("email", "a.b+c@mail.example.com"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (0)30 1234567"), ("iban", "DE89 3704 0044 0532 0130 00"), ("secret", "abcdefghij0123456789xyz")
     ]
     assert [got[i]["n_email"] for i in (2, 3, 4)] == [1, 0, 3_000] and got[4]["spans"].endswith("email:20993:20999")
-    clean = pii.redact(docs).where("doc_id = 1").first()["text"]
-    assert "[EMAIL], host [IP] and 1.2.3.256, card [CARD] or 4111 1111 1111 1112; ☎ [PHONE]. IBAN [IBAN] or DE88" in clean and '"[SECRET]"' in clean
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert "[EMAIL], host [IP] and 1.2.3.256, card [CARD] or 4111 1111 1111 1112; ☎ [PHONE]. IBAN [IBAN] or DE88" in clean[1] and '"[SECRET]"' in clean[1]
+    assert clean[4] == "[EMAIL] " * 3_000 and clean[3] == "1" * 200_000 + " " + "1 " * 50_000
     assert pii.detect(awkward).count() == awkward.count() and pii.redact(awkward).columns == awkward.columns
-    assert pii.detect(empty).count() == 0
+    assert pii.detect(empty).count() == 0 and pii.redact(empty).count() == 0
+
+
+def test_context_decides(spark):
+    token, iban = "Abcdefghij0123456789xyz", "DE89370400440532013000"
+    cases = [("access token " + token, 1), ("see " + token, 0), ("sample token " + token, 0), ("commit " + token, 0), ("see " + iban, 1), ("for example " + iban, 0), ("account, for example " + iban, 1), ("token " + token.replace("0123456789", "abcdefghij"), 0)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(docs).collect()}
+    assert [got[i] != "" for i in range(len(cases))] == [bool(n) for _, n in cases]
+
+
+def brute_redacted(text, spans):
+    out, at = "", 0
+    for start, back, kind in sorted((int(a), -int(b), k.upper()) for k, a, b in (s.split(":") for s in spans.split(",") if s)):
+        if start >= at:
+            out += text[at:start] + f"[{kind}]"
+        at = max(at, -back)
+    return out + text[at:]
+
+
+def test_redaction_leaves_nothing(spark):
+    """Spans that overlap go together; the text between stays as it is; spans are those of the original."""
+    rng = random.Random(31)
+    parts = ["+12 10.0.0.1 34567", "a.b@c.de", "10.0.0.1", "4111 1111 1111 1111", "token 4111111111111111abcdefgh", "+49 301 234 567@x.org", "ü😀", "x" * 5_000, " ", "\n"]
+    texts = ["call +12 10.0.0.1 34567 now", None, ""] + [" ".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"row": F.lit(1), "pii_email": F.lit("x"), "spans": F.lit(2)})
+    got, spans = ({r["doc_id"]: r for r in df.collect()} for df in (pii.redact(docs), pii.detect(docs)))
+    assert got[0]["text"] == "call [PHONE] now" and got[1]["text"] is None and got[0]["pii_email"] == "x" and got[0]["spans"] == 2
+    assert all(got[i]["text"] == brute_redacted(t, spans[i]["spans"]) for i, t in enumerate(texts) if t is not None)
 
 
 def test_running_totals_of_long_arrays(spark):
@@ -349,6 +391,29 @@ def test_running_totals_of_long_arrays(spark):
         assert r["t"] == np.cumsum(r["v"]).tolist()
 
 
+def brute_mix(rows):
+    """rows: (id, source, size); the words taken of each row, slot by slot along the schedule. Ids are not null."""
+    names = sorted({s for _, s, _ in rows if s is not None}) + ([None] if any(s is None for _, s, _ in rows) else [])
+    stream = {s: [i for _, _, i in sorted((hashlib.md5(str(i).encode()).hexdigest(), n, k) for k, (i, x, n) in enumerate(rows) if x == s for _ in range(n))] for s in names}
+    want = mixing.targets([len(stream[s]) for s in names])
+    edges = mixing.edges(want)
+    slots = collections.defaultdict(int)
+    for i in range(mixing.slots_of(len(names))):
+        point = i * mixing.GOLDEN % mixing.MODULUS
+        slots[next(k for k, lo, hi in edges if lo <= point < hi)] += 1
+    taken = [0] * len(rows)
+    for k, s in enumerate(names):
+        goal, size = int(want[k] + Fraction(1, 2)), len(stream[s])
+        n = max(1, slots[k] * size // goal) if goal else 0
+        for r in range(slots[k] if goal else 0):
+            for word in stream[s][r % n * size // n : (r % n + 1) * size // n]:
+                if goal:
+                    taken[word] += 1
+                    goal -= 1
+        assert goal == 0 or not size
+    return taken
+
+
 def test_mixing(spark, awkward, empty):
     got = mixing.mix(awkward).collect()
     assert len(got) == awkward.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
@@ -358,8 +423,37 @@ def test_mixing(spark, awkward, empty):
     for r in mixing.with_taken(docs).select("source", "mix_taken", "mix_target").collect():
         taken[r["source"]] += r["mix_taken"]
         target[r["source"]] = r["mix_target"]
-    assert all(taken[s] == pytest.approx(t, rel=0.01) for s, t in target.items())
-    assert mixing.mix(empty).count() == 0
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
+    assert mixing.mix(empty).count() == 0 and mixing.with_taken(empty).count() == 0
+    blank = spark.createDataFrame([(1, None, "a"), (1, " ", None)], "doc_id long, text string, source string")
+    assert [r["taken"] for r in mixing.mix(blank).collect()] == [0, 0]
+
+
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(33)
+    rows = [(i, rng.choice(["hot"] * 20 + ["a", "b", "b", "c", None]), rng.choice([0, 1, 3, 50, 400])) for i in range(300)] + [(1000, "one", 1), (1001, "ten", 10)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, s, n in rows], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    assert [got[i] for i, _, _ in rows] == brute_mix(rows)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["_source", "_name", "_span", "_digest", "_from", "_to", "_block", "size", "taken", "row", "id", "name", "tie", "mix_size", "target"]
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "c", "t")], "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    got = mixing.with_taken(docs)
+    assert got.columns == [c for c in docs.columns if c != "mix_size"] + ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
+    assert {r["doc_id"]: (r["mix_size"], r["size"], r["_from"]) for r in got.collect()} == {1: (2, "size", "_from"), 2: (1, "size", "_from")}
+    assert mixing.mix(docs).count() == 2
+
+
+def test_mixing_meets_targets_of_any_size(spark):
+    """Sources from 10 words to 4,000,000: the smallest ones reach their targets too."""
+    rows = [(i, "w " * 10_000, "hot") for i in range(400)] + [(1000 + i, "w " * 10, f"s{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    small = next(r for r in got if r["source_size"] == 10)
+    assert (small["target"], small["taken"], small["n"]) == (20.0, 120, 6)
+    assert all(abs(r["taken"] - r["target"]) <= 0.5 for r in got if r["source_size"] > 10)
 
 
 def test_mix_meets_small_targets(spark):
@@ -384,16 +478,32 @@ def test_targets():
 
 
 def test_pipeline(spark):
-    names = [n for n, _ in corpus_pipeline.STAGES]
+    """Each stage's rows against a brute-force version of it on what the stage before kept."""
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     bad = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").collect()}
-    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
-    kept = {r["doc_id"] for r in corpus_pipeline.classify(spark, docs, sf).collect()}
-    assert len(kept & bad) <= 1 and len(kept) > 0.7 * len(texts)
-    comp = {i: c for i, _, c in brute_components([(i, brute_print(texts[i])) for i in sorted(kept)])}
     items = [set(decontaminate.shingles((r["text"] or "").encode())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    left = {i for i in kept if comp[i] == i}
-    left = {i for i in left if not any(len(s & set(decontaminate.shingles(texts[i].encode()))) >= 0.8 * len(s) for s in items)}
-    assert names == ["classify", "deduplicate", "decontaminate", "redact", "mix"] and set(got) == left
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["classify", "deduplicate", "decontaminate", "redact", "mix"]
+    kept = sorted(corpus_pipeline.classify(spark, docs, sf).collect(), key=lambda r: r["doc_id"])
+    assert len({r["doc_id"] for r in kept} & bad) <= 1 and len(kept) > 0.7 * docs.count()
+    comp = brute_near([r["text"] for r in kept])
+    left = [r for i, r in enumerate(kept) if comp[i] == i]
+    left = [r for r in left if not any(s and len(s & set(decontaminate.shingles((r["text"] or "").encode()))) >= 0.8 * len(s) for s in items)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.detect(docs).collect()}
+    clean = [(r["doc_id"], r["source"], brute_redacted(r["text"], spans[r["doc_id"]])) for r in left]
+    assert set(got) == {i for i, _, _ in clean} and all(got[i]["text"] == t and got[i]["source"] == s for i, s, t in clean)
+    assert [got[i]["taken"] for i, _, _ in clean] == brute_mix([(i, s, len(t.split())) for i, s, t in clean])
+
+
+def test_stages_on_awkward_tables(spark, awkward, empty):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables go through every stage."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        got = stage(spark, awkward, SF)
+        assert got.columns[: len(awkward.columns)] == awkward.columns or name == "mix"
+        assert got.count() == (7 if name == "deduplicate" else awkward.count())
+        assert stage(spark, empty, SF).count() == 0
+    model = quality.fit(awkward, labels)
+    assert quality.scored(awkward, model).count() == awkward.count()
+    assert corpus_pipeline.classify(spark, empty, SF).count() == 0
\ No newline at end of file
