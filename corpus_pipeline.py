@@ -35,8 +35,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's size and how many of its words the mix takes."""
-    return mixing.mix(docs, to_target=True)
+    """Every document with its text and columns, its size in words and how many of its words the mix takes."""
+    mixed = mixing.with_taken(docs)
+    return mixed.withColumnsRenamed({f"mix_{c}": c for c in ("size", "source_size", "target", "taken")})
 
 
 STAGES = [
