@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from splicework.llm.common import n_words, written
+from splicework.llm.common import ROW, n_words, numbered, written
 
 GOLDEN, MODULUS = 1_327_217_885, 2**31
 SLOTS, EACH, MAX_SOURCES, SPAN, STRETCH, BINS = 65_536, 128, 100_000, 20_000, 1_024, 4_096
@@ -79,15 +79,21 @@ def schedule(spark, shares: list[Fraction], n_slots: int) -> DataFrame:
 
 def with_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs and mix_size, mix_source_size, mix_target, mix_taken (in place of columns of these names)."""
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("name"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
     added = {c: f"mix_{c}" for c in ("size", "source_size", "target", "taken")}
-    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in added.values()]
-    return _taken(written(own, "mix-rows")).select(*kept, *(F.col(c).alias(a) for c, a in added.items()))
+    rows = numbered(docs, "mix-rows")
+    # only narrow rows are dealt out by source and block; whole rows meet their result once
+    own = _taken(written(rows.select(ROW, *_narrow(id_col, text_col, source_col)), "mix-sizes")).select(ROW, *(F.col(c).alias(a) for c, a in added.items()))
+    kept = rows.select(ROW, *(c for c in docs.columns if c not in added.values()))
+    return kept.join(own, ROW).drop(ROW)
+
+
+def _narrow(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).alias("id"), F.col(source_col).alias("name"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row per document: id, size, source_size, target, taken."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("name"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
+    own = docs.select(*_narrow(id_col, text_col, source_col))
     return _taken(written(own, "mix-sizes")).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
