@@ -26,6 +26,7 @@ longer text), and a cluster of any size is split.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,7 +100,10 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidates(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of FIRST bits or fewer within each run of equal keys: all of small runs, a spanning forest of each larger one."""
+    """Places of pairs of FIRST bits or fewer within each run of equal keys: all of small runs, a spanning forest of each larger one.
+
+    A forest grows from the least print_id on, always at the least that is reached: so keys with much the same members have
+    much the same pairs, and a large group has a few pairs a member over all its keys together."""
     start = np.flatnonzero(np.diff(key, prepend=-1))
     size = np.diff(start, append=len(key))
     group, small = np.repeat(np.arange(len(start)), size), np.repeat(size <= SMALL, size)
@@ -110,17 +114,19 @@ def candidates(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         left.append(i)
         right.append(i + d)
     for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
-        rest = np.arange(s, s + n)
+        run = s + np.argsort(print_id(fp[s : s + n]), kind="stable")
+        rest = np.arange(n)
         while len(rest):
-            queue, rest = [rest[0]], rest[1:]
+            queue, rest = [int(rest[0])], rest[1:]
             while queue and len(rest):
-                x = queue.pop()
-                near = _distance(fp[rest], fp[x]) <= FIRST
+                x = heapq.heappop(queue)
+                near = _distance(fp[run[rest]], fp[run[x]]) <= FIRST
                 if near.any():
                     found, rest = rest[near], rest[~near]
-                    left.append(np.full(len(found), x))
-                    right.append(found)
-                    queue.extend(found)
+                    left.append(np.full(len(found), run[x]))
+                    right.append(run[found])
+                    for i in found.tolist():
+                        heapq.heappush(queue, i)
     return np.concatenate(left), np.concatenate(right)
 
 
