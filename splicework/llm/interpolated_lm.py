@@ -4,13 +4,16 @@ A token's probability after its context u (the token before; the end sign before
     w2[b] * c(u v) / c(u) + w1[b] * c(v) / N + w0[b] / (V + 1),
 b the bucket of c(u) by powers of two. The weights of each bucket come from expectation-maximisation on
 held-out counts: each training document's tokens, with the document's own counts deleted from all others'.
-All training tokens take part: they are first counted by bucket and by the two probabilities, rounded to a
-tenth of a decade, a table whose size does not grow with the data; EM runs on that table.
+All training tokens take part: they are first summed by bucket and by cells of the two probabilities, CELLS a decade,
+each cell with its tokens' number and their mean log-probabilities (means, not the cells' middles: what is lost is of
+second order in a cell's width); a table whose size does not grow with the data. EM runs on that table.
 
-Counting. Documents are dealt to blocks of about BLOCK bytes. A block sends each of its distinct n-grams once,
+Counting. Rows are dealt to blocks of about BLOCK bytes by a hash of id, text and place, so repeated rows do not meet in
+one. A block sends each of its distinct n-grams once,
 as a 64-bit hash with its count in training documents, packed by range of the hash (a shard); a shard adds
 up the counts and sends each block its totals back. A block never has more than its documents hold, a hot
-word or pair is one entry a block, and all that moves is n-grams per block. Then a document's tokens meet
+word or pair is one entry a block, and all that moves is n-grams per block: at most one row a shard, never more rows
+than n-grams, many rows in one batch. Then a document's tokens meet
 their counts in its block, kept as a table of counts per token, from which EM and the scores are computed.
 
 Tokens are lower-cased (A-Z) words, then one end sign. Null texts count as empty: one token, the end. Rows with
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from splicework.llm.common import fold, written
 from splicework.llm.textarrays import mix, word_hashes
 
-BLOCK, SHARD, PARTITIONS, STEPS, TENTHS = 12 << 20, 16 << 20, 20_000, 60, 10
+BLOCK, SHARD, PARTITIONS, STEPS, CELLS, NONE = 12 << 20, 16 << 20, 20_000, 60, 20, 1023
+#: Bytes of rows of shards that are sent in one batch.
+BATCH = 4 << 20
 END = np.uint64(0x2545F4914F6CDD1C)
 _ONE, _ODD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,9 +90,15 @@ def _block_rows(bits: int):
         for block, ids, texts, held in _by_block(batches):
             own = Block(texts, held)
             counts = own.counts()
-            for shard, a, b in _shards(own.grams, bits):
-                steps = np.diff(own.grams[a:b], prepend=np.uint64(0))
-                yield pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "grams": [_planes(steps)], "counts": [_planes(counts[a:b].astype(np.uint32))]})
+            grams = own.grams
+            del own
+            out, held_bytes = [], 0
+            for shard, a, b in _shards(grams, bits):
+                out.append((shard, _planes(np.diff(grams[a:b], prepend=np.uint64(0))), _planes(counts[a:b].astype(np.uint32))))
+                held_bytes += 12 * (b - a)
+                if held_bytes > BATCH or b == len(grams):
+                    yield pa.RecordBatch.from_pydict({"shard": [x[0] for x in out], "block": [block] * len(out), "grams": [x[1] for x in out], "counts": [x[2] for x in out]})
+                    out, held_bytes = [], 0
 
     return rows
 
@@ -173,7 +184,7 @@ def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)) + F.count("*")).first()[0]
     n_blocks, bits = max(1, -(-int(size) // BLOCK)), max(0, int(size) // SHARD).bit_length()
     own = docs.select(
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(n_blocks)).cast("long").alias("block"), F.col(id_col).cast("long").alias("doc_id"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id()), F.lit(n_blocks)).cast("long").alias("block"), F.col(id_col).cast("long").alias("doc_id"),
         (fold(F.col(id_col), folds) == held_fold).alias("held_out"), F.col(text_col).cast("binary").alias("text"),
     ).repartition(min(n_blocks, PARTITIONS), "block")
     sent = own.sortWithinPartitions("block").mapInArrow(_block_rows(bits), "shard long, block long, grams binary, counts binary")
@@ -191,42 +202,47 @@ def bucket(c: np.ndarray) -> np.ndarray:
     return np.frexp(c)[1]
 
 
-def held_out_counts(met: DataFrame, n_all: int, n_docs: int) -> dict[tuple[int, int, int], int]:
-    """(bucket, tenths of p2, tenths of p1) -> training tokens, a document's own counts deleted; 255 stands for probability 0."""
+def held_out_counts(met: DataFrame, n_all: int, n_docs: int) -> np.ndarray:
+    """Rows of bucket, tokens, mean p2, mean p1 (geometric; 0 where a cell's tokens have none), a document's own counts deleted."""
 
-    def tenths(p: np.ndarray) -> np.ndarray:
-        return np.where(p > 0, np.minimum(254, np.floor(-np.log10(np.where(p > 0, p, 1)) * TENTHS)), 255).astype(np.int64)
+    def cell(p: np.ndarray) -> np.ndarray:
+        return np.where(p > 0, np.minimum(NONE - 1, np.floor(-np.log10(np.where(p > 0, p, 1)) * CELLS)), NONE).astype(np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = []
+            codes, logs = [np.empty(0, np.int64)], [np.empty((0, 2))]
             for words, both, mw, mp, n in zip(*(b.column(c).to_pylist() for c in ("words", "pairs", "own_words", "own_pairs", "n_tokens")), strict=True):
                 w, p = _document(words, both, n)
                 w, p = w - _values(mw, np.uint32), p - _values(mp, np.uint32)
                 before = np.concatenate([[n_docs - 1.0], w[:-1]])
-                p2 = np.divide(p, before, out=np.zeros(n), where=before > 0)
-                codes.append((bucket(before).astype(np.int64) << 16) | (tenths(p2) << 8) | tenths(w / max(1, n_all - n)))
-            code, count = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_pydict({"code": code, "n": count.astype(np.int64)})
-
-    sums = met.where("not held_out").select("words", "pairs", "own_words", "own_pairs", "n_tokens").mapInArrow(rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return {(r["code"] >> 16, r["code"] >> 8 & 255, r["code"] & 255): r["n"] for r in sums.collect()}
-
-
-def learn_weights(counts: dict[tuple[int, int, int], int], n_types: int, n_buckets: int = 66) -> np.ndarray:
-    """Expectation-maximisation: a row of three weights (pair, word, uniform) for each bucket."""
+                p2, p1 = np.divide(p, before, out=np.zeros(n), where=before > 0), w / max(1, n_all - n)
+                codes.append((bucket(before).astype(np.int64) << 20) | (cell(p2) << 10) | cell(p1))
+                logs.append(np.log(np.where([p2 > 0, p1 > 0], [p2, p1], 1)).T)
+            code, at, count = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+            both = np.concatenate(logs)
+            sums = [np.bincount(at, both[:, i], len(code)) for i in range(2)]
+            yield pa.RecordBatch.from_pydict({"code": code, "n": count.astype(np.int64), "log2": sums[0], "log1": sums[1]})
+
+    parts = met.where("not held_out").select("words", "pairs", "own_words", "own_pairs", "n_tokens").mapInArrow(rows, "code long, n long, log2 double, log1 double")
+    got = parts.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n", "log2", "log1"))).toArrow()
+    code, n, log2, log1 = (got.column(c).to_numpy() for c in ("code", "n", "log2", "log1"))
+    order = np.argsort(code)
+    code, n, log2, log1 = code[order], n[order].astype(float), log2[order], log1[order]
+    return np.stack([code >> 20, n, np.where((code >> 10 & NONE) < NONE, np.exp(log2 / n), 0), np.where((code & NONE) < NONE, np.exp(log1 / n), 0)], axis=1)
+
+
+def learn_weights(counts: np.ndarray, n_types: int, n_buckets: int = 66) -> np.ndarray:
+    """Expectation-maximisation: a row of three weights (pair, word, uniform) for each bucket, from rows of bucket, tokens, p2, p1."""
     weights = np.tile([0.4, 0.59, 0.01], (n_buckets, 1))
     weights[0] = [0, 0.99, 0.01]
-    if not counts:
+    if not len(counts):
         return np.tile([0.0, 0.0, 1.0], (n_buckets, 1))
-    keys, n = np.array(list(counts)), np.array(list(counts.values()), dtype=float)
-    p = lambda t: np.where(t < 255, 10.0 ** (-(t + 0.5) / TENTHS), 0.0)
-    each = np.stack([p(keys[:, 1]), p(keys[:, 2]), np.full(len(n), 1 / (n_types + 1))], axis=1)
+    at, n = counts[:, 0].astype(np.int64), counts[:, 1]
+    each = np.stack([counts[:, 2], counts[:, 3], np.full(len(n), 1 / (n_types + 1))], axis=1)
     for _ in range(STEPS):
-        share = weights[keys[:, 0]] * each
+        share = weights[at] * each
         share *= (n / np.maximum(share.sum(1), 1e-300))[:, None]
-        sums = np.zeros_like(weights)
-        np.add.at(sums, keys[:, 0], share)
+        sums = np.stack([np.bincount(at, share[:, i], n_buckets) for i in range(3)], axis=1)
         sums += [0.5, 0.5, 0.5]  # a bucket with few tokens stays near even
         sums[0, 0] = 0
         weights = sums / sums.sum(1, keepdims=True)

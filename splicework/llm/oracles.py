@@ -14,21 +14,23 @@ WITH w AS (
 ), each AS (SELECT rid, unnest(ls) AS line FROM l),
 measured AS (
   SELECT rid, line, len(regexp_extract_all(line, '{_WORD}')) AS n, len(regexp_extract_all(line, '{lr.MARKS}')) AS marks,
-    len(regexp_extract_all(line, '{lr.NAV_MARKS}')) AS nav,
-    regexp_matches(line, '{lr.CLOSED.replace("'", "''")}') AS closed, regexp_matches(line, '{lr.BOILERPLATE}') AS boiler FROM each
-), lost AS (
-  SELECT rid, sum(n) AS lost FROM measured
-  WHERE marks * 100 >= n * {lr.LOUD} OR (n < {lr.LEAST_WORDS} AND NOT closed) OR (nav >= {lr.NAV_LEAST} AND nav * 100 >= n * {lr.NAV})
-    OR (n <= {lr.BOILERPLATE_WORDS} AND boiler) GROUP BY rid
-), win AS (
+    len(regexp_extract_all(line, '{lr.NAV_MARKS}')) AS nav, len(regexp_extract_all(line, '{lr.LINK}')) AS links,
+    length(regexp_replace(line, '{lr.NO_LETTERS}', '', 'g')) AS letters, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
+    regexp_matches(line, '{lr.CLOSED.replace("'", "''")}') AS closed, regexp_matches(line, '{lr.BOILERPLATE.replace("'", "''")}') AS boiler FROM each
+), passed AS (
+  SELECT DISTINCT rid, line, n FROM measured
+  WHERE NOT (marks * 100 >= n * {lr.LOUD} OR (n < {lr.LEAST_WORDS} AND NOT closed) OR letters * 100 < solid * {lr.LETTERS} OR links * 100 >= n * {lr.LINKS}
+    OR (nav >= {lr.NAV_LEAST} AND nav * 100 >= n * {lr.NAV}) OR (n <= {lr.BOILERPLATE_WORDS} AND boiler))
+), stay AS (SELECT rid, sum(n) AS stay FROM passed GROUP BY rid),
+win AS (
   SELECT rid, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM l)
 ), twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid),
 counts AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(t, '{lr.SYMBOLS}'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.lost, 0)::BIGINT AS lost_words
-  FROM l LEFT JOIN rep USING (rid) LEFT JOIN lost USING (rid)
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, (len(ws) - coalesce(stay.stay, 0))::BIGINT AS lost_words
+  FROM l LEFT JOIN rep USING (rid) LEFT JOIN stay USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_words * 100 <= n_words * {lr.MOST_LOST} AS kept, lost_words

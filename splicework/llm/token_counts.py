@@ -5,9 +5,11 @@ the greatest sum of log-probabilities, fewer pieces on ties. Piece number r of t
 probability 1 / (r + OFFSET) up to a constant (Zipf's law; ranks are what public vocabularies tell). A
 character that no piece covers costs UNKNOWN and counts as its UTF-8 bytes, as byte fallback gives.
 
-Distinct pre-tokens of a task's batch are put in order, which is a walk of their trie: forward scores of a
-shared prefix are computed once and kept on a stack while the walk is below it; each pre-token's count is
-taken at its terminal. Counts of a task's pre-tokens are kept for its later batches, MEMORY at most.
+Distinct pre-tokens of a task go into a trie of their characters. A node holds the best score of the prefix that leads to
+it, and its pieces: both are computed once, when the node is made, from the nodes above it (as many as the longest piece has characters), and shared by all
+pre-tokens below. A pre-token's count is stored at its terminal (of up to DEPTH characters). The trie lives as long as its task, and starts anew
+beyond MEMORY nodes. It is DEPTH characters deep: what a longer pre-token has behind them is shared with nothing, and is
+computed with the last scores alone, so that a word of any length costs no memory.
 
 The vocabulary is read on the driver, a file of fixed size, and sent to the tasks. Documents stay in place.
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, OFFSET, UNKNOWN, MEMORY = "▁", 3, -25.0, 500_000
+MARK, OFFSET, UNKNOWN, MEMORY, DEPTH = "▁", 3, -25.0, 1_000_000, 64
 
 
 def zipf_pieces(model_file: str) -> dict[str, float]:
@@ -36,28 +38,46 @@ def zipf_pieces(model_file: str) -> dict[str, float]:
     return {p: -math.log(r + OFFSET) - total for r, p in enumerate(kept)}
 
 
-def trie_counts(pre_tokens: list[str], pieces: dict[str, float], longest: int) -> dict[str, int]:
-    """The token count of each of the distinct pre-tokens."""
-    out, get = {}, pieces.get
-    scores, counts, before = [0.0], [0], ""
-    for token in sorted(pre_tokens):
-        shared, most = 0, min(len(before), len(token))
-        while shared < most and before[shared] == token[shared]:
-            shared += 1
-        del scores[shared + 1 :], counts[shared + 1 :]
-        for end in range(shared + 1, len(token) + 1):
-            best, n = scores[end - 1] + UNKNOWN, counts[end - 1] + len(token[end - 1].encode("utf-8", "replace"))
-            for start in range(max(0, end - longest), end):
-                p = get(token[start:end])
-                if p is not None:
-                    s, c = scores[start] + p, counts[start] + 1
-                    if s > best or (s == best and c < n):
-                        best, n = s, c
-            scores.append(best)
-            counts.append(n)
-        out[token] = counts[-1]
-        before = token
-    return out
+class Trie:
+    """Distinct pre-tokens, with forward scores at their prefixes and counts at their terminals."""
+
+    def __init__(self, pieces: dict[str, float], longest: int):
+        self.pieces, self.longest = pieces, longest
+        self.children: list[dict[str, int]] = [{}]
+        self.score, self.count = [0.0], [0]
+        self.terminals: dict[str, int] = {}
+
+    def insert(self, token: str) -> int:
+        """The token count of the pre-token, from its terminal."""
+        if (found := self.terminals.get(token)) is not None:
+            return found
+        path, children = [0], self.children
+        for end, char in enumerate(token[:DEPTH], 1):
+            node = children[path[-1]].get(char)
+            if node is None:
+                node = children[path[-1]][char] = len(children)
+                score, count = self._step(token, end, [(self.score[n], self.count[n]) for n in path[-self.longest :]])
+                children.append({})
+                self.score.append(score)
+                self.count.append(count)
+            path.append(node)
+        last = [(self.score[n], self.count[n]) for n in path[-self.longest :]]
+        for end in range(DEPTH + 1, len(token) + 1):
+            last.append(self._step(token, end, last))
+            del last[: -self.longest]
+        if len(token) <= DEPTH:
+            self.terminals[token] = last[-1][1]
+        return last[-1][1]
+
+    def _step(self, token: str, end: int, before: list[tuple[float, int]]) -> tuple[float, int]:
+        """Best score and pieces of token[:end], from those of the prefixes before it, the longest last."""
+        get, (best, n) = self.pieces.get, before[-1]
+        best, n = best + UNKNOWN, n + len(token[end - 1].encode("utf-8", "replace"))
+        for back, (score, count) in enumerate(reversed(before), 1):
+            p = get(token[end - back : end])
+            if p is not None and (score + p > best or (score + p == best and count + 1 < n)):
+                best, n = score + p, count + 1
+        return best, n
 
 
 def counted(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,18 +86,15 @@ def counted(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", t
     longest = max(map(len, pieces), default=1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        trie = Trie(shared.value, longest)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [(t.as_py() or b"").split() for t in b.column(1)]
-            new = {w for words in texts for w in words if w not in known}
-            if len(known) + len(new) > MEMORY:
-                known = {}
-                new = {w for words in texts for w in words}
-            marked = {MARK + w.decode("utf-8", "replace"): w for w in new}
-            found = trie_counts(list(marked), shared.value, longest)
-            now = known | {w: found[MARK + w.decode("utf-8", "replace")] for w in new}
-            known = now if len(now) <= MEMORY else {}
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_pre_tokens": [len(t) for t in texts], "n_tokens": [sum(now[w] for w in t) for t in texts]})
+            known: dict[bytes, int] = {}
+            for w in {w for words in texts for w in words}:
+                if len(trie.children) > MEMORY:
+                    trie = Trie(shared.value, longest)
+                known[w] = trie.insert(MARK + w.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_pre_tokens": [len(t) for t in texts], "n_tokens": [sum(known[w] for w in t) for t in texts]})
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return own.mapInArrow(count, "doc_id long, n_pre_tokens long, n_tokens long")

@@ -4,6 +4,9 @@ ARC: a file begins with a filedesc:// record, whose second line starts with its
 header line and as many bytes as its last field declares. Version 1 lines have the fields URL, IP, date,
 type, length; version 2 lines have URL, IP, date, type, status, checksum, location, offset, file, length.
 Fields are split from the right, so that a blank in a URL does no harm. Dates of 8 to 14 digits become ISO.
+A line that is no header (of a version that is known; its length a number), a block that ends before its declared
+length, and gzip data that end or break off are reported as rows with an error and the offset; reading goes on at the
+next line that is a header. convert() leaves them out, and faults() lists them.
 
 WARC: a record's identifier is a UUID of the file and the offset that it comes from; digests are base-32
 SHA-1. Of records with equal payloads (of least_bytes or more), the one with the largest key is written as
@@ -15,7 +18,7 @@ more are joined back, and Spark splits a hot digest's rows.
 
 Null or empty payloads are records of 0 bytes, null URLs are written as "-". A null key is written without
 an X-Record-Key line and read back as null; it counts as smallest. Repeated rows are records of their own.
-An empty table gives archives without records.
+An empty table gives archives without records; other columns of the table are not written.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from splicework.llm.common import new_path
 
 ARC_FIELDS = {1: 5, 2: 10}
 _V1 = b"1 0 splicework\nURL IP-address Archive-date Content-type Archive-length\n"
-RECORD = "file string, offset long, key long, url string, ip string, date string, mime string, head binary, payload binary, digest string"
+RECORD = "file string, offset long, key long, url string, ip string, date string, mime string, head binary, payload binary, digest string, error string"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's namespace for URLs
 
 
@@ -60,19 +63,26 @@ class _Stream:
         # base: the place in the file of have's first byte
         self.pieces, self.have, self.at, self.base = self._plain(data), b"", 0, 0
 
-    @staticmethod
-    def _plain(data: bytes) -> Iterator[bytes]:
+    #: Whether a gzip member is not at its end; at the end of the file, it broke off.
+    open = False
+
+    def _plain(self, data: bytes) -> Iterator[bytes]:
         if data[:2] != b"\x1f\x8b":
             yield data
             return
         engine = zlib.decompressobj(31)
-        for i in range(0, len(data), 1 << 20):
-            piece = data[i : i + (1 << 20)]
-            while piece:
-                yield engine.decompress(piece)
-                piece = engine.unused_data
-                if engine.eof:
-                    engine = zlib.decompressobj(31)
+        try:
+            for i in range(0, len(data), 1 << 20):
+                piece = data[i : i + (1 << 20)]
+                while piece:
+                    yield engine.decompress(piece)
+                    piece = engine.unused_data
+                    if engine.eof:
+                        self.open, engine = False, zlib.decompressobj(31)
+                    else:
+                        self.open = True
+        except zlib.error:
+            self.open = True  # what follows in the file cannot be told from garbage
 
     def _more(self) -> bool:
         piece = next(self.pieces, None)
@@ -101,20 +111,50 @@ class _Stream:
         return out or b""
 
 
+_LENGTH = re.compile(rb"[0-9]{1,18}")
+_DATE = re.compile(rb"[0-9]{8,14}")
+
+
+def _header(line: bytes, version: int) -> list[bytes] | None:
+    """The fields of a header line of the version; None if it is none."""
+    f = line.strip().rsplit(b" ", ARC_FIELDS.get(version, 0) - 1)
+    good = version in ARC_FIELDS and len(f) == ARC_FIELDS[version] and _LENGTH.fullmatch(f[-1]) and _DATE.fullmatch(f[2])
+    return f if good else None
+
+
 def parse_arc(name: str, data: bytes) -> Iterator[dict]:
-    stream, version = _Stream(data), 1
+    stream, version, lost = _Stream(data), 1, False
+
+    def fault(offset: int, what: str) -> dict:
+        return dict.fromkeys(("key", "url", "ip", "date", "mime", "head", "payload", "digest")) | {"file": name, "offset": offset, "error": what}
+
     while (line := stream.line()) is not None:
         if not line.strip():
             continue
         offset = stream.at - len(line)
-        if line.startswith(b"filedesc://"):
-            block = stream.block(int(line.split()[-1]))
-            version = int(block.split(None, 1)[0])
+        if line.startswith(b"filedesc://") and _LENGTH.fullmatch(last := line.split()[-1]):
+            block = stream.block(int(last)).split(None, 1)
+            version = int(block[0]) if block and _LENGTH.fullmatch(block[0]) else 0
+            if version not in ARC_FIELDS:
+                yield fault(offset, "version")
+            lost = False
+            continue
+        f = _header(line, version)
+        if f is None:
+            if not lost:  # once, until a header is found again
+                yield fault(offset, "header")
+            lost = True
+            continue
+        lost, size = False, int(f[-1])
+        block = stream.block(size)
+        if len(block) < size:
+            yield fault(offset, "length")
             continue
-        f = line.decode("utf-8", "replace").strip().rsplit(" ", ARC_FIELDS[version] - 1)
-        block = stream.block(int(f[-1]))
         head, payload = split_http(block)
-        yield {"file": name, "offset": offset, "key": http_number(head, b"x-record-key"), "url": f[0], "ip": f[1], "date": iso_date(f[2]), "mime": f[3], "head": head, "payload": payload, "digest": sha1_base32(payload)}
+        url, ip, date, mime = (x.decode("utf-8", "replace") for x in f[:4])
+        yield {"file": name, "offset": offset, "key": http_number(head, b"x-record-key"), "url": url, "ip": ip, "date": iso_date(date), "mime": mime, "head": head, "payload": payload, "digest": sha1_base32(payload), "error": None}
+    if stream.open:
+        yield fault(stream.at, "gzip")
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -137,16 +177,19 @@ def parse_warc(name: str, data: bytes) -> Iterator[dict]:
         while (line := stream.line()) not in (None, b"\r\n"):
             k, _, v = line.decode("utf-8", "replace").partition(":")
             fields[k.strip().lower()] = v.strip()
+        if not _LENGTH.fullmatch(fields.get("content-length", "").encode()):
+            continue
         head, payload = split_http(stream.block(int(fields["content-length"])))
-        kind = fields["warc-type"]
-        if kind not in ("response", "revisit"):
+        kind = fields.get("warc-type")
+        if kind not in ("response", "resource", "revisit"):
             continue
-        full = kind == "response"
+        full = kind != "revisit"
+        length = None if full else fields.get("x-payload-length") or http_number(head, b"content-length")
         yield {
-            "key": http_number(head, b"x-record-key"), "record_id": fields["warc-record-id"], "record_type": kind, "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"),
+            "key": http_number(head, b"x-record-key"), "record_id": fields.get("warc-record-id"), "record_type": kind, "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"),
             "refers_to_id": fields.get("warc-refers-to"), "payload": payload if full else None,
-            "payload_bytes": len(payload) if full else http_number(head, b"content-length"),
-            "payload_digest": sha1_base32(payload) if full else fields["warc-payload-digest"].removeprefix("sha1:"),
+            "payload_bytes": len(payload) if full else None if length is None else int(length),
+            "payload_digest": sha1_base32(payload) if full else fields.get("warc-payload-digest", "").removeprefix("sha1:"),
         }
 
 
@@ -202,9 +245,9 @@ def write_arc(pages: DataFrame, key: Column, url: Column, payload: Column, folde
 def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes: int = 0) -> None:
     """Writes WARC files, gzipped, of all the records of the ARC files."""
     rank = F.struct("key", "file", "offset")
-    seen = read_arc(spark, arc_folder, ["digest", "key", "file", "offset", "url", "date"])
+    seen = read_arc(spark, arc_folder, ["digest", "key", "file", "offset", "url", "date", "error"]).where("error is null")
     again = seen.groupBy("digest").agg(F.max(F.struct("key", "file", "offset", "url", "date")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    records = read_arc(spark, arc_folder, ["file", "offset", "key", "url", "ip", "date", "mime", "head", "payload", "digest"])
+    records = read_arc(spark, arc_folder, ["file", "offset", "key", "url", "ip", "date", "mime", "head", "payload", "digest", "error"]).where("error is null")
     big = F.octet_length("payload") >= least_bytes
     other = F.coalesce(big & ~rank.eqNullSafe(F.struct("first.key", "first.file", "first.offset")) & F.col("first").isNotNull(), F.lit(False))
     rows = records.join(again, "digest", "left").withColumn("refers", F.when(other, F.col("first"))).drop("first")
@@ -217,6 +260,11 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes:
     rows.mapInArrow(warc, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_folder)
 
 
+def faults(spark: SparkSession, arc_folder: str) -> DataFrame:
+    """What convert() leaves out: file, offset, error (version, header, length, gzip)."""
+    return read_arc(spark, arc_folder, ["file", "offset", "error", "payload"]).where("error is not null").drop("payload")
+
+
 def _warc_record(r: dict) -> bytes:
     refers = r["refers"]
     block = r["head"] if refers else r["head"] + r["payload"]
@@ -224,7 +272,7 @@ def _warc_record(r: dict) -> bytes:
     lines += [f"WARC-Payload-Digest: sha1:{r['digest']}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
     if refers:
         lines += [f"WARC-Refers-To: {record_id(refers['file'], refers['offset'])}", f"WARC-Refers-To-Target-URI: {refers['url']}", f"WARC-Refers-To-Date: {refers['date']}"]
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"X-Payload-Length: {len(r['payload'])}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += [f"Content-Type: {'application/http; msgtype=response' if r['head'] else r['mime']}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
@@ -236,7 +284,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     write_arc(pages, F.col(id_col).cast("long"), F.col(url_col), F.col(payload_col).cast("binary"), arc)
     convert(spark, arc, warc)
     records = read_warc(spark, warc, ["key", "record_id", "record_type", "refers_to_id", "payload_bytes", "payload_digest"])
-    first = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"))
+    first = records.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"))
     named = records.where("record_type = 'revisit'").join(first, "refers_to_id", "left")
     columns = [F.col("key").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"]
-    return records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(named.select(*columns))
+    return records.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(named.select(*columns))
