@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from splicework.operators import intervals as iv
+from splicework.operators.tables import written
 
 
 def _by(keys: list[str], *order: str) -> W.WindowSpec:
@@ -180,18 +181,20 @@ def crossing(clips: DataFrame, start: Column, stop: Column) -> DataFrame:
     return clips.where((F.col("start") < start) & (F.col("stop") > stop))
 
 
-def fresh_ids(rows: DataFrame, used: DataFrame, keys: list[str], order: str, base: Column, most: int) -> DataFrame:
+def fresh_ids(rows: DataFrame, used: DataFrame, keys: list[str], order: str, base: Column) -> DataFrame:
     """rows with a column fresh: base-j1, base-j2 and so on in order, leaving out those that used (keys, id) has.
 
-    At most `most` of a key's used ids may start like that; candidates are numbered, and the free ones dealt out in order."""
-    w = _by(keys, order)
-    own = rows.withColumns({"_n": F.row_number().over(w), "_base": base})
-    counts = own.groupBy(*keys, "_base").agg(F.max("_n").alias("_need"))
-    names = counts.withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_need") + most)))
-    names = names.select(*keys, "_j", F.concat("_base", F.lit("-j"), F.col("_j").cast("string")).alias("fresh"))
-    free = names.join(used.select(*keys, F.col("id").alias("fresh")), [*keys, "fresh"], "left_anti")
-    free = free.withColumn("_n", F.row_number().over(_by(keys, "_j"))).drop("_j")
-    return own.join(free, [*keys, "_n"]).drop("_n", "_base")
+    A key gets as many candidates as it has rows and used ids of that form, so there is always a free one for each row."""
+    own = rows.withColumn("_base", base)
+    own = own.withColumn("_n", F.row_number().over(_by([*keys, "_base"], order)))
+    need = own.groupBy(*keys, "_base").agg(F.max("_n").alias("_need"))
+    taken = used.select(*keys, F.col("id").alias("fresh")).distinct().withColumn("_base", F.regexp_extract("fresh", "^(.*)-j[0-9]+$", 1))
+    need = need.join(taken.groupBy(*keys, "_base").agg(F.count("*").alias("_taken")), [*keys, "_base"], "left")
+    names = need.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_need") + F.coalesce("_taken", F.lit(0)))))
+    names = names.select(*keys, "_base", "_j", F.concat("_base", F.lit("-j"), F.col("_j").cast("string")).alias("fresh"))
+    free = names.join(taken.drop("_base"), [*keys, "fresh"], "left_anti")
+    free = free.withColumn("_n", F.row_number().over(_by([*keys, "_base"], "_j"))).drop("_j")
+    return own.join(free, [*keys, "_base", "_n"]).drop("_n", "_base")
 
 
 def load(windows: DataFrame, clips: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -201,15 +204,22 @@ def load(windows: DataFrame, clips: DataFrame, keys: list[str], width: int) -> D
     return own.distinct().join(met, [*keys, "start", "stop"], "left").select(*keys, "start", "stop", F.coalesce("_n", F.lit(0)).alias("clips"))
 
 
+#: Steps of a batch that stay in one plan.
+STRIDE = 20
+
+
 def applied(clips: DataFrame, steps: list, violations) -> DataFrame:
     """All steps (DataFrame to DataFrame), one behind another, or none: raises ValueError if violations of the result has a row.
 
-    1 to 1000 steps. Nothing is written before the check; each step only adds to one plan."""
+    1 to 1000 steps. After each STRIDE steps the rows are written to the shared folder, so that no plan grows with their
+    number; nothing is given out before the check."""
     if not 1 <= len(steps) <= 1000:
         raise ValueError("1 to 1000 edits")
     out = clips
-    for step in steps:
+    for n, step in enumerate(steps, 1):
         out = step(out)
+        if n % STRIDE == 0 and n < len(steps):
+            out = written(out, "steps")
     if wrong := violations(out).limit(1).collect():
         raise ValueError(f"the edits leave {wrong[0]}")
     return out

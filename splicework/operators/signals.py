@@ -1,8 +1,7 @@
-"""Signals and pictures: loudness profiles, shot cuts, periodicity, clock fits, colour counts, and job admission."""
+"""Signals and pictures: loudness profiles, shot cuts, periodicity, clock fits, and colour counts."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -96,38 +95,6 @@ def waveform(pixels: DataFrame, keys: list[str], index: str, width: int, columns
     return pixels.select(*keys, column.alias("column"), F.explode(planes).alias("_p")).groupBy(*keys, "column", "_p.plane", "_p.value").agg(F.count("*").alias("n"))
 
 
-def admitted(jobs: DataFrame, keys: list[str], order: str, room: int) -> DataFrame:
-    """Which waiting jobs of a pool start now: keys and order of those. Jobs have weight, speech and claims (paths).
-
-    A job waits for an earlier one, started or waiting, that claims the same path, one above or one below, or if both are
-    speech. When a job that could start finds no room, neither it nor any later one starts. Weights count up to room.
-    Whether a job starts depends on all before it, so each pool's queue is folded in order."""
-    names = [*keys, order]
-
-    def above(path: str) -> list[str]:
-        parts = path.split("/")
-        return ["/".join(parts[:i]) for i in range(1, len(parts))]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, over, speech, used, started = set(), set(), False, 0, []
-        for j in pdf.sort_values(order).itertuples():
-            blocked = (j.speech and speech) or any(c in taken or c in over or not taken.isdisjoint(above(c)) for c in j.claims)
-            weight = min(j.weight, room)
-            if not blocked and used + weight > room:
-                break
-            if not blocked:
-                used += weight
-                started.append(getattr(j, order))
-            speech = speech or j.speech
-            for c in j.claims:
-                taken.add(c)
-                over.update(above(c))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(started) for k in keys}, order: started})[names]
-
-    own = jobs.select(*names, "weight", "speech", "claims")
-    return own.groupBy(*keys).applyInPandas(fold, own.select(*names).schema)
-
-
 def steady_line(points: DataFrame, keys: list[str], run: str, within: float = 1.5, least: int = 4) -> DataFrame:
     """A weighted least-squares slope that all runs of a key share, and an intercept: keys, slope, intercept.
 

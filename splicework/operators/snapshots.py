@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from splicework.operators.tables import written
+
 
 def search(assets: DataFrame, bin_prefix: list[str], tags: list[str], text: str) -> DataFrame:
     """Assets in a bin (a path prefix) with all tags and, in any letter case, text in id, title, bin or tags."""
@@ -53,7 +55,7 @@ def descendants(edges: DataFrame, deepest: int) -> DataFrame:
     every = level.withColumn("depth", F.lit(1))
     for depth in range(2, deepest + 1):
         step = edges.select(F.col("parent").alias("child"), F.col("child").alias("_next"))
-        level = level.join(step, "child").select("parent", F.col("_next").alias("child")).distinct()
+        level = written(level.join(step, "child").select("parent", F.col("_next").alias("child")).distinct(), "level")
         every = every.unionByName(level.withColumn("depth", F.lit(depth)))
     return every.groupBy("parent", "child").agg(F.min("depth").alias("depth"))
 
@@ -66,7 +68,7 @@ def levels(edges: DataFrame, deepest: int) -> DataFrame:
     level = own.select(F.col("parent").alias("node")).distinct().join(own.select(F.col("child").alias("node")), "node", "left_anti")
     every = level.withColumn("level", F.lit(0))
     for depth in range(1, deepest + 1):
-        level = own.join(level, own["parent"] == level["node"]).select(F.col("child").alias("node")).distinct()
+        level = written(own.join(level, own["parent"] == level["node"]).select(F.col("child").alias("node")).distinct(), "level")
         every = every.unionByName(level.withColumn("level", F.lit(depth)))
     return every.groupBy("node").agg(F.max("level").alias("level"))
 
@@ -89,16 +91,19 @@ def misfits(rows: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     return own.select(*keys, issue.alias("issue")).where("issue is not null")
 
 
-def reached(members: DataFrame, start: DataFrame, node: str, group: str, rounds: int) -> DataFrame:
-    """Nodes that share a group with a start node, directly or over others, within `rounds` rounds: node, round (the first).
+def reached(members: DataFrame, start: DataFrame, node: str, group: str) -> DataFrame:
+    """Nodes that share a group with a start node, directly or over any number of others: node, round (the first).
 
     members are pairs (node, group), such as tracks and the links on them; each round goes from the nodes just found to their
-    groups and on to all members of those. Start nodes are of round 0; null groups tie nothing."""
-    own = members.select(node, group).where(F.col(group).isNotNull()).distinct()
-    new = start.select(node).distinct()
-    every = new.withColumn("round", F.lit(0))
-    for n in range(1, rounds + 1):
+    groups and on to all members of those, until a round finds no new node. Start nodes are of round 0; null groups tie
+    nothing. Each round is a table in the shared folder."""
+    own = written(members.select(node, group).where(F.col(group).isNotNull()).distinct(), "members")
+    new = written(start.select(node).distinct().withColumn("round", F.lit(0)), "reached")
+    found, n = new, 0
+    while not new.isEmpty():
+        n += 1
         groups = own.join(new, node, "left_semi").select(group).distinct()
-        new = own.join(groups, group, "left_semi").select(node).distinct()
-        every = every.unionByName(new.withColumn("round", F.lit(n)))
-    return every.groupBy(node).agg(F.min("round").alias("round"))
+        more = own.join(groups, group, "left_semi").select(node).distinct().join(found, node, "left_anti")
+        new = written(more.withColumn("round", F.lit(n)), "reached")
+        found = found.unionByName(new)
+    return found

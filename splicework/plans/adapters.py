@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 ASSETS = 199
 #: Bucket width of overlap joins: about the length of a long clip.
@@ -31,14 +30,27 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    size = (F.length("word") + 1) * 10
-    before = F.sum(size).over(W.Window.partitionBy("asset").orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0))
-    return d.withColumn("start", before - size).select("asset", "pos", "word", "start", (F.col("start") + F.length("word") * 10).alias("stop"))
+    """Words with their places; running totals are taken within each text's own array, so nothing is dealt out by document."""
+    parts = F.split("text", " ")
+    sizes = F.transform(parts, lambda w: (F.length(w) + 1) * 10)
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset"), parts.alias("w"), running_total(sizes).alias("ends"))
+    d = d.select("asset", F.posexplode(F.arrays_zip("w", "ends")).alias("pos", "z")).select("asset", "pos", F.col("z.w").alias("word"), F.col("z.ends").cast("long").alias("end"))
+    return d.select("asset", "pos", "word", (F.col("end") - (F.length("word") + 1) * 10).alias("start"), (F.col("end") - 10).alias("stop"))
+
+
+def running_total(sizes, chunk: int = 256):
+    """Inclusive totals of an array, chunk by chunk, so that a long array is not copied for each of its values."""
+    none, zero = F.array().cast("array<long>"), F.lit(0).cast("long")
+    add = lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["a"], F.array(s["t"] + x)).alias("a"))
+    totals = lambda v, start: F.aggregate(v, F.struct(start.alias("t"), none.alias("a")), add, lambda s: s["a"])
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(sizes) / chunk).cast("int") - 1, F.lit(0))), lambda c: F.slice(sizes, c * chunk + 1, F.lit(chunk)))
+    sums = totals(F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x)), zero)
+    before = F.concat(F.array(zero), F.slice(sums, 1, F.size(sums) - 1))
+    return F.flatten(F.zip_with(parts, before, totals))
 
 
 CLIPS = f"""clips AS (SELECT user_id AS track, event_id AS id, event_id % 4 AS layer, event_id % {ASSETS} AS asset, epoch_us(ts) // {TICK_US} AS start,
   epoch_us(ts) // {TICK_US} + 500 + event_id % 1500 AS stop, event_id % 50 * 100 AS source_in, value FROM events)"""
-WORDS = """split AS (SELECT doc_id AS asset, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
-words AS (SELECT asset, i - 1 AS pos, w[i] AS word, (sum((length(w[i]) + 1) * 10) OVER (PARTITION BY asset ORDER BY i) - (length(w[i]) + 1) * 10)::BIGINT AS start,
-  (sum((length(w[i]) + 1) * 10) OVER (PARTITION BY asset ORDER BY i) - 10)::BIGINT AS stop FROM split)"""
+WORDS = """split AS (SELECT doc_id AS asset, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+words AS (SELECT asset, i - 1 AS pos, word, (sum((length(word) + 1) * 10) OVER w - (length(word) + 1) * 10)::BIGINT AS start,
+  (sum((length(word) + 1) * 10) OVER w - 10)::BIGINT AS stop FROM split WINDOW w AS (PARTITION BY asset ORDER BY i))"""

@@ -43,7 +43,8 @@ def jn11_around(spark, sf_dir):
 
 
 @query(f"""WITH {WORDS}, cuts AS (SELECT asset AS track, greatest(start - 10, 0) AS start, start + 35 AS stop FROM words WHERE pos % 9 = 0), {_MERGED.format(rows='cuts', test='> 0')},
-  h AS (SELECT w.asset, w.pos, sum(least(w.stop, u.stop) - greatest(w.start, u.start)) AS gone FROM words w JOIN u ON u.track = w.asset AND u.start < w.stop AND w.start < u.stop GROUP BY ALL)
+  wb AS (SELECT *, unnest(range(start // 200, greatest(stop - 1, start) // 200 + 1)) AS b FROM words), ub AS (SELECT *, unnest(range(start // 200, (stop - 1) // 200 + 1)) AS b FROM u),
+  h AS (SELECT w.asset, w.pos, sum(least(w.stop, u.stop) - greatest(w.start, u.start)) AS gone FROM wb w JOIN ub u ON u.track = w.asset AND u.b = w.b AND u.start < w.stop AND w.start < u.stop AND greatest(w.start, u.start) // 200 = w.b GROUP BY w.asset, w.pos)
   SELECT w.asset, w.pos::BIGINT AS pos, (w.stop - w.start - coalesce(gone, 0))::BIGINT AS kept, CASE WHEN gone IS NULL THEN 'whole' WHEN w.stop - w.start > gone THEN 'partial' ELSE 'removed' END AS fate
   FROM words w LEFT JOIN h ON h.asset = w.asset AND h.pos = w.pos""")
 def jn18_word_cuts(spark, sf_dir):
@@ -154,12 +155,3 @@ def agg3_vectorscope(spark, sf_dir):
 def agg2_waveform(spark, sf_dir):
     """Counts of values by column and plane of pictures 7 pixels wide."""
     return signals.waveform(_rgb(spark, sf_dir), [], "i", 7, 3)
-
-
-@query()
-def win23_admission(spark, sf_dir):
-    """Which of each pool's waiting jobs start now."""
-    e = read(spark, sf_dir, "events")
-    claim = F.concat_ws("/", "event_type", F.when(F.col("event_id") % 11 > 0, (F.col("event_id") % 7).cast("string")))
-    jobs = e.select(F.col("user_id").alias("pool"), F.col("event_id").alias("job"), (F.col("event_id") % 3 + 1).alias("weight"), (F.col("event_id") % 5 == 0).alias("speech"), F.array(claim).alias("claims"))
-    return signals.admitted(jobs, ["pool"], "job", 8)

@@ -236,7 +236,8 @@ def agg9_runs(spark, sf_dir):
     return ordered.runs(_levels(spark, sf_dir), TRACK, "id", F.col("db") >= 500)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLIPS}, c AS (SELECT DISTINCT track, start FROM clips), t AS (SELECT track, min(start) AS start FROM c GROUP BY track
+  UNION ALL SELECT track, n FROM (SELECT t.track, min(c.start) AS n FROM t JOIN c ON c.track = t.track AND c.start >= t.start + {HOUR} GROUP BY t.track)) SELECT * FROM t""")
 def win4_spaced(spark, sf_dir):
     """Greedy minimum spacing of clip starts: an hour."""
     return ordered.spaced(clips(spark, sf_dir).select("track", "start"), TRACK, "start", HOUR)

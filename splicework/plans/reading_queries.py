@@ -53,12 +53,12 @@ def win17_layout(spark, sf_dir):
     return cues.select("asset", "cue", reading.laid_out(F.col("text"), 42).alias("text"))
 
 
-@query(f"""WITH {CLIPS}, {WORDS}, h AS (SELECT c.track, c.id AS clip, w.pos, w.word || CASE WHEN w.start < c.source_in OR w.stop > c.source_in + 300 THEN '*' ELSE '' END AS w
-  FROM clips c JOIN words w ON w.asset = c.asset AND w.start < c.source_in + 300 AND c.source_in < w.stop), g AS (SELECT track, clip, list(w ORDER BY pos) AS l FROM h GROUP BY ALL)
+@query(f"""WITH {CLIPS}, {WORDS}, h AS (SELECT c.track, c.id AS clip, w.pos, w.word || CASE WHEN w.start < c.source_in OR w.stop > c.source_in + c.stop - c.start THEN '*' ELSE '' END AS w
+  FROM clips c JOIN words w ON w.asset = c.asset AND w.start < c.source_in + c.stop - c.start AND c.source_in < w.stop), g AS (SELECT track, clip, list(w ORDER BY pos) AS l FROM h GROUP BY ALL)
   SELECT track, clip, len(l) AS count, CASE WHEN len(l) <= 5 THEN array_to_string(l, ' ') ELSE array_to_string(list_concat(l[:3], ['...'], l[-2:]), ' ') END AS text FROM g""")
 def int40_outline(spark, sf_dir):
-    """What each clip's first 300 ticks say, shortened to five words."""
-    c = clips(spark, sf_dir).select("track", F.col("id").alias("clip"), "asset", F.col("source_in").alias("start"), (F.col("source_in") + 300).alias("stop"))
+    """What each clip says, shortened to five words."""
+    c = clips(spark, sf_dir).select("track", F.col("id").alias("clip"), "asset", F.col("source_in").alias("start"), (F.col("source_in") + F.col("stop") - F.col("start")).alias("stop"))
     hit = iv.overlap_join(c, words(spark, sf_dir), ASSET, WIDTH)
     partial = (F.col("other_start") < F.col("start")) | (F.col("other_stop") > F.col("stop"))
     return reading.snippets(hit.withColumn("partial", partial), ["track", "clip"], 5)
@@ -119,7 +119,7 @@ def s26_fresh_ids(spark, sf_dir):
     """Ids for new parts that no clip has yet."""
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track"), F.col("l_linenumber").alias("n")).distinct()
     used = rows.select("track").distinct().withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(9)))).where("(track + j) % 3 = 0").select("track", F.concat(F.lit("clip-j"), F.col("j").cast("string")).alias("id"))
-    return edits.fresh_ids(rows, used, TRACK, "n", F.lit("clip"), 9).select("track", "n", "fresh")
+    return edits.fresh_ids(rows, used, TRACK, "n", F.lit("clip")).select("track", "n", "fresh")
 
 
 @query(f"""WITH {_SEQ} SELECT track, id, start + CASE WHEN start >= 50 THEN 30 ELSE 0 END AS start, stop + CASE WHEN start >= 50 THEN 30 ELSE 0 END AS stop, source_in + 5 AS source_in FROM pl WHERE NOT (start < 50 AND stop > 50)
@@ -179,9 +179,12 @@ def int37_misfits(spark, sf_dir):
     return snapshots.misfits(c, e, ["conv_id", "turn"])
 
 
-@query(f"""WITH RECURSIVE {CLIPS}, m AS (SELECT DISTINCT track, id // 2 AS link FROM clips WHERE layer < 2), t AS (SELECT 1::BIGINT AS track, 0 AS round UNION SELECT b.track, round + 1 FROM t JOIN m a ON a.track = t.track JOIN m b ON b.link = a.link WHERE round < 2)
-  SELECT track, min(round)::INTEGER AS round FROM t GROUP BY track""")
+@query(f"""WITH RECURSIVE {CLIPS}, r AS (SELECT (min(start) + max(stop)) // 2 AS a FROM clips), m AS (SELECT DISTINCT track, id // 3 AS link FROM clips, r WHERE start < a + 300 AND a < stop),
+  t AS (SELECT DISTINCT track FROM clips WHERE track % 20 = 1 UNION SELECT b.track FROM t JOIN m a ON a.track = t.track JOIN m b ON b.link = a.link) SELECT track FROM t""")
 def jn14_reached(spark, sf_dir):
-    """Tracks that links tie to the first one, over two others at most."""
-    c = clips(spark, sf_dir).where("layer < 2").withColumn("link", F.floor(F.col("id") / 2))
-    return snapshots.reached(c, spark.range(1, 2).select(F.col("id").alias("track")), "track", "link", 2)
+    """Tracks that an edit of some tracks over a span reaches through links of the clips that it affects, over any number of links."""
+    c = clips(spark, sf_dir)
+    a, b = c.agg(F.min("start"), F.max("stop")).first()
+    t = (a + b) // 2
+    affected = c.where((F.col("start") < t + 300) & (F.col("stop") > t)).withColumn("link", F.expr("id div 3"))
+    return snapshots.reached(affected, c.where("track % 20 = 1").select("track"), "track", "link").select("track")

@@ -199,7 +199,7 @@ def k4_cube(spark, sf_dir):
     return pixels.through_cube(_rgb(spark, sf_dir), cube, 5)
 
 
-@query(f"WITH {_SAMPLES} SELECT track, k % 2 AS channel, k // 2 AS frame, v AS value FROM sm UNION ALL SELECT track, 1, max(k) // 2, 0 FROM sm GROUP BY track HAVING max(k) % 2 = 0")
+@query(f"WITH {_SAMPLES} SELECT track, k % 2 AS channel, k // 2 AS frame, greatest(-32768, least(32767, v)) AS value FROM sm UNION ALL SELECT track, 1, max(k) // 2, 0 FROM sm GROUP BY track HAVING max(k) % 2 = 0")
 def src10_wav(spark, sf_dir):
     """Samples written as stereo WAV files and read again."""
     s = _samples(spark, sf_dir).select("track", (F.col("k") % 2).alias("channel"), F.floor(F.col("k") / 2).alias("frame"), F.col("v").alias("value"))

@@ -135,13 +135,6 @@ def test_cues_break_at_pauses_sentences_length_and_lines(spark):
     assert [t for _, t in found(transcripts.cues(rows, ["asset"], 30, 25, 80, 2), "cue", "text")] == ["one two.", "three", "four abcdefgh", "ij klmno", "p"]
 
 
-def test_admission_waits_for_claims_speech_and_room(spark):
-    jobs = [(1, 2, False, ["a/b"]), (2, 1, False, ["a"]), (3, 1, True, ["c"]), (4, 1, True, ["d"]), (5, 1, False, ["a/b/c"]), (6, 1, False, ["ab"]), (7, 9, False, []), (8, 1, False, ["z"])]
-    rows = spark.createDataFrame([("p", *j) for j in jobs], "pool string, job long, weight long, speech boolean, claims array<string>")
-    assert found(signals.admitted(rows, ["pool"], "job", 5), "job") == [(1,), (3,), (6,)]
-    assert found(signals.admitted(rows.where("job = 7"), ["pool"], "job", 5), "job") == [(7,)]
-
-
 def test_curve_against_fractions(spark):
     keys = [(0, 10, "linear"), (3, -5, "ease_in"), (7, 8, "ease_out"), (12, 1, "ease_in_out"), (19, 90, "hold"), (21, 4, "linear")]
     curve = spark.createDataFrame([("t", *k) for k in keys], "track string, at long, value long, mode string")

@@ -122,8 +122,7 @@ def test_documents_without_assets_stay(spark):
 def test_links_are_followed_by_rounds(spark):
     members = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 2), ("c", 3), ("d", 3), ("e", None), ("a", None)], "track string, link long")
     start = members.where("track = 'a'")
-    assert found(snapshots.reached(members, start, "track", "link", 2), "track", "round") == [("a", 0), ("b", 1), ("c", 2)]
-    assert found(snapshots.reached(members, start, "track", "link", 3), "track", "round") == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    assert found(snapshots.reached(members, start, "track", "link"), "track", "round") == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
 
 
 def test_edits_that_do_not_fit_change_nothing(spark):
