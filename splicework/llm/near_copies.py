@@ -234,10 +234,23 @@ def _linked(rows: DataFrame, parts: list[str], name: str) -> DataFrame:
 
 def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows with root: the component of node by edges."""
-    roots = components(edges)
+    roots = contracted(edges)
     return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """node, root of edges a, b, as components() gives: first along each node's least neighbour alone, one edge a node, then between what that leaves.
+
+    A large group has several edges a node; the rounds of components() then deal out one of them."""
+    own = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "near-edges")
+    first = written(components(own.groupBy("a").agg(F.min("b").alias("b"))), "near-roots")
+    named = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    left = own.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b").distinct()
+    second = written(components(left).select(F.col("node").alias("root"), F.col("root").alias("top")), "near-tops")
+    moved = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(second.join(first.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
+
+
 def grouped(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """_row, root (equal for all rows of a component) of rows with a stable key _row."""
     own = rows.select("_row", F.col(text_col).cast("binary").alias("text"))
@@ -250,7 +263,7 @@ def grouped(rows: DataFrame, text_col: str = "text") -> DataFrame:
     sides = [bits.select(F.col("fp").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("f0", "f1", "f2", "f3"))) for s in "ab"]
     far = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in ("f0", "f1", "f2", "f3"))
     near = first.join(sides[0], "a").join(sides[1], "b").where(far <= FAR).select("a", "b")
-    clusters = components(near)
+    clusters = contracted(near)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
     # nodes of a cluster, or of one fingerprint; their texts, and the number of blocks of their cluster
     nodes = prints.groupBy("node").agg(F.min("_row").alias("_row"), F.min("fp").alias("fp")).join(clusters, "fp", "left")

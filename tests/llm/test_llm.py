@@ -168,6 +168,19 @@ def test_filters_judge_rows_and_not_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted((i or 0, t) for i, t in rows if item not in t) and left.columns == docs.columns
 
 
+def test_contracted_edges(spark):
+    rng = random.Random(41)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(1000, 1000 + i) for i in range(50)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    least = {n: n for p in pairs for n in p}
+    for _ in range(300):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r["node"]: r["root"] for r in near_copies.contracted(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {n: m for n, m in least.items() if n != m}
+    assert near_copies.contracted(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
