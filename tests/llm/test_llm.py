@@ -316,6 +316,41 @@ def test_quality_held_out(spark, awkward, empty):
     assert quality.scored(empty, model).count() == 0
 
 
+def test_quality_fit_against_brute_force():
+    """The weights are where the ridge and logistic loss of the preference pairs is least, by plain gradient descent; the threshold is the quantile."""
+    rng = np.random.default_rng(11)
+    y = (rng.random(400) < 0.7).astype(int)
+    x = rng.standard_normal((400, quality.N_FEATURES)) + 0.5 * y[:, None] * rng.random(quality.N_FEATURES)
+    model = quality.bradley_terry(x, y)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -8, 8)
+    pick = np.random.default_rng(5)
+    good, bad = z[y == 1], z[y == 0]
+    d = good[pick.integers(0, len(good), quality.PAIRS)] - bad[pick.integers(0, len(bad), quality.PAIRS)]
+    w = np.zeros(x.shape[1])
+    for _ in range(400):
+        w -= 1.0 * (quality.RIDGE * w - d.T @ (1 / (1 + np.exp(d @ w))) / len(d))
+    assert np.abs(w - model.weights).max() < 1e-3
+    strengths = np.sort(z @ model.weights)
+    assert strengths[len(bad) - 1] <= model.threshold <= strengths[len(bad)]
+    score = model.score(x)
+    assert ((score >= quality.CUT) == (z @ model.weights >= model.threshold)).all() and (score >= quality.CUT).sum() == len(good)
+    tied = quality.bradley_terry(np.repeat(x[:20], 2, axis=0), np.tile([0, 1], 20))
+    assert len(set(tied.score(np.repeat(x[:1], 5, axis=0)).tolist())) == 1
+
+
+def test_quality_reads_a_bounded_number_of_rows(spark):
+    docs = spark.createDataFrame([(1 + i % 2, f"text {i}") for i in range(500)], "doc_id long, text string").withColumns({n: F.lit(1) for n in ("label", "h", "t", "x")})
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, most=50)
+    assert quality.scored(docs, model).count() == 500 and 0 < quality.scored(docs, model).first()["quality_score"] < 1
+
+
+def test_simhash_of_empty_and_clashing_tables(spark, awkward, empty):
+    assert simhash.near_duplicates(empty).count() == 0
+    clash = awkward.withColumns({"root": F.lit(1), "node": F.lit(2), "least": F.lit(3)})
+    assert simhash.near_duplicates(clash).count() == awkward.count()
+
+
 def test_lm_against_brute_force(spark, awkward):
     """Counts, buckets, deletion, EM (on each token's own probabilities) and scores."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
