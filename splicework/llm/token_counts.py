@@ -43,6 +43,12 @@ class Trie:
 
     def __init__(self, pieces: dict[str, float], longest: int):
         self.pieces, self.longest = pieces, longest
+        #: Of the last two characters of pieces, the pieces' lengths: no other piece needs a look.
+        self.lengths: dict[str, tuple[int, ...]] = {}
+        for p in pieces:
+            if len(p) > 1:
+                self.lengths[p[-2:]] = (*self.lengths.get(p[-2:], ()), len(p))
+        self.lengths = {k: tuple(sorted(set(v))) for k, v in self.lengths.items()}
         self.children: list[dict[str, int]] = [{}]
         self.score, self.count = [0.0], [0]
         self.terminals: dict[str, int] = {}
@@ -51,32 +57,45 @@ class Trie:
         """The token count of the pre-token, from its terminal."""
         if (found := self.terminals.get(token)) is not None:
             return found
-        path, children = [0], self.children
+        node, scores, counts = 0, [0.0], [0]
+        children, score, count = self.children, self.score, self.count
         for end, char in enumerate(token[:DEPTH], 1):
-            node = children[path[-1]].get(char)
-            if node is None:
-                node = children[path[-1]][char] = len(children)
-                score, count = self._step(token, end, [(self.score[n], self.count[n]) for n in path[-self.longest :]])
+            below = children[node]
+            node = below.get(char, 0)
+            if not node:
+                node = below[char] = len(children)
                 children.append({})
-                self.score.append(score)
-                self.count.append(count)
-            path.append(node)
-        last = [(self.score[n], self.count[n]) for n in path[-self.longest :]]
+                best, n = self._step(token, end, scores, counts)
+                score.append(best)
+                count.append(n)
+            scores.append(score[node])
+            counts.append(count[node])
         for end in range(DEPTH + 1, len(token) + 1):
-            last.append(self._step(token, end, last))
-            del last[: -self.longest]
+            best, n = self._step(token, end, scores, counts)
+            scores.append(best)
+            counts.append(n)
+            if len(scores) > 4 * self.longest + DEPTH:  # the last ones are all that is asked for
+                del scores[: -self.longest], counts[: -self.longest]
         if len(token) <= DEPTH:
-            self.terminals[token] = last[-1][1]
-        return last[-1][1]
+            self.terminals[token] = counts[-1]
+        return counts[-1]
 
-    def _step(self, token: str, end: int, before: list[tuple[float, int]]) -> tuple[float, int]:
+    def _step(self, token: str, end: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
         """Best score and pieces of token[:end], from those of the prefixes before it, the longest last."""
-        get, (best, n) = self.pieces.get, before[-1]
-        best, n = best + UNKNOWN, n + len(token[end - 1].encode("utf-8", "replace"))
-        for back, (score, count) in enumerate(reversed(before), 1):
-            p = get(token[end - back : end])
-            if p is not None and (score + p > best or (score + p == best and count + 1 < n)):
-                best, n = score + p, count + 1
+        get, best = self.pieces.get, scores[-1] + UNKNOWN
+        p = get(token[end - 1])
+        if p is not None and scores[-1] + p >= best:
+            best, n = scores[-1] + p, counts[-1] + 1
+        else:
+            n = counts[-1] + len(token[end - 1].encode("utf-8", "replace"))
+        for size in self.lengths.get(token[end - 2 : end], ()) if end > 1 else ():
+            if size > end:
+                break
+            p = get(token[end - size : end])
+            if p is not None:
+                s = scores[-size] + p
+                if s > best or (s == best and counts[-size] + 1 < n):
+                    best, n = s, counts[-size] + 1
         return best, n
 
 
@@ -91,7 +110,7 @@ def counted(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", t
             ids, texts = b.column(0).to_pylist(), [(t.as_py() or b"").split() for t in b.column(1)]
             known: dict[bytes, int] = {}
             for w in {w for words in texts for w in words}:
-                if len(trie.children) > MEMORY:
+                if len(trie.children) + len(trie.terminals) > MEMORY:
                     trie = Trie(shared.value, longest)
                 known[w] = trie.insert(MARK + w.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_pre_tokens": [len(t) for t in texts], "n_tokens": [sum(known[w] for w in t) for t in texts]})
