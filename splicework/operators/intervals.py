@@ -71,13 +71,16 @@ def sliced(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
 def subtracted(clips: DataFrame, cuts: DataFrame, keys: list[str], width: int) -> DataFrame:
     """The pieces of clips that cuts leave, with their source offsets; clips have a column id."""
     cuts = merged(cuts.select(*keys, "start", "stop"), keys).drop("members")
-    hit = overlap_join(clips, cuts, keys, width)
-    order = _by([*keys, "id"], "other_start")
-    before = hit.select(*keys, "id", "source_in", F.col("start").alias("s"), F.coalesce(F.lag("other_stop").over(order), F.col("start")).alias("a"), F.col("other_start").alias("b"))
-    tail = hit.groupBy(*keys, "id", "source_in", F.col("start").alias("s")).agg(F.max("other_stop").alias("a"), F.max("stop").alias("b"))
-    pieces = before.unionByName(tail).where("a < b").select(*keys, "id", F.col("a").alias("start"), F.col("b").alias("stop"), (F.col("source_in") + F.col("a") - F.col("s")).alias("source_in"))
-    whole = clips.join(hit.select(*keys, "id").distinct(), [*keys, "id"], "left_anti").select(*keys, "id", "start", "stop", "source_in")
-    return pieces.unionByName(whole)
+    names = [*keys, "id", "start", "stop", "source_in"]
+    hit = overlap_join(clips.select(*names), cuts, keys, width)
+    # a row for the clip itself stands before its cuts: what is left before each cut, and behind the last, in one pass
+    rows = clips.select(*names).withColumns({c: F.lit(None).cast("long") for c in ("other_start", "other_stop")}).unionByName(hit.select(*names, "other_start", "other_stop"))
+    order = W.Window.partitionBy(*keys, "id", "start").orderBy(F.col("other_start").asc_nulls_first())
+    before = F.struct(F.coalesce(F.lag("other_stop").over(order), F.col("start")).alias("a"), F.col("other_start").alias("b"))
+    behind = F.when(F.lead(F.lit(1)).over(order).isNull(), F.struct(F.coalesce("other_stop", "start").alias("a"), F.col("stop").alias("b")))
+    rows = rows.withColumns({"_before": before, "_behind": behind})
+    pieces = rows.select(*keys, "id", F.col("start").alias("s"), "source_in", F.explode(F.array("_before", "_behind")).alias("p")).where("p.a < p.b")
+    return pieces.select(*keys, "id", F.col("p.a").alias("start"), F.col("p.b").alias("stop"), (F.col("source_in") + F.col("p.a") - F.col("s")).alias("source_in"))
 
 
 def rippled(clips: DataFrame, cuts: DataFrame, keys: list[str], width: int) -> DataFrame:

@@ -1,12 +1,13 @@
 """Track edits, links, attributes, pages, snapshots, words, scalars and streams on fixed cases."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from splicework.functions import scalars as sc
-from splicework.operators import edits, language, picks, snapshots, tables
+from splicework.operators import edits, grading, language, picks, snapshots, tables
 from splicework.operators import tracks as tr
 from splicework.streaming import power
 
@@ -177,3 +178,27 @@ def test_streams(spark, tmp_path):
     for number, ids in ((0, [1, 2, 2]), (1, [2, 3]), (1, [2, 3]), (2, [1])):
         write(spark.createDataFrame([(i,) for i in ids], "track long"), number)
     assert rows(spark.read.parquet(str(tmp_path / "once")).select("track")) == [(1,), (2,), (3,)]
+
+
+def test_masks_and_grades(spark):
+    p = spark.createDataFrame([(x, y) for x in range(12) for y in range(8)], "x long, y long")
+
+    def brute(x, y, rect, radius, edge, inverted):
+        left, top, width, height = rect
+        d = min(x + 0.5 - left, left + width - x - 0.5, y + 0.5 - top, top + height - y - 0.5)
+        if radius:
+            lo, hi = {"inner": (0, radius), "centered": (-radius, radius), "outer": (-radius, 0)}[edge]
+            w = math.floor(65_536 * min(1, max(0, (d - lo) / (hi - lo))) + 0.5)
+        else:
+            w = 65_536 if d > 0 else 0
+        return 65_536 - w if inverted else w
+
+    for radius, edge, inverted in ((0, "inner", False), (2, "inner", False), (2, "centered", True), (3, "outer", False)):
+        got = p.select("x", "y", grading.coverage(F.col("x"), F.col("y"), (3, 2, 6, 4), radius, edge, inverted).alias("w")).collect()
+        assert all(r["w"] == brute(r["x"], r["y"], (3, 2, 6, 4), radius, edge, inverted) for r in got)
+    pixels = spark.createDataFrame([(v, v, 255 - v) for v in range(256)], "r long, g long, b long")
+    assert rows(grading.graded(pixels, 0.0, 1.0, (1.0, 1.0, 1.0))) == rows(pixels)
+    assert rows(grading.graded(pixels, 3.0, 2.0, (1.0, 0.5, 0.2), F.lit(0.0))) == rows(pixels)
+    flat = spark.createDataFrame([(1, 7)] * 3, "k long, v long")
+    other = spark.createDataFrame([(1, 10), (1, 30)], "k long, v long")
+    assert rows(grading.levels_match(flat, other, ["k"], "v")) == [(1, 7, 20)]
