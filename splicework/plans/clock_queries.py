@@ -135,7 +135,10 @@ def flt16_history(spark, sf_dir):
     return checks.history(_history(spark, sf_dir), "project")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ACTIONS}, x AS (SELECT project, revision, CASE WHEN action = 'apply' AND o_orderkey % 3 = 0 THEN 'undo' ELSE action END AS action, CASE WHEN action = 'restore' THEN revision // 2 END AS own FROM h),
+  t AS (SELECT project, revision, action, own AS restored_from, [NULL::BIGINT] AS backs FROM x WHERE revision = 0
+  UNION ALL SELECT x.project, x.revision, x.action, CASE WHEN x.action = 'undo' THEN backs[x.revision] ELSE own END, list_append(backs, CASE WHEN x.action <> 'undo' THEN x.revision - 1 WHEN backs[x.revision] IS NOT NULL THEN backs[backs[x.revision] + 1] END) FROM t JOIN x ON x.project = t.project AND x.revision = t.revision + 1)
+  SELECT project, revision, action, restored_from, backs[-1] AS undo_target FROM t""")
 def win21_undo(spark, sf_dir):
     """Where undo leads in each history."""
     own = _history(spark, sf_dir)

@@ -170,7 +170,8 @@ def flt15_band(spark, sf_dir):
     return _rgb(spark, sf_dir).select("vec_id", "i", pixels.band(F.col("g"), 100, 150, 30).alias("weight"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SAMPLES}, b AS (SELECT track, k, v, max(0 - k * 20) OVER w + k * 20 AS lo, min(k % 7 * 5 + 400 + k * 20) OVER w - k * 20 AS hi FROM sm WINDOW w AS (PARTITION BY track ORDER BY k DESC ROWS UNBOUNDED PRECEDING)),
+  p AS (SELECT track, k, least(greatest(v, lo), hi) AS "at" FROM b WHERE k = 0 UNION ALL SELECT b.track, b.k, least(greatest(b.v, greatest(b.lo, p."at" - 20)), least(b.hi, p."at" + 20)) FROM p JOIN b ON b.track = p.track AND b.k = p.k + 1) SELECT track, k, "at" FROM p""")
 def win7_crop_path(spark, sf_dir):
     """A path near the samples that moves at most 20 a step."""
     own = _samples(spark, sf_dir).withColumns({"low": F.lit(0).cast("long"), "high": F.col("k") % 7 * 5 + 400})
@@ -209,7 +210,16 @@ def src10_wav(spark, sf_dir):
     return media.sound_samples(media.sound_blocks(files, "track", "content"), "track").select("track", F.col("channel").cast("long").alias("channel"), "frame", "value")
 
 
-@query()
+def _pass(n: int, last: bool = False) -> str:
+    """SQL of one pass over the points p{n}: their lines, and what is near enough for the next."""
+    means = f"m{n} AS (SELECT *, sum(w * x) FILTER (i) OVER r / sum(w) FILTER (i) OVER r AS mx, sum(w * y) FILTER (i) OVER r / sum(w) FILTER (i) OVER r AS my, sum(w) FILTER (i) OVER r AS sw, count(*) FILTER (i) OVER r AS n FROM p{n} WINDOW r AS (PARTITION BY track, run)),"
+    slopes = f"s{n} AS (SELECT *, CASE WHEN sum(w * (x - mx) * (x - mx)) FILTER (i) OVER t > 0 THEN sum(w * (x - mx) * (y - my)) FILTER (i) OVER t / sum(w * (x - mx) * (x - mx)) FILTER (i) OVER t END AS slope FROM m{n} WINDOW t AS (PARTITION BY track))"
+    near = f", n{n} AS (SELECT *, i AND coalesce(abs(y - my - slope * (x - mx)) <= 1.5, true) AS near FROM s{n}), p{n + 1} AS (SELECT track, run, x, y, w, CASE WHEN count(*) FILTER (near) OVER (PARTITION BY track) >= 4 THEN near ELSE i END AS i FROM n{n}),"
+    return means + slopes + ("" if last else near)
+
+
+@query(f"""WITH {_SAMPLES}, p0 AS (SELECT track, k // 20 AS run, k::DOUBLE AS x, (k * 12.5 + v % 3)::DOUBLE AS y, (v % 5 + 1)::DOUBLE AS w, true AS i FROM sm), {_pass(0)} {_pass(1)} {_pass(2, True)},
+  b AS (SELECT track, arg_max(slope, (sw, -run)) AS slope, arg_max(my - slope * mx, (sw, -run)) AS intercept FROM s2 WHERE n >= 2 AND i AND slope IS NOT NULL GROUP BY track) SELECT track, round(slope, 6) AS slope, round(intercept, 4) AS intercept FROM b""")
 def win10_steady_line(spark, sf_dir):
     """The steady period of each track's events in runs of twenty, outliers dropped."""
     s = _samples(spark, sf_dir)
