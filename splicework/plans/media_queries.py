@@ -106,7 +106,9 @@ def agg6_levels(spark, sf_dir):
     return own.withColumns({"rms": F.round("rms", 4), "rms_db": F.round("rms_db", 4)})
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SERIES}, d AS (SELECT track, k, CASE WHEN k > 0 THEN abs(db - lag(db) OVER (PARTITION BY track ORDER BY k)) END AS d FROM se),
+  n AS (SELECT *, greatest(0, lag(d) OVER w, lag(d, 2) OVER w, lead(d) OVER w, lead(d, 2) OVER w) AS near FROM d WINDOW w AS (PARTITION BY track ORDER BY k)), c AS (SELECT track, k FROM n WHERE k = 0 OR (d >= 4000 AND d >= near * 2)),
+  t AS (SELECT track, min(k) AS k FROM c GROUP BY track UNION ALL SELECT track, m FROM (SELECT t.track, min(c.k) AS m FROM t JOIN c ON c.track = t.track AND c.k >= t.k + 3 GROUP BY t.track)) SELECT track, k FROM t""")
 def win5_shots(spark, sf_dir):
     """Shot cuts of a series, three frames apart at least."""
     own = _series(spark, sf_dir)
