@@ -4,7 +4,7 @@ Documents are the indexed sets, test items the queries, both of SHINGLE-word shi
 times as long as an item, so a sketch of one fixed size cannot see the item: both sides fall into size partitions
 (powers of two), and for a pair of partitions a document's sketch is a one-permutation MinHash whose number of bins
 follows from both: so many that a shingle of the document is its bin's minimum with probability s, where EXPECT (12) of
-an item's shingles are to be seen at a containment of CONTAINED (0.8). A long item needs a sparse sketch (s = 0.11 at
+an item's shingles are to be seen at a containment of CONTAINED (0.8). A long item needs a sparse sketch (s = 0.12 at
 129 shingles), a short one nearly all minima (s = 0.9999 at 12). Bins are not stored: the minimum of a bin is the first
 of the document's sorted hashes with its high bits.
 
