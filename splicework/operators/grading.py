@@ -61,3 +61,13 @@ def native_rate(num: Column, den: Column) -> Column:
     rate = reduced(num, den)
     known = F.array(*(F.struct(F.lit(n).cast("long").alias("num"), F.lit(d).cast("long").alias("den")) for n, d in RATES))
     return F.when(F.array_contains(known, rate), rate)
+
+
+def scaled_nearest(pixels: DataFrame, keys: list[str], size: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """Pixels (keys, x, y, r, g, b) of pictures of one size at another: each new pixel is the one that its middle falls into.
+
+    Each new column and row asks for one old one, so old pixels are joined with the few columns and rows that ask for them."""
+    spark = pixels.sparkSession
+    ask = lambda n, m, old, new: spark.createDataFrame([((2 * i + 1) * n // (2 * m), i) for i in range(m)], f"{old} long, {new} long")
+    own = pixels.join(F.broadcast(ask(size[0], target[0], "x", "new_x")), "x").join(F.broadcast(ask(size[1], target[1], "y", "new_y")), "y")
+    return own.select(*keys, F.col("new_x").alias("x"), F.col("new_y").alias("y"), "r", "g", "b")

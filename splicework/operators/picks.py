@@ -73,3 +73,13 @@ def looked_up(rows: DataFrame, registry: DataFrame, code: str) -> DataFrame:
     other = registry.where(F.col(code) == "UNKNOWN").select(F.lit(1).alias("_one"), *(F.col(c).alias(f"_other_{c}") for c in names))
     own = rows.join(known, code, "left").withColumn("_one", F.lit(1)).join(other, "_one", "left")
     return own.select(*rows.columns, *(F.when(F.col(f"_{names[0]}").isNull(), F.col(f"_other_{c}")).otherwise(F.col(f"_{c}")).alias(c) for c in names))
+
+
+def frame_index(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """packets (keys, id, pts, key_frame, samples) in order of pts, then id: frame (from 0), pts, length (null for the last), anchor
+    (the last key frame at or before it, null before the first), samples_before."""
+    w = _by(keys, "pts", "id")
+    own = packets.withColumns({"frame": F.row_number().over(w) - 1, "length": F.lead("pts").over(w) - F.col("pts")})
+    run = w.rowsBetween(W.Window.unboundedPreceding, 0)
+    own = own.withColumn("anchor", F.max(F.when(F.col("key_frame"), F.col("frame"))).over(run))
+    return own.withColumn("samples_before", F.sum("samples").over(run) - F.col("samples")).select(*keys, "id", "frame", "pts", "length", "anchor", "samples_before")

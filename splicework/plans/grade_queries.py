@@ -70,3 +70,12 @@ def s8_rates(spark, sf_dir):
     d = F.when((k % 8).isin(5, 6), 1001).otherwise(1)
     own = read(spark, sf_dir, "part").select(k.alias("k"), grading.native_rate((n * (k % 3 + 1)).cast("long"), (d * (k % 3 + 1)).cast("long")).alias("r"))
     return own.select("k", "r.num", "r.den")
+
+
+@query(f"""WITH {_RGB}, p AS (SELECT vec_id, i % 7 AS x, i // 7 AS y, r, g, b FROM rgb), c AS (SELECT unnest(range(4)) AS nx), l AS (SELECT unnest(range(5)) AS ny)
+  SELECT vec_id, nx AS x, ny AS y, r, g, b FROM c, l, p WHERE p.x = (2 * nx + 1) * 7 // 8 AND p.y = (2 * ny + 1) * 3 // 10""")
+def k7_nearest(spark, sf_dir):
+    """Pictures of seven by three pixels at four by five."""
+    i = F.col("i").cast("long")
+    own = _rgb(spark, sf_dir).select("vec_id", (i % 7).alias("x"), F.expr("cast(i as bigint) div 7").alias("y"), "r", "g", "b")
+    return grading.scaled_nearest(own, ["vec_id"], (7, 3), (4, 5))

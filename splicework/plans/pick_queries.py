@@ -142,3 +142,11 @@ def snk1_published(spark, sf_dir):
     """A table published under a new name, and read there."""
     path = f"{shared_folder(spark)}/splicework/published-{uuid.uuid4().hex}"
     return published(read(spark, sf_dir, "part").select("p_partkey", "p_size"), path)
+
+
+@query(f"""WITH {CLIPS}, p AS (SELECT track, id, start AS pts, id % 12 = 0 AS kf, id % 5 * 480 AS n, row_number() OVER w - 1 AS frame FROM clips WINDOW w AS (PARTITION BY track ORDER BY start, id))
+  SELECT track, id, frame::INTEGER AS frame, pts, lead(pts) OVER w - pts AS length, (max(CASE WHEN kf THEN frame END) OVER (w ROWS UNBOUNDED PRECEDING))::INTEGER AS anchor, (sum(n) OVER (w ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS samples_before FROM p WINDOW w AS (PARTITION BY track ORDER BY pts, id)""")
+def src9_index(spark, sf_dir):
+    """Frames of each track in order, with the key frame that each needs and the sound before it."""
+    c = clips(spark, sf_dir).select("track", "id", F.col("start").alias("pts"), (F.col("id") % 12 == 0).alias("key_frame"), (F.col("id") % 5 * 480).alias("samples"))
+    return picks.frame_index(c, TRACK)

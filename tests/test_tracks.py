@@ -202,3 +202,12 @@ def test_masks_and_grades(spark):
     flat = spark.createDataFrame([(1, 7)] * 3, "k long, v long")
     other = spark.createDataFrame([(1, 10), (1, 30)], "k long, v long")
     assert rows(grading.levels_match(flat, other, ["k"], "v")) == [(1, 7, 20)]
+
+
+def test_nearest_scaling_and_frame_index(spark):
+    p = spark.createDataFrame([(1, x, y, 10 * x + y, 0, 0) for x in range(4) for y in range(2)], "k long, x long, y long, r long, g long, b long")
+    same = grading.scaled_nearest(p, ["k"], (4, 2), (4, 2))
+    assert rows(same.select(*p.columns)) == rows(p)
+    assert rows(grading.scaled_nearest(p, ["k"], (4, 2), (2, 1)), "x", "y", "r") == [(0, 0, 11), (1, 0, 31)]
+    packets = spark.createDataFrame([(1, 1, 0, False, 5), (1, 2, 40, True, 6), (1, 3, 40, False, 7), (1, 4, 90, False, 8)], "k long, id long, pts long, key_frame boolean, samples long")
+    assert rows(picks.frame_index(packets, ["k"]), "frame", "length", "anchor", "samples_before") == [(0, 40, None, 0), (1, 0, 1, 5), (2, 50, 1, 11), (3, None, 1, 18)]
