@@ -232,9 +232,8 @@ def _linked(rows: DataFrame, parts: list[str], name: str) -> DataFrame:
     return written(dealt.mapInArrow(_link_rows, "a long, b long"), name)
 
 
-def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with root: the component of node by edges."""
-    roots = contracted(edges)
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with root: the component of node."""
     return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -243,12 +242,17 @@ def contracted(edges: DataFrame) -> DataFrame:
 
     A large group has several edges a node; the rounds of components() then deal out one of them."""
     own = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "near-edges")
-    first = written(components(own.groupBy("a").agg(F.min("b").alias("b"))), "near-roots")
-    named = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    left = own.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b").distinct()
+    return extended(written(components(own.groupBy("a").agg(F.min("b").alias("b"))), "near-roots"), own)
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (node, root) after more edges a, b: only edges between different roots take part in the rounds."""
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    left = edges.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b").distinct()
     second = written(components(left).select(F.col("node").alias("root"), F.col("root").alias("top")), "near-tops")
-    moved = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return moved.unionByName(second.join(first.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
+    moved = roots.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = second.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return written(moved.unionByName(new), "near-roots")
 
 
 def grouped(rows: DataFrame, text_col: str = "text") -> DataFrame:
@@ -276,13 +280,13 @@ def grouped(rows: DataFrame, text_col: str = "text") -> DataFrame:
     def block(turn: int):
         return F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("blocks"))
 
-    found = _linked(texts.withColumn("block", block(1)), ["cluster", "block"], "near-links")
+    roots = contracted(_linked(texts.withColumn("block", block(1)), ["cluster", "block"], "near-links"))
     large = texts.where("blocks > 1")
     if large.isEmpty():
-        return _final(prints, found)
-    found = found.unionByName(_linked(_rooted(large, found).withColumn("block", block(2)), ["cluster", "block"], "near-links"))
+        return _final(prints, roots)
+    roots = extended(roots, _linked(_rooted(large, roots).withColumn("block", block(2)), ["cluster", "block"], "near-links"))
     # what is outside its cluster's largest component meets all blocks
-    placed = written(_rooted(large, found), "near-rooted")
+    placed = written(_rooted(large, roots), "near-rooted")
     size = placed.groupBy("cluster", "root").count()
     most = size.groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("n")).where("n > 1").select("cluster", F.col("most.root").alias("largest"))
     left = placed.join(most, "cluster").withColumn("outside", F.col("root") != F.col("largest"))
@@ -293,12 +297,11 @@ def grouped(rows: DataFrame, text_col: str = "text") -> DataFrame:
     outside = left.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cluster", "block", F.col("mine").alias("with"), "node", "root", "text")
     # of those outside, also one another's: each as a guest in its own block
     guests = each.where("outside and mine != with").select("cluster", "block", "with", "node", "root", "text")
-    found = found.unionByName(_linked(inside.unionByName(outside).unionByName(guests), ["cluster", "block", "with"], "near-links"))
-    return _final(prints, found)
+    return _final(prints, extended(roots, _linked(inside.unionByName(outside).unionByName(guests), ["cluster", "block", "with"], "near-links")))
 
 
-def _final(prints: DataFrame, found: DataFrame) -> DataFrame:
-    return _rooted(prints.select("_row", "node"), found).select("_row", "root")
+def _final(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    return _rooted(prints.select("_row", "node"), roots).select("_row", "root")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
