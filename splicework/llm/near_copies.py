@@ -102,8 +102,8 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def candidates(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of FIRST bits or fewer within each run of equal keys: all of small runs, a spanning forest of each larger one.
 
-    A forest grows from the least print_id on, always at the least that is reached: so keys with much the same members have
-    much the same pairs, and a large group has a few pairs a member over all its keys together."""
+    A forest grows from the fingerprint nearest to the run's majority bits on, always at the nearest that is reached: most of
+    a large group hangs on few fingerprints in its middle, the same in all its keys, so that it has few pairs a member."""
     start = np.flatnonzero(np.diff(key, prepend=-1))
     size = np.diff(start, append=len(key))
     group, small = np.repeat(np.arange(len(start)), size), np.repeat(size <= SMALL, size)
@@ -114,7 +114,9 @@ def candidates(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         left.append(i)
         right.append(i + d)
     for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
-        run = s + np.argsort(print_id(fp[s : s + n]), kind="stable")
+        own = fp[s : s + n]
+        ones = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        run = s + np.lexsort((print_id(own), _distance(own, np.packbits(2 * ones > n).view(np.uint64))))
         rest = np.arange(n)
         while len(rest):
             queue, rest = [int(rest[0])], rest[1:]
