@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 #: So many words of one side may read as one of the other.
 JOINED = 8
+WORD = ("pos", "letters", "start", "stop")
 
 
 def _by(keys: list[str], *order: str) -> W.WindowSpec:
@@ -27,46 +27,63 @@ def aligned(expected: DataFrame, heard: DataFrame, keys: list[str], tolerance: i
     Words have pos, letters, start and stop, in order of pos and time. One word matches one, or up to JOINED words of the
     other side whose letters together are the same, if the middles of both are at most tolerance apart. Each expected word
     in turn takes the first heard word behind the last match that fits, one to one first. Words without letters match none.
-    What matched decides what may match, so a key is folded in order; each word is looked up by its letters."""
-    shape = ["pos", "letters", "start", "stop"]
+    What matched decides what may match, so a key is folded in order; a word is held against those within tolerance alone."""
     out = f"{_types(expected, keys)}expected long, n_expected long, heard long, n_heard long"
 
-    def fold(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or other.empty:
-            return pd.DataFrame(columns=[*keys, "expected", "n_expected", "heard", "n_heard"])
-        want, got = (list(d.sort_values("pos")[shape].itertuples(index=False)) for d in (own, other))
-        places: dict[tuple[str, bool], list[tuple[int, int]]] = {}
-        for k in range(len(got)):
-            text = ""
-            for n in range(1, min(JOINED, len(got) - k) + 1):
-                text += got[k + n - 1].letters
-                places.setdefault((text, n == 1), []).append((k, n))
-        middle = lambda words, i, n: words[i].start + words[i + n - 1].stop  # noqa: E731  (twice the middle)
-        rows, i, behind = [], 0, 0
-        while i < len(want):
-            best, text = None, ""
-            for n in range(1, min(JOINED, len(want) - i) + 1):
-                text += want[i + n - 1].letters
-                at = middle(want, i, n)
-                for single in (True, False) if n == 1 else (True,):
-                    found = places.get((text, single), []) if text else []
-                    for k, m in found[bisect_left(found, (behind, 0)) :]:
-                        if middle(got, k, 1) > at + 2 * tolerance or (best and k > best[0][0]):
-                            break
-                        rank = (k, n > 1, max(n, m))
-                        if abs(middle(got, k, m) - at) <= 2 * tolerance and (best is None or rank < best[0]):
-                            best = rank, n, k, m
-            if best is None:
-                i += 1
-                continue
-            _, n, k, m = best
-            rows.append((want[i].pos, n, got[k].pos, m))
-            i, behind = i + n, k + m
-        found = pd.DataFrame(rows, columns=["expected", "n_expected", "heard", "n_heard"])
-        return found.assign(**{k: own[k].iloc[0] for k in keys})[[*keys, *found.columns]]
+    def fold(own: pa.Table, other: pa.Table) -> pa.Table:
+        rows = []
+        if own.num_rows and other.num_rows:  # a side that a key lacks has no columns either
+            rows = _matched(*([d[c].to_numpy().tolist() for c in WORD] for d in (own.sort_by("pos"), other.sort_by("pos"))), 2 * tolerance)
+        found = (own if own.num_rows else other).select(keys).take(pa.array([0] * len(rows), pa.int64()))
+        for i, name in enumerate(("expected", "n_expected", "heard", "n_heard")):
+            found = found.append_column(name, pa.array([r[i] for r in rows], pa.int64()))
+        return found
 
     a, b = (d.select(*keys, F.col("pos").cast("long").alias("pos"), "letters", "start", "stop") for d in (expected, heard))
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fold, out)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(fold, out)
+
+
+def _matched(want: list[list], got: list[list], room: int) -> list[tuple[int, int, int, int]]:
+    """Matches of two lists of words, each as lists of WORD; twice their middles are at most room apart."""
+    (pos, said, begin, end), (pos_, heard, begin_, end_) = want, got
+    rows, i, low, behind, n_want, n_got = [], 0, 0, 0, len(pos), len(pos_)
+    while i < n_want:
+        text, at = said[i], begin[i] + end[i]
+        latest = begin[i] + end[min(i + JOINED, n_want) - 1] + room
+        while low < n_got and begin_[low] + end_[min(low + JOINED, n_got) - 1] < at - room:
+            low += 1
+        best = None
+        for k in range(max(low, behind), n_got):
+            word, middle = heard[k], begin_[k] + end_[k]
+            if middle > latest:
+                break
+            if text:
+                joined = ""
+                for m in range(k, min(k + JOINED, n_got)):
+                    joined += heard[m]
+                    if not text.startswith(joined):
+                        break
+                    if joined == text and abs(begin_[k] + end_[m] - at) <= room:
+                        best = 1, k, m + 1 - k
+                        break
+            if word and not best:
+                joined = text
+                for n in range(i + 1, min(i + JOINED, n_want)):
+                    if not word.startswith(joined):
+                        break
+                    joined += said[n]
+                    if joined == word and abs(middle - begin[i] - end[n]) <= room:
+                        best = n + 1 - i, k, 1
+                        break
+            if best:
+                break
+        if best:
+            n, k, m = best
+            rows.append((pos[i], n, pos_[k], m))
+            i, behind = i + n, k + m
+        else:
+            i += 1
+    return rows
 
 
 def differences(expected: DataFrame, heard: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
