@@ -5,7 +5,7 @@ Words have columns pos, word, start and stop beside their keys; within a key the
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -108,24 +108,27 @@ def cues(words: DataFrame, keys: list[str], pause: int, longest: int, line_chars
     shape = words.select(*keys, "pos", "word", "start", "stop")
     out = f"{', '.join(f'{k} {shape.schema[k].dataType.simpleString()}' for k in keys)}, cue long, first long, last long, start long, stop long, text string"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(said: pa.Table) -> pa.Table:
         made, row, width = [], 0, 0
-        for w in pdf.sort_values("pos").itertuples():
-            n = len(w.word)
+        for pos, word, start, stop in zip(*(said.sort_by("pos")[c].to_numpy().tolist() for c in ("pos", "word", "start", "stop")), strict=True):
+            n = len(word)
             fits = width + 1 + n <= line_chars
             if made:
                 c = made[-1]
-                open_ = w.start - c["stop"] < pause and c["text"][-1].rstrip().rstrip("\"'”’)]»")[-1:] not in (".", "!", "?", "…")
-                if open_ and w.stop - c["start"] <= longest and (fits or row < lines):
+                open_ = start - c["stop"] < pause and c["text"][-1].rstrip().rstrip("\"'”’)]»")[-1:] not in (".", "!", "?", "…")
+                if open_ and stop - c["start"] <= longest and (fits or row < lines):
                     row, width = (row, width + 1 + n) if fits else (row + 1, n)
-                    c["text"].append(w.word)
-                    c["last"], c["stop"] = w.pos, w.stop
+                    c["text"].append(word)
+                    c["last"], c["stop"] = pos, stop
                     continue
             row, width = 1, n
-            made.append({"cue": len(made), "first": w.pos, "last": w.pos, "start": w.start, "stop": w.stop, "text": [w.word]})
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **c, "text": " ".join(c["text"])} for c in made])
+            made.append({"cue": len(made), "first": pos, "last": pos, "start": start, "stop": stop, "text": [word]})
+        found = said.select(keys).take(pa.array([0] * len(made), pa.int64()))
+        for name in ("cue", "first", "last", "start", "stop"):
+            found = found.append_column(name, pa.array([c[name] for c in made], pa.int64()))
+        return found.append_column("text", pa.array([" ".join(c["text"]) for c in made], pa.string()))
 
-    return shape.groupBy(*keys).applyInPandas(fold, out)
+    return shape.groupBy(*keys).applyInArrow(fold, out)
 
 
 def stitched(windows: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,23 +139,30 @@ def stitched(windows: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame
     the seam or behind it: that middle, or the end of the last word kept, whichever is later. A window's words are thinned by
     its earlier neighbour first, so a key is folded in order."""
     out = f"{', '.join(f'{k} {words.schema[k].dataType.simpleString()}' for k in keys)}, window long, pos long"
-    shape = ["window", "start", "stop"]
-
-    def fold(spans: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        if spans.empty or said.empty:
-            return pd.DataFrame(columns=[*keys, "window", "pos"])
-        parts, left, left_stop = [], None, None
-        for w in spans.sort_values("start")[shape].itertuples(index=False):
-            own = said[said["window"] == w.window].sort_values("pos")
-            if left is not None:
-                if w.start < left_stop:
-                    middle = (w.start + left_stop) // 2
-                    left = left[left["start"] + left["stop"] < 2 * middle]
-                    own = own[own["start"] >= max(middle, left["stop"].iloc[-1] if len(left) else middle)]
-                parts.append(left)
-            left, left_stop = own, w.stop
-        return pd.concat([*parts, left])[[*keys, "window", "pos"]]
+
+    def fold(spans: pa.Table, said: pa.Table) -> pa.Table:
+        rows = _stitched(spans, said) if spans.num_rows and said.num_rows else []  # a side that a key lacks has no columns either
+        found = (spans if spans.num_rows else said).select(keys).take(pa.array([0] * len(rows), pa.int64()))
+        return found.append_column("window", pa.array([r[0] for r in rows], pa.int64())).append_column("pos", pa.array([r[1] for r in rows], pa.int64()))
 
     a = windows.select(*keys, F.col("window").cast("long").alias("window"), "start", "stop")
     b = words.select(*keys, F.col("window").cast("long").alias("window"), F.col("pos").cast("long").alias("pos"), "start", "stop")
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fold, out)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(fold, out)
+
+
+def _stitched(spans: pa.Table, said: pa.Table) -> list[tuple[int, int]]:
+    """window and pos of the words of one key that stay."""
+    own: dict[int, list[tuple[int, int, int]]] = {}
+    for window, *word in zip(*(said.sort_by("pos")[c].to_numpy().tolist() for c in ("window", "pos", "start", "stop")), strict=True):
+        own.setdefault(window, []).append(tuple(word))
+    kept, left, left_stop = [], None, None
+    for window, start, stop in zip(*(spans.sort_by("start")[c].to_numpy().tolist() for c in ("window", "start", "stop")), strict=True):
+        right = own.get(window, [])
+        if left is not None and start < left_stop:
+            middle = (start + left_stop) // 2
+            kept[-1][1] = left = [w for w in left if w[1] + w[2] < 2 * middle]
+            seam = max(middle, left[-1][2]) if left else middle
+            right = [w for w in right if w[1] >= seam]
+        kept.append([window, right])
+        left, left_stop = right, stop
+    return [(window, w[0]) for window, part in kept for w in part]
