@@ -31,10 +31,10 @@ def regions(stream: DataFrame, key: str, ts: str, length_ms: str, bridge_ms: int
     """Regions of a key's intervals [ts, ts + length_ms) that lie less than bridge_ms apart, from the end of one to the start of the next.
 
     Spark's sessions join at equality, where two regions stay apart here; so each row's gap is its length and the bridge,
-    less a millisecond. stop is the last end."""
+    less a millisecond, and times are taken to the millisecond, as whole ones alone can be told apart so. stop is the last end."""
     gap = F.concat((F.col(length_ms) + (bridge_ms - 1)).cast("string"), F.lit(" milliseconds"))
     stop = F.timestamp_millis(F.unix_millis(ts) + F.col(length_ms))
-    own = stream.withWatermark(ts, late).groupBy(F.col(key), F.session_window(ts, gap).alias("w"))
+    own = stream.withColumn(ts, F.timestamp_millis(F.unix_millis(ts))).withWatermark(ts, late).groupBy(F.col(key), F.session_window(ts, gap).alias("w"))
     return own.agg(F.max(stop).alias("stop"), F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "stop", "n")
 
 

@@ -211,3 +211,15 @@ def test_nearest_scaling_and_frame_index(spark):
     assert rows(grading.scaled_nearest(p, ["k"], (4, 2), (2, 1)), "x", "y", "r") == [(0, 0, 11), (1, 0, 31)]
     packets = spark.createDataFrame([(1, 1, 0, False, 5), (1, 2, 40, True, 6), (1, 3, 40, False, 7), (1, 4, 90, False, 8)], "k long, id long, pts long, key_frame boolean, samples long")
     assert rows(picks.frame_index(packets, ["k"]), "frame", "length", "anchor", "samples_before") == [(0, 40, None, 0), (1, 0, 1, 5), (2, 50, 1, 11), (3, None, 1, 18)]
+
+
+def test_regions_count_whole_milliseconds(spark, tmp_path):
+    """The first track's neighbours are 9,999.7 ms apart, but 9,999 in whole milliseconds: within length and bridge."""
+    first = [(1, 200), (1, 40_000_000), (2, 900), (2, 40_000_000)]
+    own = spark.createDataFrame(first + [(1, 9_999_900), (2, 10_000_100)], "track long, us long").select("track", F.timestamp_micros("us").alias("ts"), F.lit(5_000).cast("long").alias("length"))
+    own.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("track long, ts timestamp, length long").parquet(str(tmp_path / "in"))
+    w = power.regions(stream, "track", "ts", "length", 5_000, "1 seconds").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+    w.trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("track", F.unix_millis("start").alias("a"), F.unix_millis("stop").alias("z"), "n")
+    assert rows(got) == [(1, 0, 14_999, 2), (2, 0, 5_000, 1), (2, 10_000, 15_000, 1)]  # the last of each is still open
