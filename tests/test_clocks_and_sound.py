@@ -57,6 +57,12 @@ def test_windows_hold_as_many_clips_as_fit(spark):
         assert all(held(a, z) == n <= 9 and (z == end or ((z - a) % 2 == 0 and held(a, z + 2) > 9)) for a, z, n in mine)
 
 
+def test_a_step_with_more_clips_is_a_stretch_of_its_own(spark):
+    rows = [("a", 0, 1)] + [("a", 10 + k % 2, 30) for k in range(4)] + [("b", 5, 9)]
+    got = clocks.windows_of(spark.createDataFrame(rows, "track string, start long, stop long"), ["track"], 6, 2)
+    assert found(got, "track", "start", "stop", "clips") == [("a", 0, 6, 1), ("a", 6, 12, 4), ("a", 12, 18, 4), ("a", 18, 24, 4), ("a", 24, 30, 4), ("b", 5, 9, 1)]
+
+
 def test_undo_is_a_stack(spark):
     rng, rows, want = random.Random(3), [], []
     for p in range(5):
