@@ -39,7 +39,8 @@ def aligned(expected: DataFrame, heard: DataFrame, keys: list[str], tolerance: i
             found = found.append_column(name, pa.array([r[i] for r in rows], pa.int64()))
         return found
 
-    a, b = (d.select(*keys, F.col("pos").cast("long").alias("pos"), "letters", "start", "stop") for d in (expected, heard))
+    # every column anew: where both sides share some, Spark loses them as it prunes
+    a, b = (d.select(*(F.col(c).alias(c) for c in keys), F.col("pos").cast("long").alias("pos"), *(F.col(c).alias(c) for c in WORD[1:])) for d in (expected, heard))
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(fold, out)
 
 

@@ -146,7 +146,7 @@ def stitched(windows: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame
         return found.append_column("window", pa.array([r[0] for r in rows], pa.int64())).append_column("pos", pa.array([r[1] for r in rows], pa.int64()))
 
     a = windows.select(*keys, F.col("window").cast("long").alias("window"), "start", "stop")
-    b = words.select(*keys, F.col("window").cast("long").alias("window"), F.col("pos").cast("long").alias("pos"), "start", "stop")
+    b = words.select(*(F.col(c).alias(c) for c in keys), F.col("window").cast("long").alias("window"), F.col("pos").cast("long").alias("pos"), *(F.col(c).alias(c) for c in ("start", "stop")))
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(fold, out)
 
 
