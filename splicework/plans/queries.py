@@ -41,7 +41,7 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 def jn2_timeline_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a timeline says: words of each clip's source range, shifted to the timeline; words across an edge are cut."""
     c = clips(spark, sf_dir).select("track", F.col("id").alias("clip"), "asset", F.col("start").alias("place"), F.col("source_in").alias("start"), (F.col("source_in") + F.col("stop") - F.col("start")).alias("stop"))
-    hit = iv.overlap_join(c, words(spark, sf_dir), ["asset"], WIDTH)
+    hit = iv.overlap_join(c, words(spark, sf_dir, c), ["asset"], WIDTH)
     kind = F.when(F.col("other_start") < F.col("start"), "start_cut").when(F.col("other_stop") > F.col("stop"), "end_cut").otherwise("said")
     return hit.select("track", "clip", "asset", F.col("pos").cast("long").alias("pos"), "word", (F.col("place") + F.col("other_start") - F.col("start")).alias("at"), kind.alias("kind"))
 

@@ -176,3 +176,9 @@ def test_keys_without_words_or_windows_are_stitched_to_nothing(spark):
     windows = spark.createDataFrame([("a", 1, 0, 9), ("b", 1, 0, 9)], "k string, window long, start long, stop long")
     words = spark.createDataFrame([("b", 1, 0, 1, 2), ("c", 1, 0, 1, 2)], "k string, window long, pos long, start long, stop long")
     assert found(transcripts.stitched(windows, words, ["k"]), "k", "window", "pos") == [("b", 1, 0)]
+
+
+def test_words_of_used_documents_alone(spark, tmp_path):
+    spark.createDataFrame([(i, f"a b{i}") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    used = spark.createDataFrame([(1,), (1,), (3,), (9,)], "asset long")
+    assert found(adapters.words(spark, str(tmp_path), used), "asset", "pos", "word") == [(1, 0, "a"), (1, 1, "b1"), (3, 0, "a"), (3, 1, "b3")]
