@@ -168,6 +168,23 @@ def test_filters_judge_rows_and_not_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted((i or 0, t) for i, t in rows if item not in t) and left.columns == docs.columns
 
 
+def test_candidates_skip_what_is_connected():
+    """No pair within a root; a run of two roots that are near has one pair, one of far roots none; without roots a forest spans the run."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 2, dtype=np.uint64)
+    fp = np.array([base ^ (np.uint64(1) << rng.integers(0, 64, 2, dtype=np.uint64)) for _ in range(60)])
+    far = fp.copy()
+    far[30:] = ~far[30:]
+    key, halves = np.zeros(60, np.int64), np.repeat([5, 9], 30)
+    pairs = lambda *args: list(zip(*(side.tolist() for side in near_copies.candidates(*args)), strict=True))
+    assert len(pairs(key, fp)) == 59 and len(pairs(key, far)) == 58
+    assert pairs(key, fp, np.full(60, 7)) == [] and pairs(key, far, halves) == []
+    [(a, b)] = pairs(key, fp, halves)
+    assert (a < 30) != (b < 30)
+    small = np.repeat(np.arange(6), 10)  # runs of ten: all pairs between roots
+    assert len(pairs(small, fp, np.tile([5, 9], 30))) == 6 * 25
+
+
 def test_contracted_edges(spark):
     rng = random.Random(41)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(1000, 1000 + i) for i in range(50)]
@@ -338,6 +355,30 @@ def test_quality_fit_against_brute_force():
     assert len(set(tied.score(np.repeat(x[:1], 5, axis=0)).tolist())) == 1
 
 
+def test_quality_fit_uses_all_labelled_rows(spark):
+    """The weights are where the loss over all pairs is least, by plain gradient descent; a small bound of rows on the driver changes nothing."""
+    rng = np.random.default_rng(12)
+    y = (rng.random(600) < 0.6).astype(int)
+    x = rng.standard_normal((600, quality.N_FEATURES)) + 0.5 * y[:, None] * rng.random(quality.N_FEATURES)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y, strict=True)], "label int, x array<double>").repartition(5)
+    model = quality.fitted(rows, most=20)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    w = np.zeros(x.shape[1])
+    for _ in range(300):
+        p = 1 / (1 + np.exp((good @ w)[:, None] - bad @ w)) / (len(good) * len(bad))
+        w -= quality.RIDGE * w - (p.sum(1) @ good - p.sum(0) @ bad)
+    assert np.abs(w - model.weights).max() < 1e-3
+    s = np.sort(z @ model.weights)
+    assert abs(model.threshold - (s[len(bad) - 1] + s[len(bad)]) / 2) < 1e-9
+    assert (model.score(x) >= quality.CUT).sum() == len(good)
+    assert np.abs(quality.bradley_terry(x, y).weights - model.weights).max() < 0.05
+    docs = spark.createDataFrame([(i, "word " * (i % 7 + 3 * (i % 2)) + "#" * (i % 5)) for i in range(600)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    few, many = quality.fit(docs, labels, most=50), quality.fit(docs, labels)
+    assert np.abs(few.weights - many.weights).max() < 1e-6 and abs(few.threshold - many.threshold) < 1e-6
+
+
 def test_quality_reads_a_bounded_number_of_rows(spark):
     docs = spark.createDataFrame([(1 + i % 2, f"text {i}") for i in range(500)], "doc_id long, text string").withColumns({n: F.lit(1) for n in ("label", "h", "t", "x")})
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
