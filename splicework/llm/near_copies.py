@@ -13,7 +13,8 @@ segments, texts that agree in two segments or more share one of the 160 keys (tw
 0.998 at 0.8 and 0.9998 at 0.85. That, and the limits below (1e-5), is all that can be missed.
 
 Candidates are pairs that share a key, differ in FIRST (40) or fewer of the first 128 bits, and in FAR (66) or fewer of all;
-unrelated texts that share a key differ in about 117. Clusters are the components of the candidates. Within a cluster all
+unrelated texts that share a key differ in about 117. Clusters are the components of the candidates; keys of the first choice are
+looked up first, and those of all others only between texts that these left apart. Within a cluster all
 links are found on exact shingle sets, so no pair below SHARED links, and no link is lost to a cap.
 
 Scale. Keys have 24 bits and a choice of 10, so unrelated texts share one at 1.5e-4 of all pairs, a comparison of two
@@ -31,8 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splicework.llm.common import ROW, numbered, written
@@ -99,17 +101,20 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def candidates(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates(key: np.ndarray, fp: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of FIRST bits or fewer within each run of equal keys: all of small runs, a spanning forest of each larger one.
 
+    Those of one root are connected already: no pair has one root, and a forest reaches all of a root's members by the nearest of them.
+
     A forest grows from the fingerprint nearest to the run's majority bits on, always at the nearest that is reached: most of
     a large group hangs on few fingerprints in its middle, the same in all its keys, so that it has few pairs a member."""
     start = np.flatnonzero(np.diff(key, prepend=-1))
     size = np.diff(start, append=len(key))
     group, small = np.repeat(np.arange(len(start)), size), np.repeat(size <= SMALL, size)
+    root = np.arange(len(key)) if root is None else root
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for d in range(1, min(SMALL, int(size.max(initial=0)))):
-        i = np.flatnonzero((group[:-d] == group[d:]) & small[:-d])
+        i = np.flatnonzero((group[:-d] == group[d:]) & small[:-d] & (root[:-d] != root[d:]))
         i = i[_distance(fp[i], fp[i + d]) <= FIRST]
         left.append(i)
         right.append(i + d)
@@ -117,18 +122,23 @@ def candidates(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         own = fp[s : s + n]
         ones = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
         run = s + np.lexsort((print_id(own), _distance(own, np.packbits(2 * ones > n).view(np.uint64))))
+        _, own_root = np.unique(root[run], return_inverse=True)
         rest = np.arange(n)
         while len(rest):
-            queue, rest = [int(rest[0])], rest[1:]
+            first = own_root[rest] == own_root[rest[0]]
+            queue, rest = rest[first].tolist(), rest[~first]
             while queue and len(rest):
                 x = heapq.heappop(queue)
-                near = _distance(fp[run[rest]], fp[run[x]]) <= FIRST
-                if near.any():
-                    found, rest = rest[near], rest[~near]
-                    left.append(np.full(len(found), run[x]))
-                    right.append(run[found])
-                    for i in found.tolist():
+                apart = _distance(fp[run[rest]], fp[run[x]])
+                near = rest[np.argsort(apart, kind="stable")[: (apart <= FIRST).sum()]]
+                if len(near):
+                    roots, one = np.unique(own_root[near], return_index=True)  # the nearest of each
+                    left.append(np.full(len(one), run[x]))
+                    right.append(run[near[one]])
+                    found = np.isin(own_root[rest], roots)
+                    for i in rest[found].tolist():
                         heapq.heappush(queue, i)
+                    rest = rest[~found]
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -185,18 +195,18 @@ def print_id(fp: np.ndarray) -> np.ndarray:
 
 
 def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows key, f0, f1 in order of their keys, candidates a, b; the last key's rows of a batch wait for the next."""
-    held = np.empty((0, 3), np.int64)
+    """Of rows key, f0, f1, root (null: none) in order of their keys, candidates a, b; the last key's rows of a batch wait for the next."""
+    held = np.empty((0, 4), np.int64)
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
-        fp = rows[:, 1:].view(np.uint64)
-        i, j = candidates(rows[:, 0], fp)
+        fp = np.ascontiguousarray(rows[:, 1:3]).view(np.uint64)
+        i, j = candidates(rows[:, 0], fp, np.where(rows[:, 3] == 0, print_id(fp), rows[:, 3]))
         a, b = print_id(fp[i]), print_id(fp[j])
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     for batch in batches:
-        held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)])
+        held = np.concatenate([held, np.stack([pc.fill_null(c, 0).to_numpy().astype(np.int64) for c in batch.columns], axis=1)])
         if len(held) and held[0, 0] != held[-1, 0]:
             cut = np.searchsorted(held[:, 0], held[-1, 0])
             yield out(np.ascontiguousarray(held[:cut]))
@@ -262,14 +272,21 @@ def grouped(rows: DataFrame, text_col: str = "text") -> DataFrame:
     own = rows.select("_row", F.col(text_col).cast("binary").alias("text"))
     columns = "_row long, node long, fp long, f0 long, f1 long, f2 long, f3 long, keys array<int>"
     prints = written(own.mapInArrow(_print_rows, columns), "near-prints")
-    each = prints.groupBy("fp").agg(F.min_by(F.struct("f0", "f1", "f2", "f3", "keys"), "_row").alias("p"))
-    keyed = each.select(F.explode("p.keys").alias("key"), "p.f0", "p.f1")
-    first = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidate_rows, "a long, b long").distinct()
     bits = prints.groupBy("fp").agg(*(F.min_by(c, "_row").alias(c) for c in ("f0", "f1", "f2", "f3")))
     sides = [bits.select(F.col("fp").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("f0", "f1", "f2", "f3"))) for s in "ab"]
     far = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in ("f0", "f1", "f2", "f3"))
-    near = first.join(sides[0], "a").join(sides[1], "b").where(far <= FAR).select("a", "b")
-    clusters = contracted(near)
+
+    def near(some: Column, roots: DataFrame | None = None) -> DataFrame:
+        """Candidates by some of the keys, but not between fingerprints of one root."""
+        each = prints.groupBy("fp").agg(F.min_by(F.struct("f0", "f1", some.alias("keys")), "_row").alias("p"))
+        known = each.withColumn("root", F.lit(None).cast("long")) if roots is None else each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+        keyed = known.select(F.explode("p.keys").alias("key"), "p.f0", "p.f1", "root")
+        pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidate_rows, "a long, b long").distinct()
+        return pairs.join(sides[0], "a").join(sides[1], "b").where(far <= FAR).select("a", "b")
+
+    # most of a large group hangs together by the keys of one choice; all others then have few pairs to give
+    clusters = contracted(near(F.slice("keys", 1, NEAR * NEAR)))
+    clusters = extended(clusters, near(F.slice("keys", NEAR * NEAR + 1, KEYS), clusters))
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
     # nodes of a cluster, or of one fingerprint; their texts, and the number of blocks of their cluster
     nodes = prints.groupBy("node").agg(F.min("_row").alias("_row"), F.min("fp").alias("fp")).join(clusters, "fp", "left")
