@@ -79,7 +79,7 @@ def _wide(c: Column) -> Column:
 
 def _made(num: Column, den: Column) -> Column:
     """In lowest terms; null where it does not fit."""
-    pair = F.struct(num.cast("decimal(38,0)").alias("n"), den.cast("decimal(38,0)").alias("d"), gcd(F.abs(num), den, 120).alias("g"))
+    pair = F.struct(num.cast("decimal(38,0)").alias("n"), den.cast("decimal(38,0)").alias("d"), gcd(F.abs(num), den).alias("g"))
     low = lambda p, c: F.try_divide(p[c], p["g"]).cast("decimal(32,0)")
     whole = F.transform(F.array(pair), lambda p: F.struct(low(p, "n").alias("num"), low(p, "d").alias("den")))
     small = F.filter(whole, lambda p: F.coalesce((F.abs(p["num"]) <= BOUND) & (p["den"] <= MOST_DEN), F.lit(False)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from splicework.functions.rational import gcd
+
 #: The largest numerator or denominator of a time.
 MOST = 2**53 - 1
 BIG = "decimal(38,0)"
@@ -15,12 +17,12 @@ HLG = (0.17883277, 0.28466892, 0.55991073)
 
 def reduced(num: Column, den: Column) -> Column:
     """struct(num, den) as longs without a common factor; null if den is 0 or one of them is above MOST then."""
-    start = F.struct(F.abs(num).cast(BIG).alias("a"), den.cast(BIG).alias("b"))
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).cast(BIG).alias("b")))
-    common = F.aggregate(F.sequence(F.lit(1), F.lit(185)), start, step, lambda s: s["a"])
-    pair = F.struct((num.cast(BIG) / common).cast(BIG).alias("num"), (den.cast(BIG) / common).cast(BIG).alias("den"))
-    fits = (den > 0) & (F.abs(pair["num"]) <= MOST) & (pair["den"] <= MOST)
-    return F.when(fits, F.struct(pair["num"].cast("long").alias("num"), pair["den"].cast("long").alias("den")))
+    # each step of the array is computed once a row
+    pair = F.filter(F.array(F.struct(num.cast(BIG).alias("n"), den.cast(BIG).alias("d"))), lambda p: p["d"] > 0)
+    pair = F.transform(pair, lambda p: F.struct(p["n"].alias("n"), p["d"].alias("d"), gcd(F.abs(p["n"]), p["d"]).alias("g")))
+    low = F.transform(pair, lambda p: F.struct((p["n"] / p["g"]).cast(BIG).alias("num"), (p["d"] / p["g"]).cast(BIG).alias("den")))
+    fits = F.filter(low, lambda p: (F.abs(p["num"]) <= MOST) & (p["den"] <= MOST))
+    return F.get(F.transform(fits, lambda p: F.struct(p["num"].cast("long").alias("num"), p["den"].cast("long").alias("den"))), 0)
 
 
 def literal(text: Column) -> Column:
