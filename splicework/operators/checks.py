@@ -5,7 +5,9 @@ Null counts as absent; a rule about an absent value does not fire unless it says
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -26,19 +28,28 @@ def undo_pointers(actions: DataFrame, project: str) -> DataFrame:
 
     create has neither; apply and restore can be undone to the revision before; undo restores what the revision before it
     can be undone to, and can then be undone to what that one could. Where there is nothing to undo, it points nowhere.
-    restore keeps its own restored_from. What undo meets depends on all before, so a project is folded in order."""
+    restore keeps its own restored_from. What undo meets depends on all before, so a project is folded in order,
+    many projects in one pass of a task."""
     shape = actions.select(project, F.col("revision").cast("long").alias("revision"), "action", F.col("restored_from").cast("long").alias("restored_from"), F.lit(None).cast("long").alias("undo_target"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("revision")
-        back, restored = [], []
-        for i, (action, own) in enumerate(zip(pdf["action"], pdf["restored_from"].astype("Int64"), strict=True)):
+    ordered = shape.repartition(project).sortWithinPartitions(project, F.col("revision").asc_nulls_last())
+    return ordered.mapInArrow(_undo_rows, shape.schema)
+
+
+def _undo_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of project, revision, action, restored_from, undo_target, a project's behind one another, the last two filled in."""
+    now, back = None, None
+    for batch in batches:
+        restored, undo = [], []
+        for project, action, own in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            if back is None or project != now:
+                now, back = project, []
+            i = len(back)
             to = back[i - 1] if action == "undo" and i else None
-            restored.append(to if action == "undo" else None if pd.isna(own) else own)
+            restored.append(to if action == "undo" else own)
             back.append((None if to is None else back[to]) if action == "undo" else i - 1 if i else None)
-        return pdf.assign(restored_from=pd.array(restored, "Int64"), undo_target=pd.array(back, "Int64"))
-
-    return shape.groupBy(project).applyInPandas(fold, shape.schema)
+            undo.append(back[i])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(restored, pa.int64()), pa.array(undo, pa.int64())], names=batch.schema.names)
 
 
 def history(revisions: DataFrame, project: str) -> DataFrame:

@@ -33,3 +33,25 @@ def test_lowest_terms_take_few_steps(spark):
     graph = expressions.evaluated(spark.range(20).select(t.alias("t")), {"t": ("column", "t"), "twice": ("add", "t", "t")}, ["twice"])
     assert "sequence(1, 120" not in plan(graph)
     assert [r["twice"] for r in graph.collect()] == [(i // math.gcd(i, 6), 6 // math.gcd(i, 6)) for i in range(20)]
+
+
+def test_undo_pointers_fold_many_projects_in_one_pass(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for project in range(40):
+        back: list = []
+        for i in range(rng.randrange(1, 12)):
+            action = "create" if i == 0 else rng.choice(["apply", "undo", "restore"])
+            own = rng.randrange(i) if action == "restore" else None
+            rows.append((project, i, action, own))
+            to = back[i - 1] if action == "undo" else None
+            back.append((None if to is None else back[to]) if action == "undo" else i - 1 if i else None)
+            want[project, i] = to if action == "undo" else own, back[i]
+    rng.shuffle(rows)
+    own = checks.undo_pointers(spark.createDataFrame(rows, "project long, revision long, action string, restored_from long"), "project")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert {(r["project"], r["revision"]): (r["restored_from"], r["undo_target"]) for r in own.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "InPandas" not in plan(own)
