@@ -94,10 +94,11 @@ def snapshot(clips: DataFrame, assets: DataFrame, keys: list[str], source: str)
     })
 
 
-def transcript(words: DataFrame, keys: list[str]) -> DataFrame:
-    """What is wrong with words: keys, pos, issue. Issues: token (not one word), length (none), overlap (with the word before)."""
-    before = F.lag("stop").over(_by(keys, "pos"))
-    own = words.withColumn("_before", before)
+def transcript(words: DataFrame, keys: list[str], before: str | None = None) -> DataFrame:
+    """What is wrong with words: keys, pos, issue. Issues: token (not one word), length (none), overlap (with the word before).
+
+    before: the column with the stop of the word before, where rows have it; then no word is dealt out."""
+    own = words.withColumn("_before", F.col(before) if before else F.lag("stop").over(_by(keys, "pos")))
     token = F.coalesce(F.col("word").rlike(r"^\S+\z"), F.lit(False))
     return _fired(own, [*keys, "pos"], {"token": ~token, "length": F.col("stop") <= F.col("start"), "overlap": F.col("_before") > F.col("start")})
 

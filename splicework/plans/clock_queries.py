@@ -157,8 +157,8 @@ def flt8_snapshot(spark, sf_dir):
   SELECT asset, pos::BIGINT AS pos, 'token' AS issue FROM x WHERE NOT regexp_full_match(word, '[^ \\t\\n\\x0B\\f\\r]+') UNION ALL SELECT asset, pos, 'length' FROM x WHERE stop <= start UNION ALL SELECT asset, pos, 'overlap' FROM x WHERE before > start""")
 def flt9_transcript(spark, sf_dir):
     """Words that break a transcript's rules."""
-    w = words(spark, sf_dir).withColumns({"pos": F.col("pos").cast("long"), "start": F.col("start") - F.when(F.col("pos") % 50 == 9, 15).otherwise(0)})
-    return checks.transcript(w, ["asset"])
+    w = words(spark, sf_dir, beside=True).withColumns({"pos": F.col("pos").cast("long"), "start": F.col("start") - F.when(F.col("pos") % 50 == 9, 15).otherwise(0)})
+    return checks.transcript(w, ["asset"], "before")
 
 
 @query("""SELECT page_id AS id, CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 7 = 0 THEN 'unbound' WHEN page_id % 11 = 0 THEN 'changed' ELSE 'online' END AS state FROM pages""")

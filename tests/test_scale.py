@@ -55,3 +55,11 @@ def test_undo_pointers_fold_many_projects_in_one_pass(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "InPandas" not in plan(own)
+
+
+def test_transcript_deals_out_no_words_that_have_the_stop_before(spark):
+    own = __spark_entry__.queries()["flt9_transcript"](spark, SF)
+    assert "Window" not in plan(own)
+    words = spark.createDataFrame([(1, 0, "a", 0, 10, None), (1, 1, "b", 5, 20, 10), (1, 2, "c d", 20, 20, 20)], "asset long, pos long, word string, start long, stop long, before long")
+    found = [sorted(map(tuple, checks.transcript(words, ["asset"], *b).collect())) for b in ([], ["before"])]
+    assert found[0] == found[1] == [(1, 1, "overlap"), (1, 2, "length"), (1, 2, "token")]
