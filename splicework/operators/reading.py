@@ -125,6 +125,11 @@ def balanced(words: list[str], width: int) -> str:
     for j in range(1, n + 1):
         if not fits(start, j):
             lines, start = lines + 1, j - 1
+    if lines == 1:
+        return " ".join(words)
+    if lines == 2:  # what cues mostly have
+        _, j = min((max(length(0, j), length(j, n)), j) for j in range(1, n) if fits(0, j) and fits(j, n))
+        return " ".join(words[:j]) + "\n" + " ".join(words[j:])
     # least[k][i]: how short the longest of k lines can be that hold the words from i on
     least = [[0 if i == n else float("inf") for i in range(n + 1)]]
     for _ in range(lines):

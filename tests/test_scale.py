@@ -78,3 +78,20 @@ def test_removals_deal_out_chosen_words_alone(spark):
     words = spark.createDataFrame(beside, "asset long, pos long, start long, stop long, hit boolean, b long, a long")
     found = [sorted(map(tuple, language.removals(words, F.col("hit"), ["asset"], "pos", 6, x).collect())) for x in (None, ("b", "a"))]
     assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_two_lines_are_balanced_without_a_table():
+    rng = random.Random(4)
+    for _ in range(300):
+        words = ["x" * rng.choice([1, 2, 3, 5, 9, 14]) for _ in range(rng.randrange(1, 9))]
+        size = lambda part: len(" ".join(part))
+        fits = lambda part: len(part) == 1 or size(part) <= 12
+        if fits(words):
+            assert reading.balanced(words, 12) == " ".join(words)
+        elif halves := [(max(size(words[:j]), size(words[j:])), size(words[:j]), j) for j in range(1, len(words)) if fits(words[:j]) and fits(words[j:])]:
+            j = min(halves)[2]
+            assert reading.balanced(words, 12) == " ".join(words[:j]) + "\n" + " ".join(words[j:])
+    began = time.process_time()
+    for _ in range(1000):
+        reading.balanced(["word"] * 79, 200)
+    assert time.process_time() - began < 2
