@@ -102,13 +102,13 @@ def snk2_losses(spark, sf_dir):
   UNION ALL SELECT 'changed_media', doc_id, length(text), 'error' FROM documents WHERE doc_id % 31 = 0 UNION ALL SELECT 'unmatched_transcript', doc_id, 0, 'notice' FROM documents WHERE doc_id NOT IN (SELECT asset FROM clips)""")
 def int39_findings(spark, sf_dir):
     """More of what may be wrong with a timeline, with its severity."""
-    c, w, d = clips(spark, sf_dir), words(spark, sf_dir), read(spark, sf_dir, "documents")
+    c, d = clips(spark, sf_dir), read(spark, sf_dir, "documents")
     source = c.select("id", "asset", F.col("source_in").alias("start"), (F.col("source_in") + F.col("stop") - F.col("start")).alias("stop"))
-    hit = iv.overlap_join(source, w, ["asset"], WIDTH).where("other_start < start OR other_stop > stop").groupBy("id").agg(F.count("*").alias("n"))
+    hit = iv.overlap_join(source, words(spark, sf_dir, source), ["asset"], WIDTH).where("other_start < start OR other_stop > stop").groupBy("id").agg(F.count("*").alias("n"))
     side = lambda s: c.select(F.col("id").alias(f"{s}_id"), F.col("asset").alias(f"{s}_asset"), F.col("source_in").alias(f"{s}_in"), (F.col("stop") - F.col("start")).alias(f"{s}_n"))
     touch = picks.adjacent(c, TRACK).join(side("left"), "left_id").join(side("right"), "right_id").where("left_asset = right_asset")
     jump = touch.withColumn("jump", F.col("right_in") - F.col("left_in") - F.col("left_n")).where("jump <> 0 AND abs(jump) < 100")
-    alone = d.select("doc_id").join(c.select(F.col("asset").alias("doc_id")), "doc_id", "left_anti")
+    alone = d.select("doc_id").join(c.select(F.col("asset").alias("doc_id")).distinct(), "doc_id", "left_anti")
     parts = {
         "disabled_track": (c.where("track % 8 = 0").groupBy("track").agg(F.count("*").alias("n")), "track", F.col("n")), "cut_word": (hit, "id", F.col("n")), "jump_cut": (jump, "left_id", F.col("jump")),
         "changed_media": (d.where("doc_id % 31 = 0"), "doc_id", F.length("text")), "unmatched_transcript": (alone, "doc_id", F.lit(0)),

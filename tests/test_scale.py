@@ -95,3 +95,7 @@ def test_two_lines_are_balanced_without_a_table():
     for _ in range(1000):
         reading.balanced(["word"] * 79, 200)
     assert time.process_time() - began < 2
+
+
+def test_findings_split_only_documents_that_clips_use(spark):
+    assert "LeftSemi" in plan(__spark_entry__.queries()["int39_findings"](spark, SF))
