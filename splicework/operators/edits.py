@@ -64,8 +64,13 @@ def continuous(clips: DataFrame, keys: list[str], source: str) -> DataFrame:
     offset = F.col("source_in") - F.col("start")
     same = (F.lag("stop").over(w) == F.col("start")) & F.lag(source).over(w).eqNullSafe(F.col(source)) & (F.lag(offset).over(w) == offset)
     own = clips.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    own = own.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
-    return own.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("members")).drop("_run")
+    # a run's last row knows its first, so that no table of all runs is held
+    up_to = w.rowsBetween(W.Window.unboundedPreceding, 0)
+    own = own.withColumns({"_at": F.row_number().over(w), "_last": F.coalesce(F.lead("_new").over(w), F.lit(1)) == 1})
+    own = own.withColumn("_first", F.last(F.when(F.col("_new") == 1, F.struct("_at", "start")), ignorenulls=True).over(up_to)).where("_last")
+    members = (F.col("_at") - F.col("_first")["_at"] + 1).cast("long")
+    stop = F.when(members > 1, F.greatest("start", "stop")).otherwise(F.col("stop"))
+    return own.select(*keys, F.col("_first")["start"].alias("start"), stop.alias("stop"), members.alias("members"))
 
 
 def cut_list(clips: DataFrame, keys: list[str], source: str, width: int) -> DataFrame:

@@ -99,3 +99,24 @@ def test_two_lines_are_balanced_without_a_table():
 
 def test_findings_split_only_documents_that_clips_use(spark):
     assert "LeftSemi" in plan(__spark_entry__.queries()["int39_findings"](spark, SF))
+
+
+def test_continuous_runs_without_a_table_of_runs(spark):
+    rng, rows = random.Random(6), []
+    for track in range(6):
+        at, source_in, source = 0, 0, 0
+        for _ in range(40):
+            n = rng.randrange(0, 5)
+            rows.append((track, at, at + n, source, source_in))
+            at, source_in = at + n + rng.choice([0, 0, 0, 2]), source_in + n
+            source += rng.random() < 0.2
+    clips = spark.createDataFrame(rows, "track long, start long, stop long, id long, source_in long")
+    own, want, last = edits.continuous(clips, ["track"], "id"), [], None
+    for r in sorted(rows, key=lambda r: r[:3]):
+        if last and last[0] == r[0] and last[2] == r[1] and last[3] == r[3] and last[4] - last[1] == r[4] - r[1]:
+            want[-1] = (r[0], want[-1][1], r[2], want[-1][3] + 1)
+        else:
+            want.append(r[:3] + (1,))
+        last = r
+    assert sorted(map(tuple, own.collect())) == sorted(want)
+    assert "Aggregate" not in plan(own)
