@@ -59,14 +59,16 @@ def exported(clips: DataFrame, keys: list[str], track: str, rate: int) -> DataFr
     w = W.Window.partitionBy(*keys, track).orderBy("start", "stop")
     time = lambda v: F.struct(F.lit("RationalTime.1").alias("OTIO_SCHEMA"), v.cast("double").alias("value"), F.lit(float(rate)).alias("rate"))
     span = lambda a, n: F.struct(F.lit("TimeRange.1").alias("OTIO_SCHEMA"), time(a).alias("start_time"), time(n).alias("duration"))
-    media = F.struct(F.lit("ExternalReference.1").alias("OTIO_SCHEMA"), F.col("url").alias("target_url"))
+    media = lambda r: F.struct(F.lit("ExternalReference.1").alias("OTIO_SCHEMA"), r["url"].alias("target_url"))
     no_media = F.lit(None).cast(MEDIA)
-    clip = F.struct(F.lit("Clip.1").alias("OTIO_SCHEMA"), F.col("name"), span(F.col("source_in"), F.col("stop") - F.col("start")).alias("source_range"), media.alias("media_reference"))
+    clip = lambda r: F.struct(F.lit("Clip.1").alias("OTIO_SCHEMA"), r["name"].alias("name"), span(r["source_in"], r["stop"] - r["start"]).alias("source_range"), media(r).alias("media_reference"))
     gap_length = F.col("start") - F.coalesce(F.lag("stop").over(w), F.lit(0))
     own = clips.withColumn("_gap", gap_length)
-    gap = F.struct(F.lit("Gap.1").alias("OTIO_SCHEMA"), F.lit("").alias("name"), span(F.lit(0), F.col("_gap")).alias("source_range"), no_media.alias("media_reference"))
-    own = own.select(*keys, track, "kind", F.struct("start", "stop", F.when(F.col("_gap") > 0, F.array(gap, clip)).otherwise(F.array(clip)).alias("_items")).alias("_row"))
-    lanes = own.groupBy(*keys, track, "kind").agg(F.flatten(F.transform(F.sort_array(F.collect_list("_row")), lambda r: r["_items"])).alias("children"))
+    gap = lambda r: F.struct(F.lit("Gap.1").alias("OTIO_SCHEMA"), F.lit("").alias("name"), span(F.lit(0), r["_gap"]).alias("source_range"), no_media.alias("media_reference"))
+    items_of = lambda r: F.when(r["_gap"] > 0, F.array(gap(r), clip(r))).otherwise(F.array(clip(r)))
+    # rows are sorted and gathered as narrow as they are; items are made of what was gathered
+    own = own.select(*keys, track, "kind", F.struct("start", "stop", "_gap", "name", "source_in", "url").alias("_row"))
+    lanes = own.groupBy(*keys, track, "kind").agg(F.flatten(F.transform(F.sort_array(F.collect_list("_row")), items_of)).alias("children"))
     lane = F.struct(F.lit("Track.1").alias("OTIO_SCHEMA"), F.col(track).cast("string").alias("name"), "kind", "children")
     every = lanes.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(track, lane.alias("_lane")))), lambda r: r["_lane"]).alias("_lanes"))
     stack = F.struct(F.lit("Stack.1").alias("OTIO_SCHEMA"), F.col("_lanes").alias("children"))

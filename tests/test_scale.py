@@ -120,3 +120,13 @@ def test_continuous_runs_without_a_table_of_runs(spark):
         last = r
     assert sorted(map(tuple, own.collect())) == sorted(want)
     assert "Aggregate" not in plan(own)
+
+
+def test_documents_gather_narrow_rows(spark):
+    clips = spark.createDataFrame([(1, 0, 3, "a", 5), (1, 4, 6, "b", 0), (2, 2, 3, "c", 1)], "track long, start long, stop long, name string, source_in long")
+    own = otio.exported(clips.withColumns({"lane": F.lit(0), "kind": F.lit("Video"), "url": F.col("name")}), ["track"], "lane", 25)
+    lines = plan(own).split("\n")
+    at = max(i for i, line in enumerate(lines) if "collect_list" in line)
+    assert not any("Clip.1" in line for line in lines[at + 1 :])
+    back = otio.imported(own.withColumnRenamed("track", "document"), "document", "otio", 25)
+    assert sorted((r["document"], r["start"], r["stop"], r["name"], r["source_in"]) for r in back.collect()) == sorted(map(tuple, clips.collect()))
