@@ -86,6 +86,24 @@ def heard_once(words: DataFrame, windows: DataFrame, keys: list[str], window: st
     return own.where((middle >= F.col("from_") * 2) & (middle < F.col("to_") * 2)).drop("from_", "to_")
 
 
+def heard_once_evenly(words: DataFrame, step: int, length: int, window: str) -> DataFrame:
+    """heard_once over even windows, without a join: words (start, stop, after, ...) with the number of the window that keeps each.
+
+    Window k, from 0 on, begins at k * step and has length ticks; a word is in those that hold its start, and a window without
+    words is none. after is the start of the key's next word, null behind the last. The seam before the last window that holds a
+    word concerns only words of the window before as well, and the seam behind it only words that reach so far: then a window
+    behind has the next word, if any. So a word is placed by its own row."""
+    if not 0 < step <= length <= 2 * step:
+        raise ValueError(f"windows of {length} ticks, {step} apart, leave gaps or overlap others than their neighbours")
+    start, half = F.col("start"), (length - step) // 2
+    into = start % step  # the last window that holds the word begins so far before it
+    middle = into * 2 + F.col("stop") - start
+    alone = F.coalesce(F.col("after") - start + into >= step + length, F.lit(True))
+    kept = (start >= 0) & ((middle < (step + half) * 2) | (middle < length * 2) & alone)
+    before = (start >= step) & (middle < half * 2)
+    return words.where(kept).withColumn(window, F.expr(f"start div {step}") - before.cast("long"))
+
+
 def names(words: DataFrame, keys: list[str]) -> DataFrame:
     """Terms that look like names, and where they first stand: keys, term, pos.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from splicework.functions import expressions, scalars
-from splicework.operators import checks, edits, language, reading
+from splicework.operators import checks, edits, language, reading, transcripts
 from splicework.sources import otio
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +130,24 @@ def test_documents_gather_narrow_rows(spark):
     assert not any("Clip.1" in line for line in lines[at + 1 :])
     back = otio.imported(own.withColumnRenamed("track", "document"), "document", "otio", 25)
     assert sorted((r["document"], r["start"], r["stop"], r["name"], r["source_in"]) for r in back.collect()) == sorted(map(tuple, clips.collect()))
+
+
+def test_words_of_even_windows_are_placed_without_a_join(spark):
+    own = plan(__spark_entry__.queries()["int36_heard_once"](spark, SF))
+    assert not any(x in own for x in ("Join", "Aggregate", "Generate", "Window")) and own.count("MapInArrow") == 1
+    rng, rows = random.Random(9), []
+    for asset in range(80):
+        at, said = rng.choice([-50, 0, 0, 0, 90]), []
+        for pos in range(rng.randrange(1, 40)):  # words longer than windows too, of no length, and gaps without words
+            stop = at + rng.choice([0, 1, 2, 5, 9, 14, 30, 75])
+            said.append((asset, pos, at, stop))
+            at = stop + rng.choice([0, 0, 1, 3, 40])
+        rows += [(*r, said[i + 1][2] if i + 1 < len(said) else None) for i, r in enumerate(said)]
+    words = spark.createDataFrame(rows, "asset long, pos long, start long, stop long, after long").localCheckpoint()
+    for step, length in ((30, 40), (10, 15), (7, 14), (20, 21), (12, 12)):
+        held = words.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("start") / step))))
+        held = held.where((F.col("part") >= 0) & (F.col("start") >= F.col("part") * step) & (F.col("start") < F.col("part") * step + length))
+        windows = held.select("asset", "part", (F.col("part") * step).alias("start"), (F.col("part") * step + length).alias("stop")).distinct()
+        want = sorted(tuple(r) for r in transcripts.heard_once(held, windows, ["asset"], "part").select("asset", "part", "pos").collect())
+        found = transcripts.heard_once_evenly(words, step, length, "part").select("asset", "part", "pos")
+        assert sorted(map(tuple, found.collect())) == want and 400 < len(want) < len(rows)
