@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 #: So many words of one side may read as one of the other.
 JOINED = 8
+#: More pairs within tolerance than so many a word are not listed, but looked at one by one.
+LISTED = 64
+#: Times, and sums of a batch's times, stay below this as exact longs.
+FAR = 2**60
 WORD = ("pos", "letters", "start", "stop")
+MATCH = ("expected", "n_expected", "heard", "n_heard")
+#: From rows of texts to the expected and the heard words of some of them at once. Both have text, the number of a word's
+#: text, which does not fall, keys, and WORD in order of pos.
+Words = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]]
 
 
 def _by(keys: list[str], *order: str) -> W.WindowSpec:
@@ -28,22 +41,166 @@ def aligned(expected: DataFrame, heard: DataFrame, keys: list[str], tolerance: i
     other side whose letters together are the same, if the middles of both are at most tolerance apart. Each expected word
     in turn takes the first heard word behind the last match that fits, one to one first. Words without letters match none.
     What matched decides what may match, so a key is folded in order; a word is held against those within tolerance alone."""
-    out = f"{_types(expected, keys)}expected long, n_expected long, heard long, n_heard long"
+    out = f"{_types(expected, keys)}{', '.join(f'{c} long' for c in MATCH)}"
 
     def fold(own: pa.Table, other: pa.Table) -> pa.Table:
-        rows = []
+        found = [[]] * 4
         if own.num_rows and other.num_rows:  # a side that a key lacks has no columns either
-            rows = _matched(*([d[c].to_numpy().tolist() for c in WORD] for d in (own.sort_by("pos"), other.sort_by("pos"))), 2 * tolerance)
-        found = (own if own.num_rows else other).select(keys).take(pa.array([0] * len(rows), pa.int64()))
-        for i, name in enumerate(("expected", "n_expected", "heard", "n_heard")):
-            found = found.append_column(name, pa.array([r[i] for r in rows], pa.int64()))
-        return found
+            want, got = (d.sort_by("pos").append_column("text", pa.array(np.zeros(d.num_rows, np.int64))) for d in (own, other))
+            want, got = _Side.of(want), _Side.of(got)
+            i, n, k, m = _places(want, got, 2 * tolerance)
+            found = want.pos[i], n, got.pos[k], m
+        rows = (own if own.num_rows else other).select(keys).take(pa.array([0] * len(found[0]), pa.int64()))
+        for name, values in zip(MATCH, found, strict=True):
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        return rows
 
     # every column anew: where both sides share some, Spark loses them as it prunes
     a, b = (d.select(*(F.col(c).alias(c) for c in keys), F.col("pos").cast("long").alias("pos"), *(F.col(c).alias(c) for c in WORD[1:])) for d in (expected, heard))
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(fold, out)
 
 
+class _Side(NamedTuple):
+    """Words of some texts: the number of each word's text, and WORD."""
+
+    text: np.ndarray
+    pos: np.ndarray
+    letters: pa.Array
+    start: np.ndarray
+    stop: np.ndarray
+
+    @classmethod
+    def of(cls, words: pa.RecordBatch | pa.Table) -> _Side:
+        values = {c: _numbers(words[c]) for c in ("text", "pos", "start", "stop")}
+        letters = words["letters"].combine_chunks() if isinstance(words, pa.Table) else words["letters"]
+        return cls(letters=pc.fill_null(letters, ""), **values)
+
+
+def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+
+
+def _in_order(text: np.ndarray, values: np.ndarray) -> bool:
+    return bool((np.diff(values) >= 0)[np.diff(text) == 0].all())
+
+
+def _places(want: _Side, got: _Side, room: int) -> tuple[np.ndarray, ...]:
+    """Matches of all texts at once: place of the first expected word, how many, place of the first heard word, how many.
+
+    All pairs that could match are listed, which are those within tolerance; then each expected word in turn takes its first
+    pair behind the last match. Where a word's pairs touch none of those before, that is its first pair, whatever came before;
+    only the others are gone through one by one. Texts that cannot be listed so are matched word by word."""
+    listed = _listed(want, got, room) if len(want.text) and len(got.text) else None
+    if listed is None:
+        return _one_by_one(want, got, room)
+    i, n, k, m = listed
+    if not len(i):
+        return i, n, k, m
+    first = np.flatnonzero(np.diff(i, prepend=-1))
+    reach, reach_ = (np.maximum.accumulate(v)[first[1:] - 1] for v in (i + n, k + m))
+    free = np.concatenate([[True], (reach <= i[first[1:]]) & (reach_ <= k[first[1:]])])
+    alone = free & np.append(free[1:], True)  # no pair of another word touches this one's
+    taken = np.zeros(len(i), bool)
+    taken[first[alone]] = True
+    others = np.flatnonzero(np.repeat(~alone, np.diff(first, append=len(i))))
+    next_i = next_k = 0
+    for c, i_, n_, k_, m_ in zip(others.tolist(), *(v[others].tolist() for v in (i, n, k, m)), strict=True):
+        if i_ >= next_i and k_ >= next_k:
+            taken[c], next_i, next_k = True, i_ + n_, k_ + m_
+    return i[taken], n[taken], k[taken], m[taken]
+
+
+def _one_by_one(want: _Side, got: _Side, room: int) -> tuple[np.ndarray, ...]:
+    rows = []
+    for text in np.intersect1d(want.text, got.text):
+        (a, b), (c, d) = (np.searchsorted(s.text, [text, text + 1]) for s in (want, got))
+        sides = [[range(x, y), *(v[x:y].tolist() for v in (s.start, s.stop))] for s, x, y in ((want, a, b), (got, c, d))]
+        for s, x, y, side in ((want, a, b, sides[0]), (got, c, d, sides[1])):
+            side.insert(1, s.letters.slice(x, y - x).to_pylist())
+        rows += _matched(*sides, room)
+    return tuple(np.array([r[c] for r in rows], np.int64) for c in range(4))
+
+
+def _listed(want: _Side, got: _Side, room: int) -> tuple[np.ndarray, ...] | None:
+    """All pairs that could match, in the order in which they are tried; None where times are out of order or very large,
+    or too many words lie within tolerance."""
+    sides, texts = (want, got), 1 + int(max(want.text[-1], got.text[-1]))
+    if not all(v.dtype.kind == "i" and v.min() > -FAR and v.max() < FAR and _in_order(s.text, v) for s in sides for v in (s.start, s.stop)):
+        return None
+    low, high = np.full(texts, 2 * FAR), np.full(texts, -2 * FAR)
+    for s in sides:
+        for v in (s.start, s.stop):
+            np.minimum.at(low, s.text, v)
+            np.maximum.at(high, s.text, v)
+    length = np.where(high < low, 0, high - np.minimum(low, high)) + room + 1
+    if length.astype(float).sum() >= FAR:
+        return None
+    # one text behind another, too far apart to match
+    move = np.cumsum(length) - length - np.where(high < low, 0, low)
+    begin, end = zip(*((s.start + move[s.text], s.stop + move[s.text]) for s in sides), strict=True)
+    if any((np.diff(v) < 0).any() for v in (*begin, *end)):
+        return None
+    size = [_numbers(pc.binary_length(s.letters)).astype(np.int64) for s in sides]
+    sums = [np.concatenate([[0], np.cumsum(v)]) for v in size]
+    code = _numbers(pa.concat_arrays([s.letters for s in sides]).dictionary_encode().indices)
+    code = code[: len(want.text)], code[len(want.text) :]
+    flat = [np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(s.text)], s.letters), "")[0].as_buffer(), np.uint8) for s in sides]
+    most = LISTED * (len(want.text) + len(got.text)) + 10_000
+
+    single = [np.flatnonzero(v) for v in size]  # words without letters match none
+    middle = [(begin[s] + end[s])[single[s]] for s in (0, 1)]
+    # the byte that stands first from each word on, and last before it
+    head = [np.append(flat[s], 0).astype(np.int64)[sums[s][:-1]] * 31 for s in (0, 1)]
+    tail = [np.append(flat[s], 0).astype(np.int64)[sums[s] - 1] * 7919 for s in (0, 1)]
+
+    def look(side: int, words: int) -> np.ndarray:
+        """A number below 2^16 of so many words' letters, the same for the same letters: from their length, first and last byte."""
+        last = len(size[side]) - words + 1
+        return ((sums[side][words:] - sums[side][:last]) * 524_287 + head[side][:last] + tail[side][words:]) & 0xFFFF
+
+    known = np.zeros((2, 2**16), bool)
+    for s in (0, 1):
+        known[s][look(s, 1)[single[s]]] = True
+
+    def near(one: int, many: int, words: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Words of a side, and first words of so many of the other, whose middles are near and that have equal letters."""
+        last = len(size[many]) - words + 1
+        if last <= 0 or not len(single[one]):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if words == 1:
+            y = single[many]
+        else:
+            y = np.flatnonzero(known[one][look(many, words)])
+            y = y[sides[many].text[y] == sides[many].text[y + words - 1]]
+        at = begin[many][y] + end[many][y + words - 1]
+        a = np.searchsorted(middle[one], at - room, "left")
+        count = np.searchsorted(middle[one], at + room, "right") - a
+        total = int(count.sum())
+        if total > most:
+            return None
+        x = single[one][np.arange(total) + np.repeat(a - np.cumsum(count) + count, count)]
+        y = np.repeat(y, count)
+        same = code[one][x] == code[many][y] if words == 1 else size[one][x] == sums[many][y + words] - sums[many][y]
+        x, y = x[same], y[same]
+        if words == 1:
+            return x, y
+        joined = pc.binary_join_element_wise(*(sides[many].letters.take(pa.array(y + j)) for j in range(words)), "")
+        same = _numbers(pc.equal(joined, sides[one].letters.take(pa.array(x))))
+        return x[same], y[same]
+
+    pairs = []
+    for one, many, words in [(0, 1, 1), *((0, 1, w) for w in range(2, JOINED + 1)), *((1, 0, w) for w in range(2, JOINED + 1))]:
+        found = near(one, many, words)
+        if found is None:
+            return None
+        x, y = found
+        ones, so_many = np.ones(len(x), np.int64), np.full(len(x), words)
+        pairs.append((x, ones, y, so_many) if one == 0 else (y, so_many, x, ones))
+    i, n, k, m = (np.concatenate(v) for v in zip(*pairs, strict=True))
+    order = np.argsort(i << 32 | k, kind="stable")  # of one word and place, one to one stands first, then the shorter
+    return i[order], n[order], k[order], m[order]
+
+
 def _matched(want: list[list], got: list[list], room: int) -> list[tuple[int, int, int, int]]:
     """Matches of two lists of words, each as lists of WORD; twice their middles are at most room apart."""
     (pos, said, begin, end), (pos_, heard, begin_, end_) = want, got
@@ -102,6 +259,41 @@ def differences(expected: DataFrame, heard: DataFrame, matches: DataFrame, keys:
     return both.groupBy(*keys, "after").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), text("expected").alias("expected"), text("heard").alias("heard"))
 
 
+def differences_texts(texts: DataFrame, words: Words, keys: list[str], tolerance: int) -> DataFrame:
+    """differences of what aligned matches, without a shuffle; both sides have a word beside WORD."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for expected, heard in words(batches):
+            want, got = _Side.of(expected), _Side.of(heard)
+            i, n, k, m = _places(want, got, 2 * tolerance)
+            before = np.zeros(int(max(want.text.max(initial=0), got.text.max(initial=0))) + 2, np.int64)  # matched words of the texts before
+            np.add.at(before, want.text[i] + 1, n)
+            before = np.cumsum(before)
+            sides = []
+            for s, first, count in ((want, i, n), (got, k, m)):
+                edge, done = np.zeros((2, len(s.text) + 1), np.int64)
+                edge[first] += 1
+                edge[first + count] -= 1
+                done[first + count - 1] = n
+                free = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+                # neither a text's number nor what was matched before falls, so their sum tells groups apart
+                sides.append((s, free, np.cumsum(done)[free] + s.text[free]))
+            groups, place = np.unique(np.concatenate([g for _, _, g in sides]), return_index=True)
+            text = np.concatenate([s.text[free] for s, free, _ in sides])[place]
+            key = pa.Table.from_batches([d.select(keys).take(pa.array(free)) for d, (_, free, _) in zip((expected, heard), sides, strict=True)]).take(pa.array(place))
+            start, stop = np.full(len(groups), np.iinfo(np.int64).max), np.full(len(groups), np.iinfo(np.int64).min)
+            found = {c: key[c].combine_chunks() for c in keys} | {"after": groups - text - before[text], "start": start, "stop": stop}
+            for name, d, (s, free, g) in zip(("expected", "heard"), (expected, heard), sides, strict=True):
+                at = np.searchsorted(groups, g)
+                np.minimum.at(start, at, s.start[free])
+                np.maximum.at(stop, at, s.stop[free])
+                ends = np.append(np.searchsorted(g, groups), len(g)).astype(np.int32)
+                found[name] = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), d["word"].take(pa.array(free))), " ")
+            yield pa.RecordBatch.from_pydict({c: pa.array(v) if isinstance(v, np.ndarray) else v for c, v in found.items()})
+
+    return texts.mapInArrow(fold, f"{_types(texts, keys)}after long, start long, stop long, expected string, heard string")
+
+
 def match_summary(expected: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
     """keys, words, matched, joined (matches of more than one word), ratio (to three places)."""
     found = matches.groupBy(*keys).agg(F.sum("n_expected").alias("matched"), F.count_if(F.col("n_expected") + F.col("n_heard") > 2).alias("joined"))

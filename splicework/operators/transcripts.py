@@ -19,9 +19,9 @@ def _by(keys: list[str], *order: str) -> W.WindowSpec:
     return W.Window.partitionBy(*keys).orderBy(*order)
 
 
-def normalized(text: Column) -> Column:
-    """Letters and digits only, in lower case."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+def normalized(text: Column, kept: str = "") -> Column:
+    """Letters and digits only, in lower case, and what is kept beside them."""
+    return F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{kept}]", "")
 
 
 def filler_like(text: Column) -> Column:

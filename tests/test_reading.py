@@ -4,6 +4,8 @@ import random
 import time
 from itertools import combinations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,39 @@ def test_words_of_used_documents_alone(spark, tmp_path):
     spark.createDataFrame([(i, f"a b{i}") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     used = spark.createDataFrame([(1,), (1,), (3,), (9,)], "asset long")
     assert found(adapters.words(spark, str(tmp_path), used), "asset", "pos", "word") == [(1, 0, "a"), (1, 1, "b1"), (3, 0, "a"), (3, 1, "b3")]
+
+
+def test_texts_are_matched_in_place_as_their_words_are(spark):
+    rng, shape = random.Random(3), "array<struct<pos long, letters string, word string, start long, stop long>>"
+
+    def text(n, at):
+        out = []
+        for _ in range(n):
+            t = rng.choice(["a", "b", "ab", "aab", "", "ba", "bab"])
+            at += rng.randint(0, 3)
+            out.append((t, at, at + len(t) + 1))
+            at += len(t) + rng.randint(0, 1)
+        return out
+
+    def words(batches):
+        for batch in batches:
+            sides = []
+            for name in ("want", "got"):
+                own = pc.list_flatten(batch[name])
+                row = pc.list_parent_indices(batch[name])
+                columns = dict(zip((f.name for f in own.type), own.flatten(), strict=True))
+                sides.append(pa.RecordBatch.from_pydict({"k": batch["k"].take(row), "text": row.cast("int64"), **columns}))
+            yield tuple(sides)
+
+    told = [(None if k == 7 else k, text(rng.choice([0, 1, 25, 40]), at := rng.choice([0, -900, 10**9])), text(rng.choice([0, 1, 25, 40]), at)) for k in range(1, 61)]
+    far = [(100, text(20, 2**60 + 5), text(20, 2**60 + 5)), (101, text(20, 0), text(20, 0))]
+    for rows, tolerance in ((told, 0), (told, 4), (told, 500), (far, 4)):
+        full = [(k, *([(i, t, t.upper(), a, b) for i, (t, a, b) in enumerate(side)] for side in sides)) for k, *sides in rows]
+        own = spark.createDataFrame(full, f"k long, want {shape}, got {shape}").coalesce(1)
+        want = sorted((k or 7, *m) for k, a, b in rows for m in brute(a, b, tolerance))
+        assert len(want) > (100 if tolerance == 500 else 10)
+        named = own.withColumn("k", F.coalesce("k", F.lit(7)))
+        a, b = (named.select("k", F.explode(c).alias("w")).select("k", "w.*") for c in ("want", "got"))
+        matches = spark.createDataFrame(want, "k long, expected long, n_expected long, heard long, n_heard long")
+        columns = ("k", "after", "start", "stop", "expected", "heard")
+        assert found(reading.differences_texts(named, words, ["k"], tolerance), *columns) == found(reading.differences(a, b, matches, ["k"]), *columns)

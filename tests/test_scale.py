@@ -151,3 +151,9 @@ def test_words_of_even_windows_are_placed_without_a_join(spark):
         want = sorted(tuple(r) for r in transcripts.heard_once(held, windows, ["asset"], "part").select("asset", "part", "pos").collect())
         found = transcripts.heard_once_evenly(words, step, length, "part").select("asset", "part", "pos")
         assert sorted(map(tuple, found.collect())) == want and 400 < len(want) < len(rows)
+
+
+def test_alignment_deals_out_no_words(spark):
+    for name in ("win19_differences",):
+        own = plan(__spark_entry__.queries()[name](spark, SF))
+        assert not any(x in own for x in ("Join", "CoGroup", "Aggregate", "Window")) and own.count("MapInArrow") == 1
