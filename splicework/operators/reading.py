@@ -294,6 +294,25 @@ def differences_texts(texts: DataFrame, words: Words, keys: list[str], tolerance
     return texts.mapInArrow(fold, f"{_types(texts, keys)}after long, start long, stop long, expected string, heard string")
 
 
+def match_summary_texts(texts: DataFrame, words: Words, keys: list[str], tolerance: int) -> DataFrame:
+    """match_summary of what aligned matches, without a shuffle."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for expected, heard in words(batches):
+            want, got = _Side.of(expected), _Side.of(heard)
+            i, n, _, m = _places(want, got, 2 * tolerance)
+            first = np.flatnonzero(np.diff(want.text, prepend=-1))  # texts without expected words have no row
+            place = np.searchsorted(want.text[first], want.text[i])
+            sums = {"words": np.diff(first, append=len(want.text)), "matched": np.zeros(len(first), np.int64), "joined": np.zeros(len(first), np.int64)}
+            np.add.at(sums["matched"], place, n)
+            np.add.at(sums["joined"], place, (n + m > 2).astype(np.int64))
+            found = expected.select(keys).take(pa.array(first))
+            yield pa.RecordBatch.from_pydict({c: found.column(c) for c in keys} | {c: pa.array(v, pa.int64()) for c, v in sums.items()})
+
+    own = texts.mapInArrow(fold, f"{_types(texts, keys)}words long, matched long, joined long")
+    return own.withColumn("ratio", F.round(F.col("matched") / F.col("words"), 3))
+
+
 def match_summary(expected: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
     """keys, words, matched, joined (matches of more than one word), ratio (to three places)."""
     found = matches.groupBy(*keys).agg(F.sum("n_expected").alias("matched"), F.count_if(F.col("n_expected") + F.col("n_heard") > 2).alias("joined"))

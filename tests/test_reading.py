@@ -220,3 +220,5 @@ def test_texts_are_matched_in_place_as_their_words_are(spark):
         matches = spark.createDataFrame(want, "k long, expected long, n_expected long, heard long, n_heard long")
         columns = ("k", "after", "start", "stop", "expected", "heard")
         assert found(reading.differences_texts(named, words, ["k"], tolerance), *columns) == found(reading.differences(a, b, matches, ["k"]), *columns)
+        columns = ("k", "words", "matched", "joined", "ratio")
+        assert found(reading.match_summary_texts(named, words, ["k"], tolerance), *columns) == found(reading.match_summary(a, matches, ["k"]), *columns)
