@@ -60,6 +60,19 @@ def aligned(expected: DataFrame, heard: DataFrame, keys: list[str], tolerance: i
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(fold, out)
 
 
+def aligned_texts(texts: DataFrame, words: Words, keys: list[str], tolerance: int) -> DataFrame:
+    """aligned, without a shuffle, where both sides come from the same rows: texts, one a key, and what makes words of them in a task."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for expected, heard in words(batches):
+            want, got = _Side.of(expected), _Side.of(heard)
+            i, n, k, m = _places(want, got, 2 * tolerance)
+            found = expected.select(keys).take(pa.array(i))
+            yield pa.RecordBatch.from_pydict({c: found.column(c) for c in keys} | {c: pa.array(v, pa.int64()) for c, v in zip(MATCH, (want.pos[i], n, got.pos[k], m), strict=True)})
+
+    return texts.mapInArrow(fold, f"{_types(texts, keys)}{', '.join(f'{c} long' for c in MATCH)}")
+
+
 class _Side(NamedTuple):
     """Words of some texts: the number of each word's text, and WORD."""
 
@@ -260,7 +273,7 @@ def differences(expected: DataFrame, heard: DataFrame, matches: DataFrame, keys:
 
 
 def differences_texts(texts: DataFrame, words: Words, keys: list[str], tolerance: int) -> DataFrame:
-    """differences of what aligned matches, without a shuffle; both sides have a word beside WORD."""
+    """differences of what aligned_texts matches, without a shuffle; both sides have a word beside WORD."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for expected, heard in words(batches):
@@ -295,7 +308,7 @@ def differences_texts(texts: DataFrame, words: Words, keys: list[str], tolerance
 
 
 def match_summary_texts(texts: DataFrame, words: Words, keys: list[str], tolerance: int) -> DataFrame:
-    """match_summary of what aligned matches, without a shuffle."""
+    """match_summary of what aligned_texts matches, without a shuffle."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for expected, heard in words(batches):

@@ -215,6 +215,7 @@ def test_texts_are_matched_in_place_as_their_words_are(spark):
         own = spark.createDataFrame(full, f"k long, want {shape}, got {shape}").coalesce(1)
         want = sorted((k or 7, *m) for k, a, b in rows for m in brute(a, b, tolerance))
         assert len(want) > (100 if tolerance == 500 else 10)
+        assert sorted((r[0] or 7, *r[1:]) for r in reading.aligned_texts(own, words, ["k"], tolerance).collect()) == want
         named = own.withColumn("k", F.coalesce("k", F.lit(7)))
         a, b = (named.select("k", F.explode(c).alias("w")).select("k", "w.*") for c in ("want", "got"))
         matches = spark.createDataFrame(want, "k long, expected long, n_expected long, heard long, n_heard long")

@@ -154,6 +154,6 @@ def test_words_of_even_windows_are_placed_without_a_join(spark):
 
 
 def test_alignment_deals_out_no_words(spark):
-    for name in ("win19_differences", "agg15_match_summary"):
+    for name in ("win19_differences", "agg15_match_summary", "jn20_alignment"):
         own = plan(__spark_entry__.queries()[name](spark, SF))
         assert not any(x in own for x in ("Join", "CoGroup", "Aggregate", "Window")) and own.count("MapInArrow") == 1
