@@ -84,12 +84,12 @@ class _Side(NamedTuple):
 
     @classmethod
     def of(cls, words: pa.RecordBatch | pa.Table) -> _Side:
-        values = {c: _numbers(words[c]) for c in ("text", "pos", "start", "stop")}
+        values = {c: numbers(words[c]) for c in ("text", "pos", "start", "stop")}
         letters = words["letters"].combine_chunks() if isinstance(words, pa.Table) else words["letters"]
         return cls(letters=pc.fill_null(letters, ""), **values)
 
 
-def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
@@ -134,28 +134,36 @@ def _one_by_one(want: _Side, got: _Side, room: int) -> tuple[np.ndarray, ...]:
     return tuple(np.array([r[c] for r in rows], np.int64) for c in range(4))
 
 
+def apart(texts: int, room: int, *times: tuple[np.ndarray, np.ndarray]) -> np.ndarray | None:
+    """What to add to each text's times (numbers of texts, and times) so that one text lies behind another, more than room apart;
+    None where sums of times would be too large."""
+    low, high = np.full(texts, 2 * FAR), np.full(texts, -2 * FAR)
+    for text, values in times:
+        if len(values) and (values.min() <= -FAR or values.max() >= FAR):
+            return None
+        np.minimum.at(low, text, values)
+        np.maximum.at(high, text, values)
+    length = np.where(high < low, 0, high - np.minimum(low, high)) + room + 1
+    if length.astype(float).sum() >= FAR:
+        return None
+    return np.cumsum(length) - length - np.where(high < low, 0, low)
+
+
 def _listed(want: _Side, got: _Side, room: int) -> tuple[np.ndarray, ...] | None:
     """All pairs that could match, in the order in which they are tried; None where times are out of order or very large,
     or too many words lie within tolerance."""
     sides, texts = (want, got), 1 + int(max(want.text[-1], got.text[-1]))
-    if not all(v.dtype.kind == "i" and v.min() > -FAR and v.max() < FAR and _in_order(s.text, v) for s in sides for v in (s.start, s.stop)):
+    if not all(v.dtype.kind == "i" and _in_order(s.text, v) for s in sides for v in (s.start, s.stop)):
         return None
-    low, high = np.full(texts, 2 * FAR), np.full(texts, -2 * FAR)
-    for s in sides:
-        for v in (s.start, s.stop):
-            np.minimum.at(low, s.text, v)
-            np.maximum.at(high, s.text, v)
-    length = np.where(high < low, 0, high - np.minimum(low, high)) + room + 1
-    if length.astype(float).sum() >= FAR:
+    move = apart(texts, room, *((s.text, v) for s in sides for v in (s.start, s.stop)))
+    if move is None:
         return None
-    # one text behind another, too far apart to match
-    move = np.cumsum(length) - length - np.where(high < low, 0, low)
     begin, end = zip(*((s.start + move[s.text], s.stop + move[s.text]) for s in sides), strict=True)
     if any((np.diff(v) < 0).any() for v in (*begin, *end)):
         return None
-    size = [_numbers(pc.binary_length(s.letters)).astype(np.int64) for s in sides]
+    size = [numbers(pc.binary_length(s.letters)).astype(np.int64) for s in sides]
     sums = [np.concatenate([[0], np.cumsum(v)]) for v in size]
-    code = _numbers(pa.concat_arrays([s.letters for s in sides]).dictionary_encode().indices)
+    code = numbers(pa.concat_arrays([s.letters for s in sides]).dictionary_encode().indices)
     code = code[: len(want.text)], code[len(want.text) :]
     flat = [np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(s.text)], s.letters), "")[0].as_buffer(), np.uint8) for s in sides]
     most = LISTED * (len(want.text) + len(got.text)) + 10_000
@@ -198,7 +206,7 @@ def _listed(want: _Side, got: _Side, room: int) -> tuple[np.ndarray, ...] | None
         if words == 1:
             return x, y
         joined = pc.binary_join_element_wise(*(sides[many].letters.take(pa.array(y + j)) for j in range(words)), "")
-        same = _numbers(pc.equal(joined, sides[one].letters.take(pa.array(x))))
+        same = numbers(pc.equal(joined, sides[one].letters.take(pa.array(x))))
         return x[same], y[same]
 
     pairs = []

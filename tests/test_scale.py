@@ -4,6 +4,8 @@ import math
 import random
 import time
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -157,3 +159,43 @@ def test_alignment_deals_out_no_words(spark):
     for name in ("win19_differences", "agg15_match_summary", "jn20_alignment"):
         own = plan(__spark_entry__.queries()[name](spark, SF))
         assert not any(x in own for x in ("Join", "CoGroup", "Aggregate", "Window")) and own.count("MapInArrow") == 1
+
+
+def _by_row(*names):
+    """Rows of texts as their words and what goes with them, from arrays of structs beside a key."""
+
+    def sides(batch):
+        for name in names:
+            own, row = pc.list_flatten(batch[name]), pc.list_parent_indices(batch[name])
+            columns = dict(zip((f.name for f in own.type), own.flatten(), strict=True))
+            yield pa.RecordBatch.from_pydict({"row": row.cast("int64"), "asset": batch["asset"].take(row), **columns})
+
+    def read(batches):
+        for batch in batches:
+            yield (*sides(batch), batch["plan"].to_pylist()) if "plan" in batch.schema.names else tuple(sides(batch))
+
+    return read
+
+
+def test_corrections_deal_out_no_words(spark):
+    own = plan(__spark_entry__.queries()["int37_corrected"](spark, SF))
+    assert not any(x in own for x in ("Join", "Window", "Aggregate", "Union")) and own.count("MapInArrow") == 1
+    rng, rows = random.Random(12), []
+    for asset in range(50):
+        n = rng.choice([0, 1, 9, 20])
+        ids = rng.sample(range(40), n)
+        said = [(ids[i], i, f"w{i}", 10 * i, 10 * i + 8) for i in range(n)]
+        edits = []
+        for i in rng.sample(range(40), rng.randrange(12)):
+            op = rng.choice(["replace", "remove", "insert", "insert"])
+            own = ("new", 10 * i + 1, 10 * i + 2) if op == "insert" or rng.random() < 0.6 else (None, None, None)
+            edits.append((op, i, *own, rng.choice([None, *range(40)]) if op == "insert" else None))
+        rows.append((asset, said, edits))
+    shape = "array<struct<id long, pos long, text string, start long, stop long>>", "array<struct<op string, id long, text string, start long, stop long, before_id long>>"
+    texts = spark.createDataFrame(rows, f"asset long, words {shape[0]}, edits {shape[1]}").coalesce(1)
+    w, e = (texts.select("asset", F.explode(c).alias("x")).select("asset", "x.*") for c in ("words", "edits"))
+    columns = ("asset", "pos", "id", "text", "start", "stop")
+    want = sorted(map(tuple, language.corrected(w, e).select(*columns).collect()))
+
+    found = language.corrected_texts(texts, _by_row("words", "edits")).select(*columns)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 300
